@@ -89,16 +89,6 @@ def merge_largest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], valu
     return merged.select(*keys, value, *([F.col("r.*")] if rest else [])).select(*stored.columns)
 
 
-def merge_json(old: Column, new: Column) -> Column:
-    """Shallow merge of two JSON objects held as text; new keys win."""
-    as_map = lambda c: F.coalesce(
-        F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")
-    )
-    before, after = as_map(old), as_map(new)
-    kept = F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k))
-    return F.to_json(F.map_concat(kept, after))
-
-
 def repoint(df: DataFrame, column: str, survivors: DataFrame) -> DataFrame:
     """Replace duplicate ids by their survivor. ``survivors``: duplicate_id, survivor_id."""
     mapping = survivors.select(F.col("duplicate_id").alias("__dup"), F.col("survivor_id").alias("__keep"))

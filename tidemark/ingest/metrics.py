@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import CONFIG_PARTS, config_signature, dimensions_hash, surrogate_id
 from tidemark.functions.text import query_key
-from tidemark.ingest.merge import last_write_wins, merge_json, merge_largest, new_keys
+from tidemark.ingest.merge import last_write_wins, merge_largest, new_keys
+from tidemark.ingest.payloads import merged_payloads
 from tidemark.operators.snapshot import daily_from_lifetime
 
 FACT_KEYS = ("metric_config_id", "dimensions_hash", "metric_date")
+PROVENANCE_KEYS = ("platform_id", "channel", "metric_id", "platform_created_at")
 
 
 @dataclass(frozen=True)
@@ -94,8 +96,8 @@ def load_facts(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def provenance_rows(batch: DataFrame) -> DataFrame:
-    """The platform row behind each fact, payloads of one key merged in order."""
-    keyed = batch.filter(F.coalesce("platform_id", F.lit("")) != "").select(
+    """The platform row behind each fact."""
+    return batch.filter(F.coalesce("platform_id", F.lit("")) != "").select(
         "platform_id",
         "channel",
         surrogate_id(F.concat_ws("|", "signature", "dimensions_hash", F.col("metric_date").cast("string"))).alias("metric_id"),
@@ -103,31 +105,18 @@ def provenance_rows(batch: DataFrame) -> DataFrame:
         "data",
         "sequence",
     )
-    return _merged_payloads(keyed)
-
-
-def _merged_payloads(rows: DataFrame) -> DataFrame:
-    """Later values win per JSON key; the keys are merged one by one, so payloads
-    of one row never gather in memory."""
-    keys = ["platform_id", "channel", "metric_id", "platform_created_at"]
-    pairs = rows.select(*keys, "sequence", F.explode_outer(F.from_json("data", "map<string,string>")).alias("k", "v"))
-    latest = pairs.groupBy(*keys, "k").agg(F.max_by("v", "sequence").alias("v"))
-    entries = F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
-    return latest.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("data"))
 
 
 def load_provenance(stored: DataFrame, batch: DataFrame, keep_payloads: bool = True) -> DataFrame:
+    """Stored provenance and that of a batch; payloads merge, new JSON keys win."""
     rows = provenance_rows(batch)
     if not keep_payloads:
-        rows = rows.withColumn("data", F.lit(None).cast("string"))
-    keys = ["platform_id", "channel", "metric_id", "platform_created_at"]
-    joined = stored.alias("o").join(rows.alias("n"), keys, "full_outer")
-    data = (
-        F.when(F.col("o.data").isNull(), F.col("n.data"))
-        .when(F.col("n.data").isNull(), F.col("o.data"))
-        .otherwise(merge_json(F.col("o.data"), F.col("n.data")))
+        known = stored.unionByName(new_keys(rows.drop("sequence").distinct(), stored, PROVENANCE_KEYS).withColumn("data", F.lit(None).cast("string")))
+        return known.dropDuplicates(list(PROVENANCE_KEYS))
+    both = stored.withColumn("sequence", F.lit(-1).cast("bigint")).unionByName(
+        rows.withColumn("sequence", F.col("sequence").cast("bigint"))
     )
-    return joined.select(*keys, data.alias("data"))
+    return merged_payloads(both, PROVENANCE_KEYS)
 
 
 def load_batch(tables: MetricTables, batch: DataFrame, parents: DataFrame | None = None, keep_payloads: bool = True) -> MetricTables:
@@ -135,7 +124,7 @@ def load_batch(tables: MetricTables, batch: DataFrame, parents: DataFrame | None
     stored = tables.metrics.join(
         tables.configs.select(F.col("id").alias("metric_config_id"), F.col("config_signature").alias("signature")), "metric_config_id"
     )
-    full = daily_from_lifetime(batch, stored.select("signature", "metric_date", "value"))
+    full = daily_from_lifetime(batch, stored.select("signature", "metric_date", "value"), signature_of)
     return MetricTables(
         load_configs(tables.configs, full, parents),
         load_facts(tables.metrics, full),
@@ -145,4 +134,7 @@ def load_batch(tables: MetricTables, batch: DataFrame, parents: DataFrame | None
 
 def signature_of(batch: DataFrame) -> DataFrame:
     """Add the signature from the config parts present as columns."""
-    return batch.withColumn("signature", config_signature({p: F.col(p) for p in CONFIG_PARTS if p in batch.columns}))
+    parts = {p: F.col(p) for p in CONFIG_PARTS if p in batch.columns}
+    if "dimensions_hash" in batch.columns:
+        parts["dimension_set"] = F.col("dimensions_hash")
+    return batch.withColumn("signature", config_signature(parts))

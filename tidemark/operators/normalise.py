@@ -123,6 +123,7 @@ def normalise_metrics(
         metadata.alias("metadata"),
         F.col("__raw").alias("data"),
         *[c.alias(k) for k, c in given.items()],
+        *[F.col(f"__o_{n}").alias(n) for n in optional if n not in given],
     )
 
 

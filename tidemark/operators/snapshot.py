@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,11 +127,14 @@ def snapshot_metadata(df: DataFrame, start: str | None, end: str | None, mode: s
     )
 
 
-def daily_from_lifetime(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def daily_from_lifetime(
+    batch: DataFrame, stored: DataFrame, sign: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Add a ``<name>_daily`` row to each lifetime row of a batch.
 
     Its value is today's lifetime value minus the stored value of exactly the
-    day before (none counts as 0), never below 0. ``signature`` names the config.
+    day before (none counts as 0), never below 0. ``signature`` names the config;
+    ``sign`` computes it anew for the renamed rows.
     """
     lifetime = batch.filter(F.lower("period") == "lifetime")
     before = stored.select(
@@ -144,7 +149,6 @@ def daily_from_lifetime(batch: DataFrame, stored: DataFrame) -> DataFrame:
         "name": F.concat("name", F.lit("_daily")),
         "period": F.lit("daily"),
         "value": F.greatest(F.lit(0.0), F.col("value") - F.coalesce("__before", F.lit(0.0))),
-        "signature": F.md5(F.concat("signature", F.lit("_daily"))),
     }
     daily = joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in batch.columns])
-    return batch.unionByName(daily)
+    return batch.unionByName(daily if sign is None else sign(daily))
