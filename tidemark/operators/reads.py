@@ -15,22 +15,34 @@ from tidemark.model import RELATIONS, Star
 from tidemark.operators.rank import best_per_group
 
 
+# Fixed value: children gathered into one array at most, on average.
+NESTED_AT_MOST = 10_000
+
+
+def expand_children(parents: DataFrame, key: str, children: DataFrame, parent_key: str) -> DataFrame:
+    """One row per parent and child; parents without children keep one row."""
+    renamed = children.withColumnRenamed(parent_key, "__parent")
+    return parents.join(renamed, F.col(key) == F.col("__parent"), "left").drop("__parent")
+
+
 def nest_children(
-    parents: DataFrame, key: str, children: Mapping[str, tuple[DataFrame, str]], order: Mapping[str, str] | None = None
+    parents: DataFrame, key: str, children: DataFrame, parent_key: str, name: str, at_most: int = NESTED_AT_MOST
 ) -> DataFrame:
-    """Parents with each kind of child gathered into an array of structs.
+    """Parents with their children in an array of structs.
 
-    Children are gathered by their parent key before the join, so two kinds of
-    children do not multiply each other's rows.
+    A parent with more than ``at_most`` children comes as several rows, told apart
+    by ``<name>_part``, so no array grows without bound and no child is lost.
     """
-    out = parents
-    for name, (frame, parent_key) in children.items():
-        columns = [c for c in frame.columns if c != parent_key]
-        gathered = frame.groupBy(F.col(parent_key).alias("__parent")).agg(
-            F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-        )
-        out = out.join(gathered, F.col(key) == F.col("__parent"), "left").drop("__parent")
-    return out
+    columns = [c for c in children.columns if c != parent_key]
+    sizes = children.groupBy(F.col(parent_key).alias("__size_of")).agg(F.count("*").alias("__n"))
+    large = sizes.filter(F.col("__n") > at_most)
+    parted = children.join(large, F.col(parent_key) == F.col("__size_of"), "left")
+    parts = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / at_most)
+    part = F.pmod(F.xxhash64(*columns), parts)
+    gathered = parted.groupBy(F.col(parent_key).alias("__parent"), part.alias(f"{name}_part")).agg(
+        F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
+    )
+    return parents.join(gathered, F.col(key) == F.col("__parent"), "left").drop("__parent")
 
 
 def facts_with_entities(star: Star, keys: Sequence[str] = tuple(RELATIONS)) -> DataFrame:

@@ -119,10 +119,15 @@ def moving_average(series: DataFrame, points: int = 7) -> DataFrame:
     return series.select("series", "key", "value", F.avg("value").over(window).alias("sma"))
 
 
+def one_per_day(series: DataFrame) -> DataFrame:
+    """Points of a series with repeated days averaged, which bounds its length."""
+    _require_dates(series)
+    return series.groupBy("series", "key").agg(F.avg("value").alias("value"))
+
+
 def _in_order(series: DataFrame) -> DataFrame:
     """One row per series with its points in date order."""
-    _require_dates(series)
-    return series.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("points"))
+    return one_per_day(series).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("points"))
 
 
 def _smoothed(values: Column, alpha: float) -> Column:
