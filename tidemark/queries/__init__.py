@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.queries.registry import REGISTRY, Query
 
-for _module in ("reads", "requests", "breakdowns", "snapshots", "scalars", "loads"):
+for _module in ("reads", "requests", "breakdowns", "snapshots", "scalars", "loads", "kpis", "reports"):
     import_module(f"tidemark.queries.{_module}")
 
 __all__ = ["REGISTRY", "Query"]
