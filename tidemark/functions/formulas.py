@@ -186,8 +186,9 @@ NOT_METRIC_NAMES = (
 
 @dataclass(frozen=True)
 class FactColumns:
-    """The columns a metric aggregates over.
+    """The columns a metric aggregates over, and the names asked for so far.
 
+    ``empty_as_zero`` makes a sum over no facts 0 as well.
     Raw facts carry ``value`` alone. Facts already summed per config carry the
     partial sum, count and maximum, and every metric here merges partials.
     """
@@ -197,12 +198,16 @@ class FactColumns:
     total: Column = field(default_factory=lambda: F.col("value"))
     count: Column | None = None
     largest: Column | None = None
+    asked: set[str] = field(default_factory=set)
+    empty_as_zero: bool = False
 
     def matches(self, names: Iterable[str], period: str) -> Column:
+        self.asked.update(n.lower() for n in names)
         return self.name.isin([n.lower() for n in names]) & (self.period == period)
 
     def sum_of(self, names: Iterable[str], period: str = "daily") -> Column:
-        return F.sum(F.when(self.matches(names, period), self.total).otherwise(F.lit(0.0)))
+        total = F.sum(F.when(self.matches(names, period), self.total).otherwise(F.lit(0.0)))
+        return F.coalesce(total, F.lit(0.0)) if self.empty_as_zero else total
 
     def max_of(self, names: Iterable[str], period: str = "daily") -> Column:
         value = self.largest if self.largest is not None else self.total

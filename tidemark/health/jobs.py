@@ -23,16 +23,32 @@ RECENT_START = "-3 days"
 DEFAULT_WORKERS = 3
 
 
-def account_of(payload: Column) -> Column:
-    return F.coalesce(json_path(payload, "account_id"), json_path(payload, "params.account_id"))
+PAYLOAD_SCHEMA = (
+    "account_id string, instance_name string, "
+    "params struct<account_id: string, type: string, startDate: string, endDate: string, start_date: string>"
+)
 
 
-def is_recent(payload: Column) -> Column:
-    """Jobs that re-pull the last days."""
-    start = F.coalesce(json_path(payload, "params.startDate"), json_path(payload, "params.start_date"))
-    named = json_path(payload, "instance_name").like("%-recent")
-    typed = json_path(payload, "params.type") == "recent"
-    return F.coalesce(named, F.lit(False)) | F.coalesce(typed, F.lit(False)) | F.coalesce(start == RECENT_START, F.lit(False))
+def with_payload(jobs: DataFrame) -> DataFrame:
+    """Jobs with the parts of their payload the reports read, parsed once.
+
+    ``is_recent`` marks jobs that re-pull the last days.
+    """
+    parsed = jobs.withColumn("p", F.from_json("payload", PAYLOAD_SCHEMA))
+    params = F.col("p.params")
+    recent = (
+        F.coalesce(F.col("p.instance_name").like("%-recent"), F.lit(False))
+        | F.coalesce(params["type"] == "recent", F.lit(False))
+        | F.coalesce(F.coalesce(params["startDate"], params["start_date"]) == RECENT_START, F.lit(False))
+    )
+    return parsed.select(
+        *[c for c in jobs.columns if c != "payload"],
+        F.coalesce(F.col("p.account_id"), params["account_id"]).alias("account_id"),
+        F.col("p.instance_name").alias("instance_name"),
+        params["startDate"].alias("start_date"),
+        params["endDate"].alias("end_date"),
+        recent.alias("is_recent"),
+    )
 
 
 def _is(status: str) -> Column:
@@ -45,15 +61,14 @@ def account_status(jobs: DataFrame, accounts: DataFrame | None = None, count_can
     Cancelled and delayed jobs, and scheduled recent ones, do not count. Accounts
     known to be disabled are left out.
     """
-    payload = F.col("payload")
-    keyed = jobs.withColumn("account_id", F.coalesce(account_of(payload), F.lit(GLOBAL_ACCOUNT)))
+    keyed = with_payload(jobs).withColumn("account_id", F.coalesce("account_id", F.lit(GLOBAL_ACCOUNT)))
     if accounts is not None:
         disabled = accounts.filter(~F.col("enabled")).select(F.col("platform_id").alias("account_id")).distinct()
         disabled = disabled.filter(F.col("account_id") != GLOBAL_ACCOUNT)
         keyed = keyed.join(disabled, "account_id", "left_anti")
-    name = F.regexp_replace(F.regexp_replace(F.trim(F.col("account_id")), '^"+|"+$', ""), "^#+", "")
+    name = F.ltrim(F.btrim(F.trim("account_id"), F.lit('"')), F.lit("#"))
     keyed = keyed.withColumn("account_id", name).filter((name != "") & (name != "null"))
-    left_out = _is("cancelled") | _is("delayed") | (is_recent(payload) & _is("scheduled"))
+    left_out = _is("cancelled") | _is("delayed") | (F.col("is_recent") & _is("scheduled"))
     return keyed.groupBy("channel", "account_id").agg(
         (F.count("*") if count_cancelled else F.count_if(~_is("cancelled"))).alias("total"),
         *[F.count_if(_is(s)).alias(s) for s in ("completed", "failed", "processing", "scheduled")],
@@ -115,12 +130,11 @@ def channel_accounts(jobs: DataFrame, accounts: DataFrame, channel: str) -> Data
 
 def completed_days(jobs: DataFrame) -> DataFrame:
     """Days covered by completed jobs, per channel and account."""
-    payload = F.col("payload")
-    start = F.to_date(json_path(payload, "params.startDate").try_cast("date"))
-    end = F.coalesce(json_path(payload, "params.endDate").try_cast("date"), start)
-    done = jobs.filter(_is("completed")).select(
+    start = F.col("start_date").try_cast("date")
+    end = F.coalesce(F.col("end_date").try_cast("date"), start)
+    done = with_payload(jobs.filter(_is("completed"))).select(
         "channel",
-        F.coalesce(account_of(payload), F.lit(GLOBAL_ACCOUNT)).alias("account_id"),
+        F.coalesce("account_id", F.lit(GLOBAL_ACCOUNT)).alias("account_id"),
         start.alias("first"),
         end.alias("last"),
     )
@@ -166,16 +180,15 @@ def last_success(jobs: DataFrame, now: str, within_hours: int = 24) -> DataFrame
 
 def unblocked(jobs: DataFrame, status: str = "scheduled") -> DataFrame:
     """Waiting jobs whose account (or instance, without one) has no running job."""
-    payload = F.col("payload")
-    account, instance = account_of(payload), F.coalesce(json_path(payload, "instance_name"), F.lit(""))
-    running = jobs.filter(_is("processing"))
-    busy_accounts = running.select(account.alias("__busy")).filter("__busy IS NOT NULL").distinct()
+    known = with_payload(jobs.filter(_is("processing") | _is(status)))
+    running, waiting = known.filter(_is("processing")), known.filter(_is(status))
+    instance = F.coalesce("instance_name", F.lit(""))
+    busy_accounts = running.select(F.col("account_id").alias("__busy")).filter("__busy IS NOT NULL").distinct()
     busy_instances = running.select(instance.alias("__busy")).distinct()
-    waiting = jobs.filter(_is(status)).withColumns({"account_id": account, "instance_name": json_path(payload, "instance_name")})
     with_account = waiting.filter(F.col("account_id").isNotNull())
     without = waiting.filter(F.col("account_id").isNull())
     return with_account.join(busy_accounts, F.col("account_id") == F.col("__busy"), "left_anti").unionByName(
-        without.join(busy_instances, F.coalesce("instance_name", F.lit("")) == F.col("__busy"), "left_anti")
+        without.join(busy_instances, instance == F.col("__busy"), "left_anti")
     )
 
 
@@ -213,13 +226,12 @@ def history(jobs: DataFrame, previous: int = 10) -> DataFrame:
 
     A scope is channel, entity, account and date range.
     """
-    payload = F.col("payload")
-    scoped = jobs.select(
+    scoped = with_payload(jobs).select(
         F.lower(F.trim("channel")).alias("channel"),
         F.lower(F.trim("entity")).alias("entity"),
-        F.coalesce(account_of(payload), F.lit("all_accounts")).alias("account_id"),
-        F.coalesce(json_path(payload, "params.startDate"), F.lit("null")).alias("start_date"),
-        F.coalesce(json_path(payload, "params.endDate"), F.lit("null")).alias("end_date"),
+        F.coalesce("account_id", F.lit("all_accounts")).alias("account_id"),
+        F.coalesce("start_date", F.lit("null")).alias("start_date"),
+        F.coalesce("end_date", F.lit("null")).alias("end_date"),
         "id",
         "status",
         "message",

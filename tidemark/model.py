@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -92,7 +93,7 @@ class Star:
     formulas: Mapping[str, Formula] = field(default_factory=dict)
 
     def register_relation(self, key: str, spec: RelationSpec, frame: DataFrame | None = None) -> Star:
-        entities = {**self.entities, spec.table: frame} if frame is not None else self.entities
+        entities = ChainMap({spec.table: frame}, self.entities) if frame is not None else self.entities
         return replace(self, relations={**self.relations, key: spec}, entities=entities)
 
     def register_formula(self, name: str, formula: Formula | str) -> Star:

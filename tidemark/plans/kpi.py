@@ -184,7 +184,8 @@ def evaluate_kpi(
     value, has = fold(tree)
     if key is None:
         return row.select(value.alias("value"))
-    return row.filter(has if has is not None else F.lit(True)).select("key", value.alias("value"))
+    label = D.grain_label(F.col("key"), group_by) if group_by in D.GRAINS and group_by not in D.DAILY_NAMES else F.col("key")
+    return row.filter(has if has is not None else F.lit(True)).select(label.alias("key"), value.alias("value"))
 
 
 def _series_key(group_by: str | None) -> Column | None:
@@ -193,7 +194,7 @@ def _series_key(group_by: str | None) -> Column | None:
     if group_by in D.DAILY_NAMES:
         return F.col("metric_date")
     if group_by in D.GRAINS:
-        return D.grain_label(F.col("metric_date"), group_by)
+        return D.grain_start(F.col("metric_date"), group_by)
     if group_by.endswith("_id") or group_by in ("channel", "name"):
         return F.col(group_by)
     return F.coalesce(dimension(group_by), F.lit("unknown"))

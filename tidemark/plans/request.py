@@ -227,12 +227,14 @@ class _Groups:
     """Columns to group by, and labels to look up once the groups are formed.
 
     A label depends on its key alone, so it is joined to the few result rows
-    rather than to every fact.
+    rather than to every fact. Likewise ``periods`` are grouped by their first
+    day and spelled out in the result.
     """
 
     keys: dict[str, Column] = field(default_factory=dict)
     labels: list[tuple[str, RelationSpec]] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
+    periods: list[str] = field(default_factory=list)
 
     def add(self, name: str, column: Column) -> None:
         self.keys[name] = column
@@ -246,7 +248,8 @@ def _groups(frame: DataFrame, star: Star, request: AggregateRequest, unknown: st
         if name in D.DAILY_NAMES:
             out.add(name, day)
         elif name in D.GRAINS:
-            out.add(name, D.grain_label(day, name))
+            out.add(name, D.grain_start(day, name))
+            out.periods.append(name)
         elif name in D.DATE_PARTS:
             out.add(name, D.date_part(day, name))
         elif name in PLAIN_COLUMNS or (name.endswith("_id") and name in frame.columns):
@@ -301,7 +304,13 @@ def _with_labels(result: DataFrame, star: Star, groups: _Groups, measures: Seque
             .withColumn(name, F.coalesce("__label", missing))
             .drop("__id", "__label")
         )
-    return result.select(*[f"`{c}`" for c in [*groups.columns, *measures]])
+    return _with_period_names(result.select(*[f"`{c}`" for c in [*groups.columns, *measures]]), groups)
+
+
+def _with_period_names(result: DataFrame, groups: _Groups) -> DataFrame:
+    for name in groups.periods:
+        result = result.withColumn(name, D.grain_label(F.col(name), name))
+    return result
 
 
 # --- measures --------------------------------------------------------------
@@ -328,6 +337,11 @@ def measure(
     return found
 
 
+def _by_name(text: str, star: Star) -> bool:
+    """Whether a measure reads facts by metric name only."""
+    return text.strip().isidentifier() and text.strip().lower() not in star.formulas
+
+
 def _organic_period(request: AggregateRequest) -> str:
     if request.filters.get("period"):
         return request.period
@@ -350,8 +364,12 @@ def _conditional(star: Star, request: AggregateRequest, dictionary: M.MetricDict
     elif delta:
         frame = snapshot_delta(frame, request.start_date, request.end_date, mode, source=star.frame())
     groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
-    facts = M.FactColumns()
+    total = not request.group_by and not snapshot
+    facts = M.FactColumns(empty_as_zero=total)
     measures = {a: measure(t, star, request, facts, dictionary, frame.columns) for a, t in request.aggregations.items()}
+    if total and all(_by_name(t, star) for t in request.aggregations.values()):
+        # Facts of other metrics add nothing to a total, so they need not be joined.
+        frame = frame.filter(facts.name.isin(sorted(facts.asked)))
     if snapshot:
         measures["snapshot_effective_date"] = F.max("metric_date")
     keys = [c.alias(k) for k, c in groups.keys.items()]
@@ -375,7 +393,7 @@ def _can_presum(star: Star, request: AggregateRequest) -> bool:
 
 def _presummed(star: Star, request: AggregateRequest, dictionary: M.MetricDictionary) -> DataFrame:
     day = F.col("metric_date")
-    temporal = {n: D.grain_label(day, n) for n in request.group_by if n in D.GRAINS and n != "daily"}
+    temporal = {n: D.grain_start(day, n) for n in request.group_by if n in D.GRAINS and n != "daily"}
     temporal |= {n: D.date_part(day, n) for n in request.group_by if n in D.DATE_PARTS}
     temporal |= {n: day for n in request.group_by if n in D.DAILY_NAMES}
     partial = (
@@ -415,7 +433,8 @@ def _weighted(star: Star, request: AggregateRequest, dictionary: M.MetricDiction
         groups.keys.pop(f"{name}_id")
         groups.keys[name] = F.coalesce(F.col(f"__label_{name}"), F.lit(WEIGHTED_UNKNOWN))
     ordered = {n: groups.keys[n] for n in request.group_by}
-    return weighted_aggregate(frame, request.aggregations, ordered, dictionary, request.channel)
+    result = weighted_aggregate(frame, request.aggregations, ordered, dictionary, request.channel)
+    return _with_period_names(result, groups)
 
 
 # --- result ----------------------------------------------------------------

@@ -135,11 +135,9 @@ def backlog(spark, folder):
     f"""WITH {JOBS} SELECT id, account_id, CAST(rn AS INT) AS account_rank FROM (SELECT *, row_number() OVER (PARTITION BY account_id, instance_name ORDER BY priority DESC, updated_at, id) AS rn FROM jobs WHERE status = 1) WHERE rn <= 5""",
 )
 def ranked_backlog(spark, folder):
-    from tidemark.functions.text import json_path
     from tidemark.operators.rank import best_per_group
 
-    waiting = T.jobs(spark, folder).filter(F.col("status") == 1)
-    keyed = waiting.withColumns({"account_id": J.account_of(F.col("payload")), "instance_name": json_path(F.col("payload"), "instance_name")})
+    keyed = J.with_payload(T.jobs(spark, folder).filter(F.col("status") == 1))
     order = [F.col("priority").desc(), F.col("updated_at").asc(), F.col("id").asc()]
     return best_per_group(keyed, ["account_id", "instance_name"], order, 5, "account_rank").select("id", "account_id", "account_rank")
 

@@ -6,6 +6,9 @@ pruning reach the scan.
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +44,27 @@ CONFIG_SCHEMA = {
 }
 
 
+# Schemas of the sample tables; naming them spares a footer read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _choice(column: Column, mapping: dict[str, str]) -> Column:
@@ -200,55 +222,100 @@ def lifetime_facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def entities(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Entity tables under the names the relations use."""
-    customer = table(spark, folder, "customer")
-    pages = table(spark, folder, "pages")
-    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    return {
-        "channeled_accounts": customer.select(
-            F.col("c_custkey").alias("id"),
-            F.col("c_name").alias("name"),
-            F.concat(F.lit("acc-"), F.col("c_custkey").cast("string")).alias("platform_id"),
-            F.lower("c_mktsegment").alias("type"),
-            (F.col("c_acctbal") >= 0).alias("enabled"),
-            F.to_json(F.struct(F.concat(F.lit("ent-"), F.col("c_nationkey").cast("string")).alias("platform_id"))).alias("data"),
-        ),
-        "channeled_campaigns": customer.select(
-            F.col("c_custkey").alias("id"),
-            F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("objective"))).alias("data"),
-            F.when(F.col("c_acctbal") >= 0, "ACTIVE").otherwise("PAUSED").alias("status"),
-        ),
-        "nations": table(spark, folder, "nation").select(
-            F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_id")
-        ),
-        "channeled_ad_groups": table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")),
-        "channeled_ads": table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")),
-        "queries": table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("query")),
-        "devices": table(spark, folder, "lineitem")
-        .select(F.col("l_returnflag").alias("type"))
-        .distinct()
-        .select(F.ascii("type").cast("long").alias("id"), "type"),
-        "pages": pages.select(
-            F.col("page_id").alias("id"),
-            "url",
-            title.alias("title"),
-            F.concat(F.lit("pg-"), F.col("page_id").cast("string")).alias("platform_id"),
-        ),
-        "posts": pages.select(
-            F.col("page_id").alias("id"),
-            F.concat_ws("_", F.lit("pg"), F.col("page_id").cast("string")).alias("post_id"),
-            F.col("page_id").alias("page_id"),
-            F.to_json(
-                F.struct(
-                    title.alias("caption"),
-                    F.lit("2024-01-01").alias("timestamp"),
-                    F.regexp_extract("url", r"^(https?):", 1).alias("media_type"),
-                    F.col("url").alias("permalink"),
-                )
-            ).alias("data"),
-        ),
-    }
+class Entities(Mapping):
+    """Entity tables under the names the relations use, each built when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._read = lambda name: table(spark, folder, name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in _ENTITIES:
+            raise KeyError(name)
+        return _ENTITIES[name](self._read)
+
+    def __iter__(self):
+        return iter(_ENTITIES)
+
+    def __len__(self) -> int:
+        return len(_ENTITIES)
+
+
+def _channeled_accounts(read) -> DataFrame:
+    entity = F.struct(F.concat(F.lit("ent-"), F.col("c_nationkey").cast("string")).alias("platform_id"))
+    return read("customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("acc-"), F.col("c_custkey").cast("string")).alias("platform_id"),
+        F.lower("c_mktsegment").alias("type"),
+        (F.col("c_acctbal") >= 0).alias("enabled"),
+        F.to_json(entity).alias("data"),
+    )
+
+
+def _channeled_campaigns(read) -> DataFrame:
+    return read("customer").select(
+        F.col("c_custkey").alias("id"),
+        F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("objective"))).alias("data"),
+        F.when(F.col("c_acctbal") >= 0, "ACTIVE").otherwise("PAUSED").alias("status"),
+    )
+
+
+def _title() -> Column:
+    return F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+
+
+def _pages(read) -> DataFrame:
+    return read("pages").select(
+        F.col("page_id").alias("id"),
+        "url",
+        _title().alias("title"),
+        F.concat(F.lit("pg-"), F.col("page_id").cast("string")).alias("platform_id"),
+    )
+
+
+def _posts(read) -> DataFrame:
+    attributes = F.struct(
+        _title().alias("caption"),
+        F.lit("2024-01-01").alias("timestamp"),
+        F.regexp_extract("url", r"^(https?):", 1).alias("media_type"),
+        F.col("url").alias("permalink"),
+    )
+    return read("pages").select(
+        F.col("page_id").alias("id"),
+        F.concat_ws("_", F.lit("pg"), F.col("page_id").cast("string")).alias("post_id"),
+        F.col("page_id").alias("page_id"),
+        F.to_json(attributes).alias("data"),
+    )
+
+
+def _named(name: str, key: str, label: str, output: str = "name"):
+    return lambda read: read(name).select(F.col(key).cast("long").alias("id"), F.col(label).alias(output))
+
+
+def _devices(read) -> DataFrame:
+    types = read("lineitem").select(F.col("l_returnflag").alias("type")).distinct()
+    return types.select(F.ascii("type").cast("long").alias("id"), "type")
+
+
+_ENTITIES = {
+    "channeled_accounts": _channeled_accounts,
+    "channeled_campaigns": _channeled_campaigns,
+    "channeled_ad_groups": _named("supplier", "s_suppkey", "s_name"),
+    "channeled_ads": _named("part", "p_partkey", "p_name"),
+    "queries": _named("supplier", "s_suppkey", "s_name", "query"),
+    "nations": _named("nation", "n_nationkey", "n_name"),
+    "devices": _devices,
+    "pages": _pages,
+    "posts": _posts,
+}
+
+
+def entities(spark: SparkSession, folder: str) -> Entities:
+    return Entities(spark, folder)
+
+
+def _replaced(base: Mapping[str, DataFrame], **tables: DataFrame) -> ChainMap:
+    return ChainMap(tables, base)
 
 
 def event_star(spark: SparkSession, folder: str) -> Star:
@@ -265,15 +332,20 @@ def lifetime_star(spark: SparkSession, folder: str) -> Star:
 
 def ads_star(spark: SparkSession, folder: str) -> Star:
     tables = entities(spark, folder)
-    return Star(facts=ads_facts(spark, folder), entities={**tables, "channeled_accounts": tables["nations"]})
+    return Star(facts=ads_facts(spark, folder), entities=_replaced(tables, channeled_accounts=tables["nations"]))
 
 
 def search_star(spark: SparkSession, folder: str) -> Star:
-    tables = entities(spark, folder)
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("url"), F.col("p_brand").alias("title"), F.col("p_type").alias("platform_id")
     )
-    return Star(facts=search_facts(spark, folder), entities={**tables, "pages": parts})
+    statuses = table(spark, folder, "lineitem").select("l_linestatus").distinct()
+    sets = statuses.select(
+        F.col("l_linestatus").alias("dimension_set_id"), F.create_map(F.lit("searchappearance"), F.col("l_linestatus")).alias("dims")
+    )
+    return Star(
+        facts=search_facts(spark, folder), dimension_sets=sets, entities=_replaced(entities(spark, folder), pages=parts)
+    )
 
 
 def normal_event_star(spark: SparkSession, folder: str) -> Star:
