@@ -30,26 +30,26 @@ def merged_payloads(
     its arrays instead. Payloads are taken apart first, so no task holds all the
     payloads of a row at once.
     """
-    parts = rows.select(*keys, sequence, F.explode_outer(json_pairs(F.col(data))).alias("k", "value"))
-    text = parts.select(*keys, sequence, "k", F.to_json("value").alias("v"))
-    latest = text.groupBy(*keys, "k").agg(F.max_by("v", sequence).alias("v"))
+    parts = rows.select(*keys, sequence, F.explode_outer(json_pairs(F.col(data))).alias("__key", "__value"))
+    text = parts.select(*keys, sequence, "__key", F.to_json("__value").alias("v"))
+    latest = text.groupBy(*keys, "__key").agg(F.max_by("v", sequence).alias("v"))
     if union_arrays:
         elements = parts.select(
             *keys,
             sequence,
-            "k",
-            F.posexplode(F.transform(F.try_variant_get("value", "$", "array<variant>"), lambda x: F.to_json(x))).alias("pos", "e"),
+            "__key",
+            F.posexplode(F.transform(F.try_variant_get("__value", "$", "array<variant>"), lambda x: F.to_json(x))).alias("pos", "e"),
         )
         # Repeats collapse map-side before a union is put together.
-        once = elements.groupBy(*keys, "k", "e").agg(F.min(F.struct(sequence, "pos")).alias("at"))
-        unions = once.groupBy(*keys, "k").agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("es"))
+        once = elements.groupBy(*keys, "__key", "e").agg(F.min(F.struct(sequence, "pos")).alias("at"))
+        unions = once.groupBy(*keys, "__key").agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("es"))
         joined_text = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]"))
         same = F.lit(True)
-        renamed = unions.select(*[F.col(c).alias(f"__{c}") for c in [*keys, "k"]], joined_text.alias("__union"))
-        for c in [*keys, "k"]:
+        renamed = unions.select(*[F.col(c).alias(f"__{c}") for c in [*keys, "__key"]], joined_text.alias("__union"))
+        for c in [*keys, "__key"]:
             same = same & latest[c].eqNullSafe(renamed[f"__{c}"])
         latest = latest.join(renamed, same, "left").select(
-            *keys, "k", F.when(F.col("v").startswith("["), F.coalesce("__union", "v")).otherwise(F.col("v")).alias("v")
+            *keys, "__key", F.when(F.col("v").startswith("["), F.coalesce("__union", "v")).otherwise(F.col("v")).alias("v")
         )
-    entries = F.sort_array(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
+    entries = F.sort_array(F.collect_list(F.when(F.col("__key").isNotNull(), F.struct(F.col("__key").alias("k"), "v"))))
     return latest.groupBy(*keys).agg(_object(entries).alias(data))

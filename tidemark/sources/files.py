@@ -37,7 +37,7 @@ def read_event_documents(spark: SparkSession, path: str, schema: T.StructType =
 
     A file is read by one task, as JSON without line breaks cannot be split.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     array = T.ArrayType(schema)
     wrapped = F.from_json("value", T.StructType([T.StructField("events", array)]))["events"]
     events = F.when(F.ltrim("value").startswith("["), F.from_json("value", array)).otherwise(wrapped)
