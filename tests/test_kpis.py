@@ -163,6 +163,8 @@ def test_ranks_of_one_big_group(spark, rows):
 def test_best_and_samples(spark, rows):
     df = spark.range(20).select((F.col("id") % 2).alias("g"), "id")
     assert rows(best_per_group(df, ["g"], [F.col("id").desc()], 2)) == [(0, 16), (0, 18), (1, 17), (1, 19)]
+    plan = best_per_group(df, ["g"], [F.col("id").desc()], 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # once before the shuffle, once after
     assert oldest_and_newest(df, ["g"], "id", 2).count() == 8
     assert oldest_and_newest(df, ["g"], "id", 50).count() == 20
 

@@ -332,10 +332,49 @@ def test_incremental_load_is_idempotent(spark, tmp_path, rows):
     arrive(("a", 5.0), ("b", 2.0))
     assert load() == [("a", 7.0), ("b", 2.0)]
     assert load() == [("a", 7.0), ("b", 2.0)]
-    assert rows(compact(spark, target, keys, str(tmp_path / "base"))) == [("a", 7.0), ("b", 2.0)]
+    base = str(tmp_path / "base")
+    assert rows(compact(spark, target, keys, base)) == [("a", 7.0), ("b", 2.0)]
+    arrive(("b", 9.0), ("c", 1.0))
+    load()
+    assert rows(read_merged(spark, target, keys, base, after=1)) == [("a", 7.0), ("b", 9.0), ("c", 1.0)]
 
 
 def test_coverage(spark, rows):
     facts = spark.createDataFrame([("x", date(2026, 1, d)) for d in (1, 3, 4)] + [("y", date(2025, 1, 1))], "channel string, metric_date date")
     assert rows(R.coverage(facts, "2026-01-04", 4)) == [("x", 1, 75.0), ("y", 3, 25.0)]
     assert rows(R.missing_days(facts, "2026-01-04", 4).filter("channel = 'x'"), "missing_day") == [(date(2026, 1, 2),)]
+
+
+def test_fact_files_merge_touches_its_months_only(spark, tmp_path, rows):
+    schema = "metric_config_id long, dimensions_hash string, metric_date date, value double"
+    path = str(tmp_path / "facts")
+    files.write_facts(spark.createDataFrame([(1, "h", date(2026, m, 15), float(m)) for m in (1, 2, 3)], schema), path)
+    january = {p.name for p in (tmp_path / "facts" / "month=2026-01").iterdir()}
+    batch = spark.createDataFrame([(1, "h", date(2026, 2, 15), 1.0), (1, "h", date(2026, 3, 15), 9.0), (2, "h", date(2026, 4, 1), 4.0)], schema)
+    for load in ("one", "again"):
+        assert files.merge_fact_files(spark, batch, path, load) == ["2026-02", "2026-03", "2026-04"]
+        got = rows(files.read_facts(spark, path), "metric_config_id", "metric_date", "value")
+        assert got == [
+            (1, date(2026, 1, 15), 1.0),
+            (1, date(2026, 2, 15), 2.0),
+            (1, date(2026, 3, 15), 9.0),
+            (2, date(2026, 4, 1), 4.0),
+        ]
+    assert {p.name for p in (tmp_path / "facts" / "month=2026-01").iterdir()} == january
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    facts = spark.range(1000).select((F.col("id") % 50).alias("metric_config_id"), F.col("id").cast("double").alias("value"))
+    configs = spark.range(50).select(F.col("id").alias("metric_config_id"), F.lit("clicks").alias("name"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame, name in ((facts, "bucketed_facts"), (configs, "bucketed_configs")):
+            files.write_bucketed(frame, name, "metric_config_id", 4)
+        joined = spark.table("bucketed_facts").join(spark.table("bucketed_configs"), "metric_config_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("bucketed_facts", "bucketed_configs"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -237,3 +237,18 @@ def test_ordering_ignores_unknown_names(spark):
     assert ask("C", "desc") == [5.0, 1.0]
     assert ask("DAILY") == [1.0, 5.0]
     assert sorted(ask("nothing")) == [1.0, 5.0]
+
+
+def test_snapshot_dates_ignore_filters_beyond_the_context(spark, rows):
+    """A metric absent on the context's last date adds nothing, though it has older facts."""
+    frame = facts(
+        spark,
+        fact("likes", 3, "2026-04-01", period="lifetime", post=1),
+        fact("views", 9, "2026-04-02", period="lifetime", post=1),
+        fact("likes", 5, "2026-04-03", period="lifetime", post=2),
+    )
+    filters = {"latest_snapshot": True, "name": "likes", "period": "lifetime"}
+    ask = AggregateRequest({"likes": "likes"}, ["post_id"], filters, "2026-04-01", "2026-04-30")
+    assert rows(aggregate(Star(facts=frame), ask), "post_id", "likes") == [(2, 5.0)]
+    one_post = AggregateRequest({"likes": "likes"}, ["post_id"], {**filters, "post_id": 2}, "2026-04-01", "2026-04-30")
+    assert rows(aggregate(Star(facts=frame), one_post), "post_id", "likes") == [(2, 5.0)]

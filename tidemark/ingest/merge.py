@@ -117,14 +117,18 @@ def rekey_configs(configs: DataFrame, signature: Column) -> tuple[DataFrame, Dat
 def rekey_metrics(metrics: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Facts moved to the surviving config; the newer config's fact wins a clash."""
     mapping = duplicates.select(F.col("duplicate_id").alias("__dup"), F.col("survivor_id").alias("__keep"))
-    moved = metrics.join(mapping, F.col("metric_config_id") == F.col("__dup"), "left")
+    # Only facts of configs that merge can clash; all others stay where they are.
+    merging = duplicates.select(F.explode(F.array("duplicate_id", "survivor_id")).alias("__id")).distinct()
+    same = F.col("metric_config_id") == F.col("__id")
+    untouched, clashing = metrics.join(merging, same, "left_anti"), metrics.join(merging, same, "left_semi")
+    moved = clashing.join(mapping, F.col("metric_config_id") == F.col("__dup"), "left")
     moved = moved.withColumn("__from", F.col("metric_config_id")).withColumn(
         "metric_config_id", F.coalesce("__keep", "metric_config_id")
     )
     keys = ["metric_config_id", "dimensions_hash", "metric_date"]
     rest = [c for c in metrics.columns if c not in keys]
     picked = moved.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__from").alias("r"))
-    return picked.select(*keys, "r.*").select(*metrics.columns)
+    return untouched.unionByName(picked.select(*keys, "r.*").select(*metrics.columns))
 
 
 def purge_channel(metrics: DataFrame, configs: DataFrame, channel: str) -> tuple[DataFrame, DataFrame]:

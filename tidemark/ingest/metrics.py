@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import CONFIG_PARTS, config_signature, dimensions_hash, surrogate_id
@@ -91,8 +91,21 @@ def fact_rows(batch: DataFrame) -> DataFrame:
     return last_write_wins(facts, FACT_KEYS, "sequence").drop("sequence")
 
 
+def within_days_of(stored: DataFrame, batch: DataFrame, days_before: int = 0) -> Column:
+    """Test for stored facts within the days of a batch.
+
+    The bounds are scalar subqueries, so they prune partitions of the stored
+    facts once the batch has been looked at.
+    """
+    first = batch.agg(F.date_sub(F.min("metric_date"), days_before).alias("d")).scalar()
+    last = batch.agg(F.max("metric_date").alias("d")).scalar()
+    return (F.col("metric_date") >= first) & (F.col("metric_date") <= last)
+
+
 def load_facts(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    return merge_largest(stored, fact_rows(batch), FACT_KEYS)
+    """Facts with a batch merged in; days outside the batch pass through unshuffled."""
+    near = F.coalesce(within_days_of(stored, batch), F.lit(False))
+    return stored.filter(~near).unionByName(merge_largest(stored.filter(near), fact_rows(batch), FACT_KEYS))
 
 
 def provenance_rows(batch: DataFrame) -> DataFrame:
@@ -121,7 +134,8 @@ def load_provenance(stored: DataFrame, batch: DataFrame, keep_payloads: bool = T
 
 def load_batch(tables: MetricTables, batch: DataFrame, parents: DataFrame | None = None, keep_payloads: bool = True) -> MetricTables:
     """Configs, facts and provenance of one batch, daily changes included."""
-    stored = tables.metrics.join(
+    recent = tables.metrics.filter(within_days_of(tables.metrics, batch, 1))
+    stored = recent.join(
         tables.configs.select(F.col("id").alias("metric_config_id"), F.col("config_signature").alias("signature")), "metric_config_id"
     )
     full = daily_from_lifetime(batch, stored.select("signature", "metric_date", "value"), signature_of)

@@ -45,6 +45,12 @@ def _by_day() -> Window:
     return Window.partitionBy("series").orderBy("key")
 
 
+def one_per_day(series: DataFrame) -> DataFrame:
+    """Points of a series with repeated days averaged, which bounds its length."""
+    _require_dates(series)
+    return series.groupBy("series", "key").agg(F.avg("value").alias("value"))
+
+
 def granger(pairs: DataFrame) -> DataFrame:
     """Whether yesterday's x helps predict y beyond yesterday's y (lag 1).
 
@@ -53,7 +59,8 @@ def granger(pairs: DataFrame) -> DataFrame:
     """
     _require_dates(pairs)
     w = _by_day()
-    lagged = pairs.select(
+    daily = pairs.groupBy("series", "key").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    lagged = daily.select(
         "series",
         F.col("y").alias("t"),
         F.lag("y").over(w).alias("a"),
@@ -80,9 +87,8 @@ def granger(pairs: DataFrame) -> DataFrame:
 
 def autocorrelation(series: DataFrame, lags: int = 7) -> DataFrame:
     """Correlation of a series with itself, 1 to ``lags`` points earlier."""
-    _require_dates(series)
     w = _by_day()
-    shifted = series.select("series", "value", *[F.lag("value", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
+    shifted = one_per_day(series).select("series", "value", *[F.lag("value", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
     wide = shifted.groupBy("series").agg(*[F.corr("value", f"l{k}").alias(f"l{k}") for k in range(1, lags + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("correlation")) for k in range(1, lags + 1)])
     return wide.select("series", F.inline(pairs))
@@ -98,7 +104,7 @@ def anomalies(series: DataFrame, limit: float = ANOMALY_LIMIT) -> DataFrame:
 
 def trend(series: DataFrame, logarithmic: bool = False) -> DataFrame:
     """Straight or logarithmic line through the points in date order."""
-    _require_dates(series)
+    series = one_per_day(series)
     index = F.row_number().over(_by_day()).cast("double")
     x = F.ln(index) if logarithmic else index - 1
     return (
@@ -114,15 +120,8 @@ def trend(series: DataFrame, logarithmic: bool = False) -> DataFrame:
 
 def moving_average(series: DataFrame, points: int = 7) -> DataFrame:
     """Mean of the last ``points`` points; fewer at the start."""
-    _require_dates(series)
     window = _by_day().rowsBetween(-(points - 1), 0)
-    return series.select("series", "key", "value", F.avg("value").over(window).alias("sma"))
-
-
-def one_per_day(series: DataFrame) -> DataFrame:
-    """Points of a series with repeated days averaged, which bounds its length."""
-    _require_dates(series)
-    return series.groupBy("series", "key").agg(F.avg("value").alias("value"))
+    return one_per_day(series).select("series", "key", "value", F.avg("value").over(window).alias("sma"))
 
 
 def _in_order(series: DataFrame) -> DataFrame:

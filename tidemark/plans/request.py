@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import formulas as M
 from tidemark.model import TEXT_FILTER_COLUMN, RelationSpec, Star, with_columns_or_null
 from tidemark.operators.gapfill import fill_gaps
-from tidemark.operators.snapshot import latest_snapshot, snapshot_delta
+from tidemark.operators.snapshot import CONTEXT, latest_snapshot, snapshot_delta
 from tidemark.operators.weighted import keep_requested_dimension_sets, weighted_aggregate
 from tidemark.session import fits_broadcast
 
@@ -337,6 +337,21 @@ def measure(
     return found
 
 
+def _contexts(star: Star, request: AggregateRequest) -> DataFrame:
+    """Facts the snapshot dates are looked up in: all facts of the contexts asked for.
+
+    Filters on what makes up a context leave whole contexts out and are applied;
+    filters on anything else would hide dates and are not.
+    """
+    kept = {}
+    for key, raw in request.filters.items():
+        spec = star.relations.get(key) or star.relations.get(key.removesuffix("_id"))
+        column = spec.fk if spec is not None else key
+        if key.startswith("dimensions.") or (column in CONTEXT and key not in CONTROL_KEYS):
+            kept[key] = raw
+    return _filtered(star.frame(), star, replace(request, filters=kept))
+
+
 def _by_name(text: str, star: Star) -> bool:
     """Whether a measure reads facts by metric name only."""
     return text.strip().isidentifier() and text.strip().lower() not in star.formulas
@@ -358,11 +373,10 @@ def _conditional(star: Star, request: AggregateRequest, dictionary: M.MetricDict
     if not snapshot and _can_presum(star, request):
         return _presummed(star, request, dictionary)
     frame = filtered_facts(star, request, with_dates=not snapshot)
-    # Snapshot dates are looked up in all facts of a context, not in the filtered ones.
     if latest:
-        frame = latest_snapshot(frame, request.start_date, request.end_date, mode, source=star.frame())
+        frame = latest_snapshot(frame, request.start_date, request.end_date, mode, source=_contexts(star, request))
     elif delta:
-        frame = snapshot_delta(frame, request.start_date, request.end_date, mode, source=star.frame())
+        frame = snapshot_delta(frame, request.start_date, request.end_date, mode, source=_contexts(star, request))
     groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
     total = not request.group_by and not snapshot
     facts = M.FactColumns(empty_as_zero=total)

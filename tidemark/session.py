@@ -56,7 +56,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, an upper bound without column statistics."""
+    """Catalyst's size estimate of a plan; a filter or an aggregate counts as its input."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -67,4 +67,8 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    return plan_bytes(df) <= broadcast_limit(df)
+    """Whether the estimate is within the session's limit; unknown sizes are not."""
+    try:
+        return plan_bytes(df) <= broadcast_limit(df)
+    except (AttributeError, NotImplementedError):
+        return False

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.ingest.merge import merge_largest
+from tidemark.ingest.metrics import FACT_KEYS
+
 QUERY_EVENT_SCHEMA = T.StructType(
     [
         T.StructField("timestamp", T.StringType()),
@@ -78,6 +83,28 @@ def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).write.mode(mode).partitionBy("month").parquet(path)
 
 
+def merge_fact_files(spark: SparkSession, batch: DataFrame, path: str, load: str, keys: Sequence[str] = FACT_KEYS) -> list[str]:
+    """Merge a batch into facts on disk, rewriting the months it falls into.
+
+    The merged months are first written in full to ``_staging/<load>``, which
+    readers skip, and then swapped in. A load that broke off may simply be run
+    again: the larger value wins, so nothing is counted twice.
+    """
+    months = [r["month"] for r in batch.select(F.date_format("metric_date", "yyyy-MM").alias("month")).distinct().collect()]
+    stored = spark.read.parquet(path)
+    near = stored.filter(F.col("month").cast("string").isin(months)).drop("month")
+    staging = f"{path}/_staging/{load}"
+    write_facts(merge_largest(near, batch.select(*near.columns), keys), staging)
+    merged = spark.read.parquet(staging)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    return sorted(months)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Save a table in buckets of a key; tables with equal buckets join without a shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+
+
 def read_facts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Facts of a date range; only the folders of its months are listed and read."""
     facts = spark.read.parquet(path)

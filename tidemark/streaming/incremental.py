@@ -47,9 +47,17 @@ def follow_files(
     )
 
 
-def read_merged(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
-    """The merged facts: the larger value per key over all batches."""
-    return spark.read.parquet(target).groupBy(*keys).agg(F.max("value").alias("value"))
+def read_merged(
+    spark: SparkSession, target: str, keys: Sequence[str], base: str | None = None, after: int = -1
+) -> DataFrame:
+    """The merged facts: the larger value per key over all batches.
+
+    With ``base``, a folder ``compact`` wrote, only batches past ``after`` are read beside it.
+    """
+    rows = spark.read.parquet(target).filter(F.col("batch") > after).select(*keys, "value")
+    if base is not None:
+        rows = rows.unionByName(spark.read.parquet(base).select(*keys, "value"))
+    return rows.groupBy(*keys).agg(F.max("value").alias("value"))
 
 
 def compact(spark: SparkSession, target: str, keys: Sequence[str], output: str) -> DataFrame:
