@@ -206,7 +206,7 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("groups", [[], ["daily"], ["weekly", "k"], ["account", "monthly"], ["dayofweek"]])
+@pytest.mark.parametrize("groups", [[], ["yearly"], ["weekly", "k"], ["account", "monthly"], ["dayofweek"]])
 def test_summing_before_the_config_join_changes_nothing(spark, folder, rows, no_broadcast, groups):
     normal, joined = T.normal_event_star(spark, folder), T.event_star(spark, folder)
     measures = {"clicks": "clicks", "ctr": "ctr", "cpc": "cpc", "roas": "purchase_roas"}
@@ -222,6 +222,12 @@ def test_summing_before_the_config_join_changes_nothing(spark, folder, rows, no_
     assert rounded(left) == rounded(right)
 
 
+def test_groups_by_day_join_configs_at_once(spark, folder, no_broadcast):
+    request = AggregateRequest({"clicks": "clicks"}, ["daily"], {}, "2024-01-03", "2024-01-25")
+    plan = aggregate(T.normal_event_star(spark, folder), request)._jdf.queryExecution().optimizedPlan().toString()
+    assert "value_sum" not in plan
+
+
 def test_dates_reach_the_scan(spark, folder):
     frame = filtered_facts(T.event_star(spark, folder), AggregateRequest({}, [], {}, "2024-01-10", "2024-01-12"))
     plan = frame.select("value")._jdf.queryExecution().executedPlan().toString()

@@ -77,16 +77,16 @@ def upsert(
 def merge_largest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Keep the larger value per key; other columns stay as first stored.
 
+    A key comes at most once on either side.
+
     The merge is commutative and idempotent, so late, repeated and reordered
     loads all give the same table.
     """
     rest = [c for c in stored.columns if c not in (*keys, value)]
     both = stored.withColumn("__load", F.lit(0)).unionByName(batch.select(*stored.columns).withColumn("__load", F.lit(1)))
-    aggregates = [F.max(value).alias(value)]
-    if rest:
-        aggregates.append(F.min_by(F.struct(*rest), "__load").alias("r"))
-    merged = both.groupBy(*keys).agg(*aggregates)
-    return merged.select(*keys, value, *([F.col("r.*")] if rest else [])).select(*stored.columns)
+    # Column by column, so that fixed-width columns aggregate by hash, without a sort.
+    first_stored = [F.min_by(c, "__load").alias(c) for c in rest]
+    return both.groupBy(*keys).agg(F.max(value).alias(value), *first_stored).select(*stored.columns)
 
 
 def repoint(df: DataFrame, column: str, survivors: DataFrame) -> DataFrame:

@@ -56,11 +56,9 @@ def group_tail(pairs: DataFrame, percentile: float = TAIL_DEFAULT, label: str =
     series under three points stay as they are. Ties in x fall by key.
     """
     share = max(TAIL_LOWEST, min(TAIL_HIGHEST, float(percentile)))
-    ranked = row_numbers(pairs, ["series"], ["x", "key"], "__rank")
-    # The highest rank is the size, read from the ranked rows and not from the input again.
-    sizes = ranked.groupBy("series").agg(F.max("__rank").alias("__n"))
+    ranked = row_numbers(pairs, ["series"], ["x", "key"], "__rank", "__n")
     cut = F.greatest(F.lit(1), F.least(F.ceil(F.col("__n") * F.lit(share) / 100), F.col("__n") - 1))
-    marked = ranked.join(sizes, "series").withColumn("__low", (F.col("__n") >= 3) & (F.col("__rank") <= cut))
+    marked = ranked.withColumn("__low", (F.col("__n") >= 3) & (F.col("__rank") <= cut))
     key = F.when(F.col("__low"), F.lit(label)).otherwise(F.col("key").cast("string"))
     return (
         marked.groupBy("series", key.alias("key"), F.col("__low"))

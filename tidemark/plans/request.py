@@ -396,10 +396,13 @@ def _can_presum(star: Star, request: AggregateRequest) -> bool:
 
     Small configs are broadcast, and then summing once after the join is best.
     Otherwise summing first shrinks what the join shuffles, and a config that
-    holds a large share of the facts arrives as one row per period.
+    holds a large share of the facts arrives as one row per period. A config has
+    about one fact a day, so for groups by day there is nothing to sum first.
     """
     if star.facts is not None or star.formulas:
         return False
+    if any(n in (*D.DAILY_NAMES, "day") for n in request.group_by):
+        return False
     if any(n.startswith(("metadata.", "data.")) for n in request.group_by):
         return False
     return not fits_broadcast(star.configs)
@@ -409,7 +412,6 @@ def _presummed(star: Star, request: AggregateRequest, dictionary: M.MetricDictio
     day = F.col("metric_date")
     temporal = {n: D.grain_start(day, n) for n in request.group_by if n in D.GRAINS and n != "daily"}
     temporal |= {n: D.date_part(day, n) for n in request.group_by if n in D.DATE_PARTS}
-    temporal |= {n: day for n in request.group_by if n in D.DAILY_NAMES}
     partial = (
         star.metrics.filter(D.in_range(day, request.start_date, request.end_date))
         .groupBy("metric_config_id", *[c.alias(f"__t_{n}") for n, c in temporal.items()])

@@ -48,6 +48,23 @@ def kpi_total(spark, folder):
     return P.evaluate_kpi(T.event_star(spark, folder), tree, *JANUARY)
 
 
+_OPERATORS = ("+", "-", "*", "/", "ratio", "avg", "min", "max", "abs_diff", "pct_change")
+
+
+@query(
+    "i5_kpi_arithmetic",
+    """WITH p AS (SELECT o_orderkey, o_totalprice AS l, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_custkey END AS r FROM orders)
+    SELECT o_orderkey, R(l + r) AS plus, R(l - r) AS minus, R(l * r) AS times, R(COALESCE(l / NULLIF(r, 0), 0)) AS divided, R(COALESCE(l / NULLIF(l + r, 0), 0)) AS ratio,
+    R((l + r) / 2) AS avg, R(LEAST(l, r)) AS min, R(GREATEST(l, r)) AS max, R(ABS(l - r)) AS abs_diff, R(COALESCE((l - r) / ABS(NULLIF(r, 0)) * 100, 0)) AS pct_change FROM p""",
+    digits=2,
+)
+def kpi_arithmetic(spark, folder):
+    right = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(0.0)).otherwise(F.col("o_custkey").cast("double"))
+    names = {"+": "plus", "-": "minus", "*": "times", "/": "divided"}
+    columns = [P.combine(o, F.col("o_totalprice"), right).alias(names.get(o, o)) for o in _OPERATORS]
+    return T.table(spark, folder, "orders").select("o_orderkey", *columns)
+
+
 _BATCHES = f"""a AS (SELECT k AS key, {SPEND} AS v FROM ev WHERE acc = 3 GROUP BY k), b AS (SELECT k AS key, {SPEND} AS v FROM ev WHERE acc IN (4, 5) GROUP BY k)"""
 
 

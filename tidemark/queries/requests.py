@@ -138,6 +138,24 @@ def period(spark, folder):
     return aggregate(T.organic_star(spark, folder), request)
 
 
+@query(
+    "b10_relation_filter",
+    f"WITH {ADS} SELECT year(d) || '' AS yearly, R({CLICKS}) AS clicks FROM ad WHERE campaign IN (5, 6, 7, 8, 9) AND ad_group <> 3 AND acc IS NOT NULL GROUP BY 1",
+)
+def relation_filter(spark, folder):
+    filters = {
+        "channeledCampaign": {"operator": "in", "value": ["5", 6, "7", 8, 9, "x"]},
+        "adGroup_id": "!=3",
+        "account": "NOT_NULL",
+    }
+    return aggregate(T.ads_star(spark, folder), AggregateRequest({"clicks": "clicks"}, ["yearly"], filters))
+
+
+@query("b10_relation_filter_without_numbers", f"WITH {EVENTS} SELECT k, R({CLICKS}) AS clicks FROM ev WHERE 1 = 0 GROUP BY k")
+def relation_filter_without_numbers(spark, folder):
+    return _events(spark, folder, {"clicks": "clicks"}, ["k"], {"account": "nobody"})
+
+
 @query(
     "b11_text_filter",
     f"""WITH {SEARCH} SELECT R({CLICKS}) AS clicks FROM se WHERE device IN ('A', 'R')
@@ -189,6 +207,25 @@ def page_level_scope(spark, folder):
     return aggregate(T.organic_star(spark, folder), request)
 
 
+@query(
+    "b17_totals_only_scope",
+    f"""WITH {ORGANIC} SELECT d AS daily, R(SUM(CASE WHEN name = 'follows' AND period = 'daily' THEN value ELSE 0 END)) AS follows FROM og
+    WHERE post_id IS NULL AND page_id % 2 = 0 GROUP BY d""",
+)
+def totals_only_scope(spark, folder):
+    """Pages with an odd key carry a breakdown and stay out of the totals."""
+    facts = T.organic_facts(spark, folder)
+    odd = F.col("page_id") % 2 == 1
+    facts = facts.withColumns(
+        {
+            "dims": F.when(odd, F.create_map(F.lit("age"), F.lit("18-24"))),
+            "dimension_set_id": F.when(odd, F.lit("age=18-24")),
+        }
+    )
+    request = AggregateRequest({"follows": "follows"}, ["daily"], {"channel": "facebook_organic"}, *JANUARY)
+    return aggregate(T.Star(facts=facts), request)
+
+
 @query(
     "b19_pattern_filter",
     "SELECT page_id, url FROM pages WHERE (regexp_matches(url, 'example\\.(com|org)') OR contains(lower(url), 'blog.')) AND NOT contains(lower(url), 'page=2')",
