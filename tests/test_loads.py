@@ -349,10 +349,10 @@ def test_fact_files_merge_touches_its_months_only(spark, tmp_path, rows):
     schema = "metric_config_id long, dimensions_hash string, metric_date date, value double"
     path = str(tmp_path / "facts")
     files.write_facts(spark.createDataFrame([(1, "h", date(2026, m, 15), float(m)) for m in (1, 2, 3)], schema), path)
-    january = {p.name for p in (tmp_path / "facts" / "month=2026-01").iterdir()}
+    january = {p.name for p in (tmp_path / "facts" / "month=202601").iterdir()}
     batch = spark.createDataFrame([(1, "h", date(2026, 2, 15), 1.0), (1, "h", date(2026, 3, 15), 9.0), (2, "h", date(2026, 4, 1), 4.0)], schema)
     for load in ("one", "again"):
-        assert files.merge_fact_files(spark, batch, path, load) == ["2026-02", "2026-03", "2026-04"]
+        assert files.merge_fact_files(spark, batch, path, load) == [202602, 202603, 202604]
         got = rows(files.read_facts(spark, path), "metric_config_id", "metric_date", "value")
         assert got == [
             (1, date(2026, 1, 15), 1.0),
@@ -360,7 +360,7 @@ def test_fact_files_merge_touches_its_months_only(spark, tmp_path, rows):
             (1, date(2026, 3, 15), 9.0),
             (2, date(2026, 4, 1), 4.0),
         ]
-    assert {p.name for p in (tmp_path / "facts" / "month=2026-01").iterdir()} == january
+    assert {p.name for p in (tmp_path / "facts" / "month=202601").iterdir()} == january
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):

@@ -80,8 +80,9 @@ Formula = Callable[[Column], Column]
 class Star:
     """Either joined ``facts`` or the three normal tables they come from.
 
-    ``facts`` has one row per metric value with the config columns beside it and
-    the free-form dimensions as ``dims map<string,string>``.
+    ``facts`` has one row per metric value with the config columns beside it. The
+    free-form dimensions stand beside them as ``dims map<string,string>``, or in
+    ``dimension_sets`` under the facts' ``dimension_set_id``.
     """
 
     facts: DataFrame | None = None
@@ -111,11 +112,12 @@ class Star:
 
     def config_frame(self) -> DataFrame:
         """Configs with their dimensions as a map."""
-        configs = self.configs
-        if self.dimension_sets is not None and "dims" not in configs.columns:
-            dims = self.dimension_sets.select("dimension_set_id", "dims")
-            configs = configs.join(dims, "dimension_set_id", "left")
-        return configs
+        return self._with_dimensions(self.configs)
+
+    def _with_dimensions(self, frame: DataFrame) -> DataFrame:
+        if self.dimension_sets is None or "dims" in frame.columns:
+            return frame
+        return frame.join(self.dimension_sets.select("dimension_set_id", "dims"), "dimension_set_id", "left")
 
     def frame(self) -> DataFrame:
         """Facts joined to their configs.
@@ -124,7 +126,7 @@ class Star:
         the strategy, from plan statistics and again from real sizes at run time.
         """
         if self.facts is not None:
-            return self.facts
+            return self._with_dimensions(self.facts)
         configs = self.config_frame().withColumnRenamed("id", "metric_config_id")
         return self.metrics.join(configs, "metric_config_id", "inner")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.dates import as_date
 from tidemark.ingest.merge import merge_largest
 from tidemark.ingest.metrics import FACT_KEYS
 
@@ -75,24 +76,32 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.struct("__block", "__seq").alias("line_no"), "line")
 
 
+def _month(day: Column) -> Column:
+    """Month as a number such as 202401; cheap to compute and orders like dates."""
+    return F.year(day) * 100 + F.month(day)
+
+
 def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Facts in one folder per month, sorted by day so row groups skip by date."""
-    dated = facts.withColumn("month", F.date_format("metric_date", "yyyy-MM"))
-    dated.repartitionByRange("month", "metric_date", "metric_config_id").sortWithinPartitions(
-        "month", "metric_date", "metric_config_id"
-    ).write.mode(mode).partitionBy("month").parquet(path)
+    """Facts in one folder per month, sorted by day so row groups skip by date.
+
+    The rebalance hint lets Spark split a month with most of the facts over many
+    files and keep small months together, from the sizes it sees at run time.
+    """
+    order = [c for c in ("month", "metric_date", "metric_config_id") if c == "month" or c in facts.columns]
+    dated = facts.withColumn("month", _month(F.col("metric_date"))).hint("rebalance", "month")
+    dated.sortWithinPartitions(*order).write.mode(mode).partitionBy("month").parquet(path)
 
 
-def merge_fact_files(spark: SparkSession, batch: DataFrame, path: str, load: str, keys: Sequence[str] = FACT_KEYS) -> list[str]:
+def merge_fact_files(spark: SparkSession, batch: DataFrame, path: str, load: str, keys: Sequence[str] = FACT_KEYS) -> list[int]:
     """Merge a batch into facts on disk, rewriting the months it falls into.
 
     The merged months are first written in full to ``_staging/<load>``, which
     readers skip, and then swapped in. A load that broke off may simply be run
     again: the larger value wins, so nothing is counted twice.
     """
-    months = [r["month"] for r in batch.select(F.date_format("metric_date", "yyyy-MM").alias("month")).distinct().collect()]
+    months = [r["month"] for r in batch.select(_month(F.col("metric_date")).alias("month")).distinct().collect()]
     stored = spark.read.parquet(path)
-    near = stored.filter(F.col("month").cast("string").isin(months)).drop("month")
+    near = stored.filter(F.col("month").isin(months)).drop("month")
     staging = f"{path}/_staging/{load}"
     write_facts(merge_largest(near, batch.select(*near.columns), keys), staging)
     merged = spark.read.parquet(staging)
@@ -106,10 +115,16 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 def read_facts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Facts of a date range; only the folders of its months are listed and read."""
-    facts = spark.read.parquet(path)
+    """Facts of a date range."""
+    return in_months(spark.read.parquet(path), start, end)
+
+
+def in_months(facts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Facts of a date range, from facts stored by month: other months are not read."""
     if start is not None:
-        facts = facts.filter((F.col("month") >= start[:7]) & (F.col("metric_date") >= F.lit(start).cast("date")))
+        first = F.lit(as_date(start))
+        facts = facts.filter((F.col("month") >= _month(first)) & (F.col("metric_date") >= first))
     if end is not None:
-        facts = facts.filter((F.col("month") <= end[:7]) & (F.col("metric_date") <= F.lit(end).cast("date")))
+        last = F.lit(as_date(end))
+        facts = facts.filter((F.col("month") <= _month(last)) & (F.col("metric_date") <= last))
     return facts.drop("month")
