@@ -57,7 +57,7 @@ def test_operators(spark, rows, operator, left, right, expected):
     assert rows(P.evaluate_kpi(star(spark), op(operator, value(left), value(right)))) == [(expected,)]
 
 
-def test_unknown_nodes_are_refused():
+def test_unknown_nodes_are_refused(spark):
     with pytest.raises(ValueError):
         P.parse_tree({"type": "operator", "operator": "^", "left": value(1), "right": value(2)})
     with pytest.raises(ValueError):

@@ -372,15 +372,20 @@ AGGREGATE_FUNCTIONS = ("sum", "avg", "min", "max", "count", "coalesce", "nullif"
 def aggregate_expression(text: str, columns: Iterable[str]) -> Column:
     """An aggregate over an entity's columns, such as ``SUM(total_price) / COUNT(id)``.
 
-    Only the listed functions and existing columns may appear.
+    Only the listed functions and existing columns may appear; ``data.x`` and
+    ``metadata.x`` read a number from the JSON column of that name.
     """
     allowed = {c.lower() for c in columns} | set(AGGREGATE_FUNCTIONS) | {"distinct", "as", "double", "cast"}
     if not re.fullmatch(r"[\w\s().,*/+\-]+", text):
         raise ValueError(f"unsupported character in aggregate expression {text!r}")
-    for word in re.findall(r"[A-Za-z_]\w*", text):
+    json_field = re.compile(r"\b(data|metadata)\.([A-Za-z_][\w.]*)")
+    for source, _ in json_field.findall(text):
+        if source not in allowed:
+            raise ValueError(f"no column {source!r} for aggregate expression {text!r}")
+    for word in re.findall(r"[A-Za-z_]\w*", json_field.sub(" ", text)):
         if word.lower() not in allowed:
             raise ValueError(f"unknown name {word!r} in aggregate expression {text!r}")
-    return F.expr(text)
+    return F.expr(json_field.sub(r"try_cast(get_json_object(\1, '$.\2') AS DOUBLE)", text))
 
 
 def merge_search_partials(df, keys: list[str]):

@@ -107,9 +107,11 @@ def global_status(per_channel: DataFrame) -> DataFrame:
     )
 
 
-def channel_accounts(jobs: DataFrame, accounts: DataFrame, channel: str) -> DataFrame:
-    """Accounts of one channel with their completion (at most 100) and name."""
+def channel_accounts(jobs: DataFrame, accounts: DataFrame, channel: str, account: str | None = None) -> DataFrame:
+    """Accounts of one channel, or one of them, with completion (at most 100) and name."""
     counted = account_status(jobs.filter(F.col("channel") == channel), accounts, count_cancelled=False)
+    if account is not None:
+        counted = counted.filter(F.col("account_id") == account)
     names = accounts.groupBy(F.col("platform_id").alias("account_id")).agg(
         F.min("name").alias("name"), F.bool_and("enabled").alias("enabled")
     )

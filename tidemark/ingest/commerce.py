@@ -2,7 +2,8 @@
 
 Each load takes a batch of platform rows and gives the tables it fills. Ids are
 hashes of natural keys, so rows refer to each other without waiting for a store
-to number them, and a repeated load changes nothing.
+to number them, and a repeated load changes nothing. The tables of a load are
+independent plans over the batch, so hand in a batch that is stored.
 """
 
 from __future__ import annotations

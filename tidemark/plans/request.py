@@ -94,6 +94,35 @@ def aggregate(star: Star, request: AggregateRequest, dictionary: M.MetricDiction
     return _ordered(_gap_filled(result, request), request)
 
 
+def aggregate_entity(df: DataFrame, request: AggregateRequest) -> DataFrame:
+    """A request over any entity: expressions of its columns instead of metrics.
+
+    Dates bound the entity's own date. Groups and filters are columns, periods,
+    date parts, or ``data.x`` paths.
+    """
+    day = F.to_date(D.base_date_column(df.columns)) if request.start_date or request.end_date else None
+    frame = df if day is None else df.filter(D.in_range(day, request.start_date, request.end_date))
+    for key, raw in request.filters.items():
+        if key not in CONTROL_KEYS:
+            frame = frame.filter(C.predicate(_entity_field(frame, key), raw, text="." in key))
+    groups = {name: _entity_field(frame, name) for name in request.group_by}
+    measures = [M.aggregate_expression(t, frame.columns).alias(a) for a, t in request.aggregations.items()]
+    result = frame.groupBy(*[c.alias(n) for n, c in groups.items()]).agg(*measures)
+    return _ordered(_gap_filled(result, request), request)
+
+
+def _entity_field(df: DataFrame, name: str) -> Column:
+    if name in df.columns:
+        return F.col(name)
+    source, dot, path = name.partition(".")
+    if dot and source in df.columns:
+        return F.get_json_object(source, "$." + path)
+    day = F.to_date(D.base_date_column(df.columns))
+    if name == "daily":
+        return day
+    return D.grain_label(day, name) if name in D.GRAINS else D.date_part(day, name)
+
+
 def filtered_facts(star: Star, request: AggregateRequest, with_dates: bool = True) -> DataFrame:
     """Facts within the request's dates and filters."""
     frame = star.frame()

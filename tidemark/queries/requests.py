@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import formulas as M
 from tidemark.functions.conditions import matches_patterns
 from tidemark.model import RelationSpec
-from tidemark.operators.gapfill import fill_gaps
 from tidemark.operators.reads import matching_all_dimensions
 from tidemark.operators.weighted import time_weighted_average
-from tidemark.plans.request import AggregateRequest, aggregate, hide_columns, page_of
+from tidemark.plans.request import AggregateRequest, aggregate, aggregate_entity, hide_columns, page_of
 from tidemark.queries.registry import ACCOUNTS, ADS, EVENTS, ORGANIC, SEARCH, query, ratio, sums
 from tidemark.sources import tables as T
 
@@ -112,21 +111,25 @@ def date_range(spark, folder):
     return _events(spark, folder, {"clicks": "clicks"}, ["metric_date"], dates=("2024-01-10", "2024-01-12"))
 
 
+def _order_entity(spark, folder):
+    return T.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("created_at"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("total_price"),
+        F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_custkey").alias("customer"))).alias("data"),
+    )
+
+
 @query(
     "b8_entity_base_date",
-    "SELECT o_orderstatus AS status, COUNT(*) AS orders, R(SUM(o_totalprice)) AS revenue FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY 1",
+    """SELECT o_orderstatus AS status, COUNT(*) AS orders, R(SUM(o_totalprice)) AS revenue FROM orders
+    WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY 1""",
     digits=2,
 )
 def entity_base_date(spark, folder):
-    from tidemark.functions.dates import base_date_column, in_range
-
-    orders = T.table(spark, folder, "orders").select(
-        F.to_date("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total_price")
-    )
-    kept = orders.filter(in_range(F.col(base_date_column(orders.columns)), "1996-01-01", "1996-12-31"))
-    return kept.groupBy("status").agg(
-        F.count("*").alias("orders"), M.aggregate_expression("SUM(total_price)", kept.columns).alias("revenue")
-    )
+    measures = {"orders": "COUNT(id)", "revenue": "SUM(total_price)"}
+    return aggregate_entity(_order_entity(spark, folder), AggregateRequest(measures, ["status"], {}, "1996-01-01", "1996-12-31"))
 
 
 @query(
@@ -391,17 +394,19 @@ def time_weighted(spark, folder):
 
 @query(
     "d8_entity_expression",
-    "SELECT o_orderpriority AS priority, R(SUM(o_totalprice) / COUNT(o_orderkey)) AS average_order, R(MAX(o_totalprice)) AS largest FROM orders GROUP BY 1",
+    """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, * FROM orders WHERE o_orderpriority <> '5-LOW' AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-01-10' AND DATE '2001-12-20'),
+    months AS (SELECT strftime(unnest(generate_series(DATE '2001-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)), '%Y-%m') AS monthly),
+    t AS (SELECT m, o_orderstatus AS status, SUM(o_totalprice) / COUNT(o_orderkey) AS average_order, SUM(o_custkey) AS customers FROM o GROUP BY 1, 2),
+    s AS (SELECT DISTINCT status FROM t)
+    SELECT monthly, s.status, R(COALESCE(average_order, 0)) AS average_order, R(COALESCE(customers, 0)) AS customers FROM s CROSS JOIN months LEFT JOIN t ON m = monthly AND t.status = s.status""",
+    digits=2,
 )
 def entity_expression(spark, folder):
-    orders = T.table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total_price"), F.col("o_orderpriority").alias("priority")
-    )
-    columns = orders.columns
-    return orders.groupBy("priority").agg(
-        M.aggregate_expression("SUM(total_price) / COUNT(id)", columns).alias("average_order"),
-        M.aggregate_expression("MAX(total_price)", columns).alias("largest"),
-    )
+    """Months without orders are filled in, as for metrics."""
+    measures = {"average_order": "SUM(total_price) / COUNT(id)", "customers": "SUM(data.customer)"}
+    filters = {"data.priority": "!=5-LOW"}
+    request = AggregateRequest(measures, ["monthly", "status"], filters, "2001-01-10", "2001-12-20", fill_gaps=True)
+    return aggregate_entity(_order_entity(spark, folder), request)
 
 
 @query("d9_any_metric_name", f"WITH {EVENTS} SELECT d AS daily, R({sums('event_count')}) AS errors, R(SUM(CASE WHEN name = 'clicks_daily' THEN value ELSE 0 END)) AS exact FROM ev GROUP BY d")
