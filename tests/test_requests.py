@@ -258,3 +258,16 @@ def test_snapshot_dates_ignore_filters_beyond_the_context(spark, rows):
     assert rows(aggregate(Star(facts=frame), ask), "post_id", "likes") == [(2, 5.0)]
     one_post = AggregateRequest({"likes": "likes"}, ["post_id"], {**filters, "post_id": 2}, "2026-04-01", "2026-04-30")
     assert rows(aggregate(Star(facts=frame), one_post), "post_id", "likes") == [(2, 5.0)]
+
+
+@pytest.mark.parametrize("groups", [["account_type"], ["account_type", "weekly", "k"], ["account_type", "daily", "month"], ["account.data.platform_id", "account_id"]])
+def test_attribute_groups_sum_by_key_first(spark, folder, rows, groups, monkeypatch):
+    from tidemark.plans import request as R
+
+    star = T.event_star(spark, folder)
+    request = AggregateRequest({m: m for m in ("clicks", "ctr", "spend", "purchase_roas")}, groups, {}, "2024-01-03", "2024-01-25")
+    rounded = lambda df: rows(df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]))
+    reduced = aggregate(star, request)
+    assert "value_sum" in reduced._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(R, "_joins_first", lambda name, star: False)
+    assert rounded(reduced) == rounded(aggregate(star, request))

@@ -381,6 +381,56 @@ def _contexts(star: Star, request: AggregateRequest) -> DataFrame:
     return _filtered(star.frame(), star, replace(request, filters=kept))
 
 
+def _joins_first(name: str, star: Star) -> bool:
+    """Whether a group field is an attribute that several keys may share."""
+    if name == "account_type":
+        return True
+    relation, dot, _ = name.partition(".")
+    return relation in star.relations and (bool(dot) or star.relations[relation].attribute)
+
+
+def _reduced(frame: DataFrame, star: Star, request: AggregateRequest) -> DataFrame:
+    """Facts summed per key and metric, before attributes of the keys are joined.
+
+    Grouping by an attribute needs the join before the groups are known. Summing
+    by the keys first leaves one row per key, metric and period for that join.
+    """
+    day = F.col("metric_date")
+    temporal = [n for n in request.group_by if n in (*D.GRAINS, *D.DATE_PARTS, *D.DAILY_NAMES)]
+    keys: dict[str, Column] = {"name": F.col("name"), "period": F.col("period")}
+    dims: list[str] = []
+    for name in request.group_by:
+        relation = name.partition(".")[0]
+        if name in temporal or name in keys:
+            continue
+        if name == "account_type":
+            keys["channeled_account_id"] = F.col("channeled_account_id")
+        elif name in PLAIN_COLUMNS or (name.endswith("_id") and name in frame.columns):
+            keys[name] = F.col(name)
+        elif relation in star.relations:
+            fk = star.relations[relation].fk
+            keys[fk] = F.col(fk)
+        elif relation in ("data", "metadata"):
+            return _as_partials(frame)
+        else:
+            dims.append(name.removeprefix("dimensions.").lower())
+    if temporal:
+        one_grain = len(temporal) == 1 and temporal[0] in D.GRAINS
+        keys["metric_date"] = D.grain_start(day, temporal[0]) if one_grain else day
+    values = {f"__d{i}": dimension(d) for i, d in enumerate(dims)}
+    grouped = frame.groupBy(*[c.alias(n) for n, c in {**keys, **values}.items()]).agg(
+        F.sum("value").alias("value_sum"), F.count("value").alias("value_count"), F.max("value").alias("value_max")
+    )
+    pairs = [part for i, d in enumerate(dims) for part in (F.lit(d), F.col(f"__d{i}"))]
+    rebuilt = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
+    return with_columns_or_null(grouped.withColumn("dims", rebuilt).drop(*values), {"metric_date": "date"})
+
+
+def _as_partials(frame: DataFrame) -> DataFrame:
+    value = F.col("value")
+    return frame.withColumns({"value_sum": value, "value_count": F.when(value.isNotNull(), 1), "value_max": value})
+
+
 def _by_name(text: str, star: Star) -> bool:
     """Whether a measure reads facts by metric name only."""
     return text.strip().isidentifier() and text.strip().lower() not in star.formulas
@@ -406,11 +456,14 @@ def _conditional(star: Star, request: AggregateRequest, dictionary: M.MetricDict
         frame = latest_snapshot(frame, request.start_date, request.end_date, mode, source=_contexts(star, request))
     elif delta:
         frame = snapshot_delta(frame, request.start_date, request.end_date, mode, source=_contexts(star, request))
-    groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
     total = not request.group_by and not snapshot
     facts = M.FactColumns(empty_as_zero=total)
+    by_name = all(_by_name(t, star) for t in request.aggregations.values())
+    if by_name and not snapshot and any(_joins_first(n, star) for n in request.group_by):
+        frame, facts = _reduced(frame, star, request), M.partial_columns()
+    groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
     measures = {a: measure(t, star, request, facts, dictionary, frame.columns) for a, t in request.aggregations.items()}
-    if total and all(_by_name(t, star) for t in request.aggregations.values()):
+    if total and by_name:
         # Facts of other metrics add nothing to a total, so they need not be joined.
         frame = frame.filter(facts.name.isin(sorted(facts.asked)))
     if snapshot:
