@@ -271,3 +271,16 @@ def test_attribute_groups_sum_by_key_first(spark, folder, rows, groups, monkeypa
     assert "value_sum" in reduced._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(R, "_joins_first", lambda name, star: False)
     assert rounded(reduced) == rounded(aggregate(star, request))
+
+
+def test_weighted_groups_with_one_label_merge(spark, rows):
+    frame = facts(
+        spark,
+        *[f for q, p, w in ((1, 2, 10), (2, 4, 30), (3, 9, 5)) for f in (fact("position", p, "2026-04-01", query=q), fact("impressions", w, "2026-04-01", query=q))],
+    )
+    queries = spark.createDataFrame([(1, "shoes"), (2, "shoes")], "id long, query string")
+    star = Star(facts=frame, entities={"queries": queries})
+    measures = {"position": "position", "impressions": "impressions"}
+    assert rows(aggregate(star, AggregateRequest(measures, ["query"]))) == [("N/A", 9.0, 5.0), ("shoes", 3.5, 40.0)]
+    by_key = aggregate(star, AggregateRequest(measures, ["query", "query_id"]))
+    assert rows(by_key, "query", "query_id", "position") == [("N/A", 3, 9.0), ("shoes", 1, 2.0), ("shoes", 2, 4.0)]

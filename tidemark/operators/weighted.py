@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +56,14 @@ def weighted_aggregate(
     groups: Mapping[str, Column],
     dictionary: MetricDictionary | None = None,
     channel: str | None = None,
+    relabel: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Weighted averages beside plain sums and the click rate.
 
     Per date and config keys the metric and its weight collapse to their maximum;
     the result is the weighted mean over those. Rows that meet at one grain thus
-    count once, whichever account they came from.
+    count once, whichever account they came from. ``relabel`` may turn the key
+    columns of the summed groups into labels; groups that then agree are merged.
     """
     dictionary = dictionary or MetricDictionary()
     facts = FactColumns()
@@ -74,7 +76,8 @@ def weighted_aggregate(
         return F.max(F.when(facts.matches(names, "daily"), facts.total))
 
     sums: dict[str, Column] = {}
-    ratios: dict[str, Column] = {}
+    parts: dict[str, Column] = {}
+    results: dict[str, Column] = {}
     wanted_names: set[str] = set()
     for alias, text in aggregations.items():
         metric = text.strip().lower()
@@ -92,11 +95,14 @@ def weighted_aggregate(
         metric = text.strip().lower()
         if metric in WEIGHTED_METRICS:
             metric_col, weight_col = F.coalesce(f"__m_{alias}", F.lit(0.0)), F.coalesce(f"__w_{alias}", F.lit(0.0))
-            ratios[alias] = F.sum(metric_col * weight_col) / F.nullif(F.sum(weight_col), F.lit(0.0))
+            parts[f"__t_{alias}"], parts[f"__b_{alias}"] = F.sum(metric_col * weight_col), F.sum(weight_col)
+            results[alias] = F.col(f"__t_{alias}") / F.nullif(F.col(f"__b_{alias}"), F.lit(0.0))
         elif metric == "ctr":
-            ratios[alias] = F.sum("__clicks") / F.nullif(F.sum("__impressions"), F.lit(0.0))
+            parts["__c"], parts["__i"] = F.sum("__clicks"), F.sum("__impressions")
+            results[alias] = F.col("__c") / F.nullif(F.col("__i"), F.lit(0.0))
         else:
-            ratios[alias] = F.sum(f"__s_{alias}")
+            parts[f"__p_{alias}"] = F.sum(f"__s_{alias}")
+            results[alias] = F.col(f"__p_{alias}")
 
     # The core metrics always take part in the read, as group rows hang on them.
     for core in ("clicks", "impressions", "spend"):
@@ -105,7 +111,13 @@ def weighted_aggregate(
     grain = [c for c in WEIGHT_GRAIN if c in frame.columns]
     keyed = daily.select(*grain, "name", "period", "value", *[c.alias(f"__g_{k}") for k, c in groups.items()])
     base = keyed.groupBy(*grain, *[f"`__g_{k}`" for k in groups]).agg(*[c.alias(k) for k, c in sums.items()])
-    return base.groupBy(*[F.col(f"`__g_{k}`").alias(k) for k in groups]).agg(*[c.alias(k) for k, c in ratios.items()])
+    summed = base.groupBy(*[F.col(f"`__g_{k}`").alias(k) for k in groups]).agg(*[c.alias(k) for k, c in parts.items()])
+    if relabel is not None:
+        named = relabel(summed)
+        names = [c for c in named.columns if c not in parts]
+        summed = named.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[F.sum(p).alias(p) for p in parts])
+    keys = [F.col(f"`{c}`") for c in summed.columns if c not in parts]
+    return summed.select(*keys, *[c.alias(k) for k, c in results.items()])
 
 
 def time_weighted_average(

@@ -523,16 +523,23 @@ def _weighted(star: Star, request: AggregateRequest, dictionary: M.MetricDiction
     sets = star.dimension_sets if star.dimension_sets is not None else star.frame().select("dims")
     frame = keep_requested_dimension_sets(frame, requested, sets)
     groups, frame = _groups(frame, star, request, WEIGHTED_UNKNOWN)
-    # Entity groups merge by label alone here, with one label for missing ones.
-    for name, spec in groups.labels:
-        entity = star.entity(spec.table)
-        labels = entity.select(F.col("id").alias("__id"), spec.label_of(entity).alias(f"__label_{name}"))
-        frame = frame.join(labels, F.col(spec.fk) == F.col("__id"), "left").drop("__id")
-        groups.keys.pop(f"{name}_id")
-        groups.keys[name] = F.coalesce(F.col(f"__label_{name}"), F.lit(WEIGHTED_UNKNOWN))
-    ordered = {n: groups.keys[n] for n in request.group_by}
-    result = weighted_aggregate(frame, request.aggregations, ordered, dictionary, request.channel)
-    return _with_period_names(result, groups)
+
+    def relabel(summed: DataFrame) -> DataFrame:
+        """Entity groups merge by label alone here, with one label for missing ones."""
+        for name, spec in groups.labels:
+            entity = star.entity(spec.table)
+            labels = entity.select(F.col("id").alias("__id"), spec.label_of(entity).alias("__label"))
+            summed = (
+                summed.join(labels, F.col(f"{name}_id") == F.col("__id"), "left")
+                .withColumn(name, F.coalesce("__label", F.lit(WEIGHTED_UNKNOWN)))
+                .drop("__id", "__label")
+            )
+        kept = set(request.group_by)
+        return summed.drop(*[f"{name}_id" for name, _ in groups.labels if f"{name}_id" not in kept])
+
+    merge = relabel if groups.labels else None
+    result = weighted_aggregate(frame, request.aggregations, groups.keys, dictionary, request.channel, merge)
+    return _with_period_names(result.select(*[f"`{c}`" for c in [*request.group_by, *request.aggregations]]), groups)
 
 
 # --- result ----------------------------------------------------------------
