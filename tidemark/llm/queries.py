@@ -32,3 +32,19 @@ def op7_block_mix(spark: SparkSession, folder: str) -> DataFrame:
 
     out = taken_words(mix(documents(spark, folder)))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op10_language_distance(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.quality_rules import judge
+
+    return judge(documents(spark, folder))
+
+
+@query
+def op9_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.bpe import encode
+
+    return encode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
