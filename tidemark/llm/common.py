@@ -41,3 +41,33 @@ def utf8_size(text: Column) -> Column:
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Mark for broadcast only if it is counted to have few rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Groups of consecutive equal keys, as (key, table), from sorted Arrow batches.
+
+    Only the group at hand is held.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        if starts[1] == 0:
+            starts = starts[1:]
+        for a, b in zip(starts, starts[1:]):
+            key = tuple(c[a] for c in columns)
+            if current is not None and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)

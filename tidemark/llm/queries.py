@@ -48,3 +48,10 @@ def op9_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.bpe import encode
 
     return encode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query
+def op8_bayes_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.near_duplicates import similar_documents
+
+    return similar_documents(documents(spark, folder))
