@@ -55,3 +55,10 @@ def op8_bayes_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.near_duplicates import similar_documents
 
     return similar_documents(documents(spark, folder))
+
+
+@query
+def op3_merged_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.repeated_strings import remove_repeated
+
+    return remove_repeated(documents(spark, folder), with_text=False)
