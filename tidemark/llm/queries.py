@@ -62,3 +62,10 @@ def op3_merged_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.repeated_strings import remove_repeated
 
     return remove_repeated(documents(spark, folder), with_text=False)
+
+
+@query
+def op6_forest_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.secrets import scan
+
+    return scan(documents(spark, folder), ["doc_id"])
