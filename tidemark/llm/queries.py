@@ -69,3 +69,18 @@ def op6_forest_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.secrets import scan
 
     return scan(documents(spark, folder), ["doc_id"])
+
+
+@query
+def op1_license_spans(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, folder))
+
+
+@query
+def op2_ordinal_grades(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.grades import grade, rating
+
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", rating().alias("grade"))
+    return grade(documents(spark, folder), labels)
