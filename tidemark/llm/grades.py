@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.quality_rules import CLASSES, class_counts
 
 STRIP = ".,;:!?\"'()[]"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+PREFIXES = (3, 4, 5, 6, 7)
 MARKS = re.compile(r"[^\w\s]+$")
 
 
@@ -27,12 +28,13 @@ MARKS = re.compile(r"[^\w\s]+$")
 class Fit:
     """Settings; ``rows`` bounds the labelled rows that are used for fitting."""
 
-    rows: int = 6_000
+    rows: int = 10_000
     buckets: int = 2**18
     least_texts: int = 4
-    penalty: float = 1e-3
-    steps: int = 300
-    rate: float = 0.05
+    least_deviation: float = 5.0
+    penalty: float = 1e-5
+    steps: int = 600
+    rate: float = 0.2
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ def _bucket(share: float) -> int:
 
 
 class Hasher:
-    """Buckets of a text's features: its distinct words, endings of marks, and coarse shares."""
+    """Buckets of a text's features: its distinct words and their beginnings, endings of marks, and coarse shares."""
 
     def __init__(self, buckets: int):
         self.buckets, self.known = buckets, {}
@@ -68,7 +70,9 @@ class Hasher:
             at = known.get(w)
             if at is None:
                 end = MARKS.search(w)
-                at = known[w] = (self._at("w " + w.lower().strip(STRIP)), self._at("m " + end[0][-3:] if end else "m"))
+                plain = w.lower().strip(STRIP)
+                starts = (self._at(f"p {plain[:n]}") for n in PREFIXES if n < len(plain))
+                at = known[w] = (self._at("w " + plain), self._at("m " + end[0][-3:] if end else "m"), *starts)
             out.update(at)
         lines = [x for x in text.split("\n") if x.strip()]
         letters = class_counts(text)[CLASSES.index("upper")]
@@ -86,19 +90,25 @@ class Hasher:
 def fit(features: list[np.ndarray], grades: np.ndarray, how: Fit = Fit()) -> Model:
     """Maximum likelihood with a penalty on weights, by Adam over all rows.
 
-    Buckets of fewer than ``least_texts`` rows keep the weight 0. Thresholds stay
-    ordered, as each is the one before plus the exponential of a parameter.
+    Buckets of fewer than ``least_texts`` rows keep the weight 0, as do those whose
+    rows' mean grade lies within ``least_deviation`` standard errors of the mean of
+    all. Thresholds stay ordered, as each is the one before plus the exponential of
+    a parameter.
     """
     levels = int(grades.max()) if len(grades) else 0
     weights = np.zeros(how.buckets)
     if levels < 1:
         return Model(weights, np.zeros(0))
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    at = np.concatenate(features)
-    used, column = np.unique(at, return_inverse=True)
-    often = np.bincount(column) >= how.least_texts
-    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
-    used = used[often]
+    times, sums = np.zeros(how.buckets), np.zeros(how.buckets)
+    for f, g in zip(features, grades, strict=True):
+        times[f] += 1
+        sums[f] += g
+    seen = np.maximum(times, 1)
+    chosen = (times >= how.least_texts) & (np.abs(sums / seen - grades.mean()) * np.sqrt(seen) >= how.least_deviation * max(float(grades.std()), 1e-9))
+    used = np.flatnonzero(chosen)
+    kept = [f[chosen[f]] for f in features]
+    row = np.repeat(np.arange(len(kept)), [len(f) for f in kept])
+    column = np.searchsorted(used, np.concatenate(kept))
     free = np.concatenate([np.zeros(len(used)), [0.0], np.zeros(levels - 1)])
     scale = 1 / np.sqrt(max(1.0, len(row) / max(1, len(features))))
     first, second = np.zeros_like(free), np.zeros_like(free)
@@ -150,10 +160,10 @@ def graded_sample(docs: DataFrame, labels: DataFrame, how: Fit, id_column: str,
     kind = texts.schema["id"].dataType.simpleString()
     # A sample of fixed size, so it may be broadcast.
     rows = texts.join(F.broadcast(picked), "id").select("id", "grade", "text").mapInArrow(hashed, f"id {kind}, grade int, features binary").dropDuplicates(["id"]).orderBy("id").collect()
-    return [np.frombuffer(r.features, dtype=np.int32).astype(np.int64) for r in rows], np.array([r.grade for r in rows], dtype=np.int64)
+    return [np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.grade for r in rows], dtype=np.int64)
 
 
-def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Expected grade and tail probability of every document.
 
     ``labels`` has the id and ``grade`` (0, 1, ..., higher is better; nulls are
