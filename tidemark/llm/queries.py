@@ -84,3 +84,13 @@ def op2_ordinal_grades(spark: SparkSession, folder: str) -> DataFrame:
 
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", rating().alias("grade"))
     return grade(documents(spark, folder), labels)
+
+
+@query
+def op4_chroma_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.audio import melody, saved_fingerprints, search
+
+    # There are no recordings among the tables; each vector is played as one.
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    prints = saved_fingerprints(vectors, "vec_id", "embedding", melody)
+    return search(prints, prints.where("vec_id % 100 = 0"), "vec_id")
