@@ -97,7 +97,7 @@ def fit(features: list[np.ndarray], grades: np.ndarray, how: Fit = Fit()) -> Mod
     """
     levels = int(grades.max()) if len(grades) else 0
     weights = np.zeros(how.buckets)
-    if levels < 1:
+    if len(np.unique(grades)) < 2:
         return Model(weights, np.zeros(0))
     times, sums = np.zeros(how.buckets), np.zeros(how.buckets)
     for f, g in zip(features, grades, strict=True):

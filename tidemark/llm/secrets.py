@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import saved
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+DICTIONARY_WORD = re.compile("[a-z]{4,}")
 # Names that people give to secrets, and marks of an assignment.
 NAMES = frozenset("token secret key apikey password passwd pwd auth bearer credential credentials access private".split())
 BEFORE, AFTER = 60, 20
@@ -51,12 +52,13 @@ def corpus_language(docs: DataFrame, words: int = DICTIONARY_WORDS) -> tuple[np.
         pairs, seen = np.zeros(_SIZE * _SIZE, dtype=np.int64), Counter()
 
         def flush(last: bool) -> pa.RecordBatch:
-            keys, n = list(seen), list(seen.values())
+            keys, n = [w for w in seen if DICTIONARY_WORD.fullmatch(w)], []
+            n, kinds = [seen[w] for w in keys], [False] * len(keys)
             seen.clear()
             if last:
                 used = np.flatnonzero(pairs)
-                keys, n = keys + [f"\0{k}" for k in used], n + pairs[used].tolist()
-            return pa.record_batch([pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["key", "n"])
+                keys, n, kinds = keys + list(map(str, used)), n + pairs[used].tolist(), kinds + [True] * len(used)
+            return pa.record_batch([pa.array(kinds, pa.bool_()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["pair", "key", "n"])
 
         for batch in batches:
             for text in batch["text"].to_pylist():
@@ -68,16 +70,16 @@ def corpus_language(docs: DataFrame, words: int = DICTIONARY_WORDS) -> tuple[np.
                 yield flush(False)
         yield flush(True)
 
-    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    is_pair = F.col("key").startswith("\0")
-    common = sums.where(~is_pair & F.col("key").rlike("^[a-z]{4,}$")).orderBy(F.col("n").desc(), "key").limit(words)
-    rows = sums.where(is_pair).union(common).collect()
+    sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, "pair boolean, key string, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+    # All pairs come first, then the commonest words.
+    rows = sums.orderBy(F.col("pair").desc(), F.col("n").desc(), "key").limit(_SIZE * _SIZE + words).collect()
     pairs = np.ones(_SIZE * _SIZE)
     for r in rows:
-        if r.key[0] == "\0":
-            pairs[int(r.key[1:])] += r.n
+        if r.pair:
+            pairs[int(r.key)] += r.n
     pairs = pairs.reshape(_SIZE, _SIZE)
-    return np.log2(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(r.key for r in rows if r.key[0] != "\0")
+    common = [r.key for r in rows if not r.pair][:words]
+    return np.log2(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(common)
 
 
 def _covered(text: str, words: frozenset[str]) -> float:
