@@ -84,7 +84,7 @@ def neighbour_prefixes(strings: list[bytes]) -> np.ndarray:
         return out
     lengths = np.array([len(s) for s in strings], dtype=np.int32)
     for low in range(1, len(strings), 20_000):
-        part = _padded(strings[low - 1 : low + 20_000], int(lengths.max()))
+        part = _padded(strings[low - 1 : low + 20_000], max(1, int(lengths.max())))
         differ = part[1:] != part[:-1]
         same = np.where(differ.any(axis=1), differ.argmax(axis=1), part.shape[1])
         out[low : low + len(same)] = np.minimum(same, np.minimum(lengths[low : low + len(same)], lengths[low - 1 : low + len(same) - 1]))
@@ -291,7 +291,8 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in ([h.view(np.int64) for h in hashes], keys, packed, times)], names=["h", "t1", "packed", "n"])
 
     found = saved(long_texts.select("t1", "t2", "data").mapInArrow(anchored, "h long, t1 long, packed long, n byte"), "anchors")
-    again = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # Saved, so that the join deals both sides anew and may split a hot hash.
+    again = saved(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "again")
     # As many as a text has anchors.
     hints = found.select("h", "t1", "packed").join(again, "h").groupBy("t1").agg(F.collect_set(F.struct("packed", "hot")).alias("hints"))
     copies = long_texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
@@ -326,7 +327,8 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
                     yield run.flush(length)
         yield run.flush(length)
 
-    runs = texts.select("t1", "t2", "data").join(hints, texts["t1"] == hints["k1"]).select("t1", "t2", "data", "hints", "copied")
+    # The same columns and key as in the last join, so the texts are shuffled once for both.
+    runs = texts.join(hints, texts["t1"] == hints["k1"]).select("id", "t1", "t2", "data", "hints", "copied")
     runs = runs.mapInArrow(sent, "range int, run binary, t1 long, t2 long, low long, high long")
     runs = runs.repartition(partitions(spark), "range").sortWithinPartitions("range")
 
@@ -354,14 +356,14 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
 
     covers = runs.mapInArrow(matched, "t1 long, t2 long, low long, high long")
     # Bounded by the text's own length.
-    covers = covers.groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("covers"))
+    covers = covers.groupBy("t1").agg(F.collect_set(F.struct("t2", "low", "high")).alias("covers")).withColumnRenamed("t1", "k1")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, marks in zip(batch["data"].to_pylist(), batch["covers"].to_pylist(), strict=True):
+            for t2, data, marks in zip(*(batch[c].to_pylist() for c in ("t2", "data", "covers")), strict=True):
                 spans: list[list[int]] = []
-                for low, high in sorted((m["low"], m["high"]) for m in marks or ()):
+                for low, high in sorted((m["low"], m["high"]) for m in marks or () if m["t2"] == t2):
                     if spans and low <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], high)
                     else:
@@ -378,5 +380,5 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
 
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<low: long, high: long>>, kept binary" * with_text
-    out = texts.join(covers, ["t1", "t2"], "left").select("id", "data", "covers").mapInArrow(cut, schema)
+    out = texts.join(covers, texts["t1"] == covers["k1"], "left").select("id", "t1", "t2", "data", "covers").mapInArrow(cut, schema)
     return out.withColumnRenamed("id", id_column)
