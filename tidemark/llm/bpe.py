@@ -10,8 +10,10 @@ machine share its pages. All other words are merged exactly.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
+import re
 import tempfile
 import unicodedata
 from collections import Counter
@@ -27,9 +29,20 @@ from pyspark.sql import functions as F
 LEXICON_WORDS = 32_768
 FLUSH = 300_000
 CACHED_WORDS = 400_000
+CHUNK_CHARS = 1_000_000
+LONG_WORD = 128
 # The pattern that the vocabulary's file names; fixed, like the white space of Unicode below.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+NARROW = 0x180
+BITS = 20
+NEVER = 1 << 62
+
+
+def narrow_piece() -> re.Pattern:
+    """The same pattern with its classes spelled out, for texts of code points below ``NARROW`` only."""
+    kinds = {k: "".join(re.escape(chr(c)) for c in range(NARROW) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{SPACE}{kinds['L']}{kinds['N']}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -47,13 +60,16 @@ class Vocabulary:
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m): k for k, m in enumerate(model["merges"])}
+        # Pairs and what they become as whole numbers: rank first, so the least number merges first.
+        self.pairs = {self.ids[a] << BITS | self.ids[b]: k << BITS | self.ids[a + b] for k, (a, b) in enumerate(model["merges"])}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece = regex.compile(PIECE, regex.V0)
-        self.symbols = byte_symbols()
+        self.piece, self.narrow = regex.compile(PIECE, regex.V0), narrow_piece()
+        self.wide = re.compile(f"[^\0-{chr(NARROW - 1)}]")
+        self.inner = [self.ids.get(x) for x in byte_symbols()]
+        self.last = [self.ids.get(x + self.end) for x in byte_symbols()]
 
     def words(self, text: str) -> list[str]:
         """Normalised words of a text; special strings stand for themselves, marked by a leading NUL."""
@@ -71,22 +87,51 @@ class Vocabulary:
         if not text.isascii():
             # Lower case goes letter by letter, so a final sigma is as any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.piece.findall(text.lower())
+        text = text.lower()
+        return (self.piece if self.wide.search(text) else self.narrow).findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the lowest ranked pair is merged first, leftmost of equals."""
         if word[0] == "\0" and word[1:] in self.special:
             return [self.special[word[1:]]]
-        parts = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        parts[-1] += self.end
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min((ranks.get(pair, 1 << 60), k) for k, pair in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 60:
-                break
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
+        data = word.encode("utf-8", "surrogatepass")
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        if None in parts:
+            parts = [p for p in parts if p is not None]
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
+        pairs = self.pairs.get
+        ranks = [pairs(a << BITS | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NEVER:
+            k = ranks.index(least)
+            parts[k : k + 2] = [least & (1 << BITS) - 1]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = pairs(parts[k] << BITS | parts[k + 1], NEVER)
+            if k:
+                ranks[k - 1] = pairs(parts[k - 1] << BITS | parts[k], NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap over a linked list, for words of any length."""
+        pairs, n = self.pairs.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := pairs(parts[k] << BITS | parts[k + 1], NEVER)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            j = after[k]
+            if parts[k] is None or j >= n or pairs(parts[k] << BITS | parts[j], NEVER) != rank:
+                continue  # one of the two has changed
+            parts[k], parts[j] = rank & (1 << BITS) - 1, None
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (before[k], k):
+                if x >= 0 and after[x] < n and (r := pairs(parts[x] << BITS | parts[after[x]], NEVER)) != NEVER:
+                    heapq.heappush(heap, (r, x))
+        return [p for p in parts if p is not None]
 
 
 def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -208,12 +253,22 @@ class Encoder:
             ids = self.vocabulary.merge(word) if ids is None else ids.tolist()
             self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, ids in decimal and decoded tokens, both joined by spaces."""
-        words = self.vocabulary.words(text)
-        self.learn(set(words))
-        parts = [p for p in map(self.known.__getitem__, words) if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of tokens, ids in decimal and decoded tokens, both joined by spaces, of each text."""
+        held, chars = [], 0
+        for text in texts:
+            held.append(self.vocabulary.words(text))
+            chars += len(text)
+            if chars > CHUNK_CHARS:
+                yield from self._encoded(held)
+                held, chars = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[list[str]]) -> Iterator[tuple[int, str, str]]:
+        self.learn(set().union(*texts))
+        for words in texts:
+            parts = [p for p in map(self.known.__getitem__, words) if p[0]]
+            yield sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
 
 def frequent_words(docs: DataFrame, vocabulary_text: str, words: int) -> list[str]:
@@ -274,15 +329,18 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     name = _sent_lexicon(spark, frequent_words(texts, vocabulary_text, lexicon_words), Vocabulary(vocabulary_text))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
+    def hashed(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            made = [encoder.encode(t) for t in batch["text"].to_pylist()]
+            made = list(encoder.encode(batch["text"].to_pylist())) if with_ids else [(n, hashed(ids), hashed(back)) for n, ids, back in encoder.encode(batch["text"].to_pylist())]
             columns = [
                 batch["id"],
                 pa.array([n for n, _, _ in made], pa.int64()),
-                pa.array([hashlib.sha256(ids.encode()).hexdigest() for _, ids, _ in made], pa.string()),
-                pa.array([hashlib.sha256(back.encode()).hexdigest() for _, _, back in made], pa.string()),
+                pa.array([hashed(ids) if with_ids else ids for _, ids, _ in made], pa.string()),
+                pa.array([hashed(back) if with_ids else back for _, _, back in made], pa.string()),
             ]
             if with_ids:
                 columns += [pa.array([list(map(int, ids.split())) for _, ids, _ in made], pa.list_(pa.int32())), pa.array([back for _, _, back in made], pa.string())]
