@@ -55,13 +55,6 @@ def test_platform_post_ids(raw, expected):
     assert C.is_platform_post_id(raw) is expected
 
 
-def test_label_predicate_with_null_words(spark, rows):
-    df = spark.createDataFrame([(1, "ES"), (2, "FR"), (None, None)], "fk long, label string")
-    keep = lambda raw: [r[0] for r in rows(df.filter(C.label_predicate(F.col("fk"), F.col("label"), raw)), "fk")]
-    assert keep(["ES", "N/A"]) == [1, None]
-    assert keep({"operator": "neq", "value": ["ES", "N/A"]}) == [2]
-
-
 def test_sentinel_lists():
     assert C.has_no_numeric_member(["__none__"])
     assert not C.has_no_numeric_member(["x", "3"])

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Star
+from tidemark import AggregateRequest, Star, aggregate
 from tidemark.operators import series as S
 from tidemark.operators import stats
-from tidemark.operators.rank import best_per_group, oldest_and_newest, row_numbers, row_numbers_by_range
+from tidemark.operators.rank import best_per_group, oldest_and_newest
 from tidemark.plans import alerts as A
 from tidemark.plans import kpi as P
 from test_requests import FACTS, fact
@@ -102,10 +102,40 @@ def test_one_read_for_many_leaves(spark):
     facts = star(spark, fact("clicks", 1, "2026-01-01", channel="a"))
     tree = op("+", op("-", metric("a.clicks"), metric("b.clicks")), op("*", metric("a.clicks", page=4), metric("a.spend")))
     plan = P.evaluate_kpi(facts, tree, group_by="daily")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate") == 1
+    assert plan.count("Aggregate") == 4  # three batches of leaves, and their alignment
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize("group", [None, "country", "page", "daily", "weekly"])
+@pytest.mark.parametrize("filters", [{}, {"country": "ESP"}, {"country": ["USA", "N/A"]}, {"page": 3}, {"dimensions.searchAppearance": "standard"}])
+@pytest.mark.parametrize("name", ["clicks", "position", "ctr"])
+def test_one_leaf_equals_its_request(spark, rows, group, filters, name):
+    listed = [
+        fact(n, v, d, country=c, page=p)
+        for n, v, d, c, p in (
+            ("clicks", 5, "2026-01-01", 117, 3), ("impressions", 10, "2026-01-01", 117, 3), ("position", 9, "2026-01-01", 117, 3),
+            ("clicks", 7, "2026-01-02", 1, 4), ("impressions", 30, "2026-01-02", 1, 4), ("position", 3, "2026-01-02", 1, 4), ("clicks", 2, "2026-01-09", None, 4),
+        )
+    ]
+    codes = spark.createDataFrame([(117, "ESP", "Spain"), (1, "USA", "States")], "id long, code string, name string")
+    pages = spark.createDataFrame([(3, "a"), (4, "b")], "id long, url string")
+    base = star(spark, *listed)
+    known = Star(facts=base.facts, entities={"countries": codes, "pages": pages})
+    asked = aggregate(known, AggregateRequest({"m": name}, [group] if group else [], {**filters, "channel": "search"}, "2026-01-01", "2026-01-31"))
+    want = sorted((tuple([r[group]] if group else []) + (r.m or 0.0,) for r in asked.collect()), key=repr)
+    got = P.evaluate_kpi(known, metric(f"search.{name}", **filters), "2026-01-01", "2026-01-31", group)
+    assert rows(got) == want
+
+
+def test_alert_lines_evaluate_their_trees(spark, rows):
+    known = star(spark, fact("spend", 1000, "2026-01-01", channel="x", account=1), fact("spend", 500, "2026-01-02", channel="x", account=1), fact("spend", 9, "2026-01-02", channel="x", account=2))
+    tree = metric("x.spend")
+    lines = [{"alert_id": 1, "line_id": 1, "tree": tree, "filters": {"channeled_account_id": 1}}, {"alert_id": 1, "line_id": 2, "tree": tree, "filters": {"channeled_account_id": 2}}]
+    alerts = spark.createDataFrame([(1, 1, "sum", 1000.0, None), (1, 2, "sum", 1000.0, None)], "alert_id long, line_id long, aggregation_method string, upper_limit double, lower_limit double")
+    got = A.evaluate_alerts(alerts, A.alert_series(known, lines))
+    assert rows(got, "line_id", "evaluated_value", "status") == [(1, 1500.0, "triggered"), (2, 9.0, "ok")]
+
+
 def _alert(spark, rows, method, points, upper=None, lower=None):
     alerts = spark.createDataFrame([(1, 1, method, upper, lower)], "alert_id long, line_id long, aggregation_method string, upper_limit double, lower_limit double")
     series = spark.createDataFrame([(1, 1, k, v) for k, v in points], "alert_id long, line_id long, key string, value double")
@@ -149,15 +179,17 @@ def test_guards(spark, rows):
     assert reason([1, 2], [1, 2]) is None
 
 
-def test_ranks_of_one_big_group(spark, rows):
-    df = spark.range(5000).select(
-        F.when(F.col("id") < 4000, "big").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
-        (F.col("id") % 3).cast("double").alias("x"),
-        "id",
-    )
-    by_window = row_numbers(df, ["g"], ["x", "id"])
-    by_range = row_numbers_by_range(df, ["g"], ["x", "id"])
-    assert rows(by_window) == rows(by_range)
+def test_tail_of_one_big_series(spark, rows, monkeypatch):
+    """Cut by sketch and by order alike, with ties, and whatever the length."""
+    points = [("big", f"k{i:05}", float(i), float(i * 7919 % 50)) for i in range(3000)] + [("small", f"k{i}", float(i), float(-i)) for i in range(8)]
+    df = spark.createDataFrame(points, "series string, key string, y double, x double")
+    exact = rows(S.group_tail(df, 25))
+    assert sum(r[0] == "big" for r in exact) == 2251 and sum(r[0] == "small" for r in exact) == 7
+    low = sorted((x, k, y) for s, k, y, x in points if s == "big")[:750]
+    others = next(r for r in exact if r[:2] == ("big", "others"))
+    assert abs(others[2] - sum(y for _, _, y in low) / 750) < 1e-9
+    monkeypatch.setattr(S, "SKETCH", 1000)
+    assert rows(S.group_tail(df, 25)) == exact
 
 
 def test_best_and_samples(spark, rows):

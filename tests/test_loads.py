@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.health import fallbacks, inventory
 from tidemark.health import jobs as J
-from tidemark.ingest import commerce, merge, metrics
+from tidemark.ingest import commerce, entities, merge, metrics
 from tidemark.ingest.payloads import merged_payloads
 from tidemark.operators import reads as R
 from tidemark.operators.normalise import normalise_entities, normalise_metrics
@@ -378,3 +378,23 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for name in ("bucketed_facts", "bucketed_configs"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_references_are_looked_up_within_their_channel(spark, rows):
+    """Two channels know account 7; a reference finds its own, and no row multiplies."""
+    accounts = spark.createDataFrame([(1, "ads", "7"), (2, "shop", "7"), (9, "ads", "7"), (3, "ads", "8")], "id long, channel string, platform_id string")
+    batch = spark.createDataFrame([("ads", "7", 1), ("shop", "7", 2), ("mail", "7", 3), ("ads", None, 4)], "channel string, channeled_account string, n int")
+    got = metrics.resolve_keys(batch, {"channeled_account": (accounts, "platform_id")})
+    assert rows(got, "n", "channeled_account_id") == [(1, 1), (2, 2), (3, None), (4, None)]
+    unchanneled = metrics.resolve_keys(batch, {"channeled_account": (accounts.drop("channel"), "platform_id")})
+    assert rows(unchanneled, "n", "channeled_account_id") == [(1, 1), (2, 1), (3, 1), (4, None)]
+
+
+def test_ads_take_account_and_campaign_from_their_own_ad_group(spark, rows):
+    groups = spark.createDataFrame([(5, "ads", "g", 50, 500), (6, "shop", "g", 60, 600), (7, "ads", "g", 70, 700)], "id long, channel string, platform_id string, channeled_account_id long, channeled_campaign_id long")
+    columns = "channel string, platform_id string, ad_group_ref string, creative_ref string, name string, status string, data string, sequence long"
+    batch = spark.createDataFrame([("ads", "a1", "g", "c", "n", "s", "{}", 1), ("shop", "a2", "g", "x", "n", "s", "{}", 2)], columns)
+    creatives = entities.load_creatives(spark.createDataFrame([("c", "old", "{}", 1), ("c", "new", "{}", 2)], "platform_id string, name string, data string, sequence long"))
+    assert rows(creatives, "creative_id", "name") == [("c", "new")]
+    ads = entities.load_ads(batch, groups, creatives.withColumnRenamed("id", "key").withColumn("id", F.col("key")))
+    assert rows(ads, "platform_id", "channeled_ad_group_id", "channeled_account_id", "channeled_campaign_id") == [("a1", 5, 50, 500), ("a2", 6, 60, 600)]

@@ -198,6 +198,59 @@ def test_page_level_scope(spark, rows):
     assert rows(ask([], **{"dimensions.age": "18"})) == [(4.0,)]
 
 
+def test_time_weighted_average_from_a_request(spark, rows):
+    frame = facts(
+        spark,
+        fact("ig_reels_avg_watch_time_daily", 5000, "2026-04-01"), fact("ig_reels_video_view_total_time_daily", 50000, "2026-04-01"),
+        fact("ig_reels_avg_watch_time_daily", 10000, "2026-04-02"), fact("ig_reels_video_view_total_time_daily", 10000, "2026-04-02"),
+        fact("ig_reels_avg_watch_time_daily", 3000, "2026-04-02", device=2), fact("ig_reels_video_view_total_time_daily", 30000, "2026-04-02", device=2),
+    )
+    ask = AggregateRequest({"t": "ig_reels_avg_watch_time_daily", "total": "ig_reels_video_view_total_time_daily"}, [], {"device_id": 1}, "2026-04-01", "2026-04-30")
+    ((t, total),) = rows(aggregate(Star(facts=frame), ask))
+    assert abs(t - 60000 / 11) < 1e-3 and total == 60000.0
+    daily = AggregateRequest({"t": "ig_reels_avg_watch_time"}, ["daily"], {"device_id": 1})
+    assert rows(aggregate(Star(facts=frame), daily)) == [(date(2026, 4, 1), 5000.0), (date(2026, 4, 2), 10000.0)]
+
+
+def test_campaign_status_from_a_request(spark, rows):
+    frame = facts(spark, fact("clicks", 1, "2026-04-01"), fact("clicks", 2, "2026-04-01", country=2)).withColumn("channeled_campaign_id", F.col("country_id") + 10)
+    campaigns = spark.createDataFrame([(11, "PAUSED"), (12, "ACTIVE")], "id long, status string")
+    star = Star(facts=frame, entities={"channeled_campaigns": campaigns})
+    measures = {"status": "campaign_status", "clicks": "clicks"}
+    assert rows(aggregate(star, AggregateRequest(measures))) == [("ACTIVE", 3.0)]
+    assert rows(aggregate(star, AggregateRequest(measures, ["country_id"]))) == [(1, "PAUSED", 1.0), (2, "ACTIVE", 2.0)]
+
+
+def test_months_prune_inside_requests(spark, folder, tmp_path):
+    from tidemark.sources import files
+
+    facts_by_month = T.search_facts(spark, folder).withColumn("metric_config_id", F.xxhash64("name", "page_id", "query_id"))
+    files.write_facts(facts_by_month, str(tmp_path / "facts"))
+    stored = Star(facts=spark.read.parquet(str(tmp_path / "facts")), entities=T.entities(spark, folder))
+    for measures in ({"clicks": "clicks"}, {"position": "position"}):
+        request = AggregateRequest(measures, ["monthly"], {}, "1998-03-31", "1998-04-28")
+        plan = aggregate(stored, request)._jdf.queryExecution().executedPlan().toString()
+        assert any("month#" in x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]), plan
+        assert sorted(map(str, aggregate(stored, request).collect())) == sorted(map(str, aggregate(Star(facts=facts_by_month), request).collect()))
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+@pytest.mark.parametrize("groups", [[], ["yearly"], ["channel"], ["daily"], ["account", "monthly"]])
+def test_size_changes_no_result(spark, folder, rows, groups, limit):
+    """Totals over nothing, expressions over facts and groups: alike whatever is broadcast."""
+    normal = T.normal_event_star(spark, folder)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        nothing = aggregate(normal, AggregateRequest({"clicks": "clicks"}, groups, {}, "1990-01-01", "1990-01-31"))
+        assert rows(nothing) == ([] if groups else [(0.0,)])
+        mixed = rows(aggregate(normal, AggregateRequest({"n": "COUNT(metric_config_id)", "last": "MAX(metric_date)", "clicks": "clicks"}, groups, {}, "2024-01-03", "2024-01-25")))
+        joined = Star(facts=normal.frame(), entities=normal.entities)
+        assert mixed == rows(aggregate(joined, AggregateRequest({"n": "COUNT(metric_config_id)", "last": "MAX(metric_date)", "clicks": "clicks"}, groups, {}, "2024-01-03", "2024-01-25")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.fixture
 def no_broadcast(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -108,31 +108,6 @@ def id_predicate(column: Column, raw: Any) -> Column:
     return predicate(column, Condition(cond.operator, ids[0]))
 
 
-def label_predicate(fk: Column, label: Column, raw: Any) -> Column:
-    """Filter an entity by its text (country code, device type, query text).
-
-    Null words inside the list test the key itself: ``OR key IS NULL`` when
-    keeping, ``AND key IS NOT NULL`` when excluding.
-    """
-    cond = parse_condition(raw)
-    if cond.operator == "is_null":
-        return fk.isNull()
-    if cond.operator == "is_not_null":
-        return fk.isNotNull()
-    if cond.operator == "like":
-        return label.like(str(cond.value))
-    negative = cond.operator in ("neq", "not_in")
-    wants_null = any(v in NULL_WORDS for v in cond.items)
-    texts = [str(v) for v in cond.items if v not in NULL_WORDS]
-    out = None
-    if texts:
-        out = (fk.isNotNull() & ~F.coalesce(label.isin(texts), F.lit(False))) if negative else label.isin(texts)
-    if wants_null:
-        null_test = fk.isNotNull() if negative else fk.isNull()
-        out = null_test if out is None else ((out & null_test) if negative else (out | null_test))
-    return F.lit(False) if out is None else out
-
-
 def has_no_numeric_member(raw: Any) -> bool:
     """An ``in`` list without any number is the agreed sign for "no access"."""
     cond = parse_condition(raw)

@@ -93,6 +93,12 @@ def as_date(value: str | date | datetime) -> date:
     return date.fromisoformat(resolve_relative(value))
 
 
+def month_number(value: str | date | datetime) -> int:
+    """Month as a number such as 202401, which orders like dates."""
+    day = as_date(value)
+    return day.year * 100 + day.month
+
+
 def resolve_relative(value: str, today: date | None = None) -> str:
     """``today``, ``yesterday``, ``-3 days`` and the like as an ISO date."""
     text = value.strip().lower()

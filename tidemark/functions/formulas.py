@@ -117,6 +117,8 @@ ORGANIC_SUMS = (
 )
 # Metrics averaged with a weight, and the weight metric's names.
 WEIGHTED_METRICS = {"position": ("impressions",)}
+# Averages over time, and the total each is an average of.
+TIME_WEIGHTED_METRICS = {"ig_reels_avg_watch_time": "ig_reels_video_view_total_time"}
 
 # The named formula library, as the metric each name sums,
 # averages ("avg:") or divides ("a/b" or "a/b*factor").
@@ -223,8 +225,8 @@ class FactColumns:
 
 
 
-def partial_columns() -> FactColumns:
-    return FactColumns(total=F.col("value_sum"), count=F.col("value_count"), largest=F.col("value_max"))
+def partial_columns(empty_as_zero: bool = False) -> FactColumns:
+    return FactColumns(empty_as_zero=empty_as_zero, total=F.col("value_sum"), count=F.col("value_count"), largest=F.col("value_max"))
 
 
 def safe_period(period: str | None, default: str = "daily") -> str:

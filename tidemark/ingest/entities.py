@@ -29,10 +29,25 @@ def channeled_id(*parts: Column | str) -> Column:
     return surrogate_id(F.to_json(F.array(*[c.cast("string") for c in columns])))
 
 
-def lookup(rows: DataFrame, column: str, table: DataFrame, natural: str, output: str, key: str = "id") -> DataFrame:
-    """Add the id a reference stands for; unknown references give NULL."""
-    ids = table.select(F.col(natural).cast("string").alias("__natural"), F.col(key).alias(output))
-    return rows.join(ids, F.col(column).cast("string") == F.col("__natural"), "left").drop("__natural")
+def lookup(rows: DataFrame, column: str, table: DataFrame, natural: str, output: str | Sequence[str], key: str = "id") -> DataFrame:
+    """Add what a reference stands for; unknown references give NULL.
+
+    Platform ids are unique within a channel only: where both sides have a
+    channel, it is part of the key. Of several rows with one key the least id
+    counts, so no row multiplies. ``output`` may name more columns of the table,
+    which then come from that same row.
+    """
+    names = [output] if isinstance(output, str) else list(output)
+    shared = ["channel"] if "channel" in rows.columns and "channel" in table.columns else []
+    keys = {f"__k{i}": F.col(c).cast("string") for i, c in enumerate([natural, *shared])}
+    picked = F.struct(F.col(key).alias(names[0]), *names[1:])
+    one = table.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(F.min_by(picked, key).alias("__r"))
+    ids = one.select(*keys, *[F.col(f"__r.{n}").alias(f"__o_{n}") for n in names])
+    test = F.col(column).cast("string") == F.col("__k0")
+    if shared:
+        test = test & (F.col("channel").cast("string") == F.col("__k1"))
+    joined = rows.drop(*names).join(ids, test, "left").drop(*keys)
+    return joined.withColumnsRenamed({f"__o_{n}": n for n in names})
 
 
 def first_per_key(batch: DataFrame, keys: Sequence[str], sequence: str = "sequence") -> DataFrame:
@@ -112,13 +127,7 @@ def load_ads(
 
     ``batch``: channel, platform_id, ad_group_ref, creative_ref, name, status, data, sequence.
     """
-    parents = ad_groups.select(
-        F.col("platform_id").alias("__natural"),
-        F.col("id").alias("channeled_ad_group_id"),
-        "channeled_account_id",
-        "channeled_campaign_id",
-    )
-    linked = batch.join(parents, F.col("ad_group_ref").cast("string") == F.col("__natural"), "left").drop("__natural")
+    linked = lookup(batch, "ad_group_ref", ad_groups, "platform_id", ["channeled_ad_group_id", "channeled_account_id", "channeled_campaign_id"])
     if creatives is not None:
         linked = lookup(linked, "creative_ref", creatives, "creative_id", "creative_id")
     else:

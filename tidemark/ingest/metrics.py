@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import CONFIG_PARTS, config_signature, dimensions_hash, surrogate_id
 from tidemark.functions.text import query_key
+from tidemark.ingest.entities import lookup
 from tidemark.ingest.merge import last_write_wins, merge_largest, new_keys
 from tidemark.ingest.payloads import merged_payloads
 from tidemark.operators.snapshot import daily_from_lifetime
@@ -43,15 +44,14 @@ def register_dimension_sets(batch: DataFrame, stored: DataFrame | None = None) -
 def resolve_keys(batch: DataFrame, entities: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Turn platform references into surrogate keys: part → (table, natural key).
 
-    A reference no entity answers to gives NULL. Search texts are cut to the key
-    length first, as when the entity was stored.
+    A reference no entity answers to gives NULL. Platform ids are looked up within
+    the channel of the row where the table has channels. Search texts are cut to the
+    key length first, as when the entity was stored.
     """
     for part, (frame, natural) in entities.items():
-        if part not in batch.columns:
-            continue
-        reference = query_key(F.col(part)) if part == "query" else F.col(part).cast("string")
-        lookup = frame.select(F.col(natural).cast("string").alias("__natural"), F.col("id").alias(f"{part}_id"))
-        batch = batch.join(lookup, reference == F.col("__natural"), "left").drop("__natural")
+        if part in batch.columns:
+            reference = query_key(F.col(part)) if part == "query" else F.col(part).cast("string")
+            batch = lookup(batch.withColumn("__reference", reference), "__reference", frame, natural, f"{part}_id").drop("__reference")
     return batch
 
 

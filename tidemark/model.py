@@ -9,6 +9,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates as D
+
 
 @dataclass(frozen=True)
 class RelationSpec:
@@ -82,7 +84,9 @@ class Star:
 
     ``facts`` has one row per metric value with the config columns beside it. The
     free-form dimensions stand beside them as ``dims map<string,string>``, or in
-    ``dimension_sets`` under the facts' ``dimension_set_id``.
+    ``dimension_sets`` under the facts' ``dimension_set_id``. Facts that are stored
+    by month carry it as a number in ``month_column``; every date bound then bounds
+    the months too, so other folders are not read.
     """
 
     facts: DataFrame | None = None
@@ -92,6 +96,7 @@ class Star:
     entities: Mapping[str, DataFrame] = field(default_factory=dict)
     relations: Mapping[str, RelationSpec] = field(default_factory=lambda: dict(RELATIONS))
     formulas: Mapping[str, Formula] = field(default_factory=dict)
+    month_column: str = "month"
 
     def register_relation(self, key: str, spec: RelationSpec, frame: DataFrame | None = None) -> Star:
         entities = ChainMap({spec.table: frame}, self.entities) if frame is not None else self.entities
@@ -119,16 +124,28 @@ class Star:
             return frame
         return frame.join(self.dimension_sets.select("dimension_set_id", "dims"), "dimension_set_id", "left")
 
-    def frame(self) -> DataFrame:
-        """Facts joined to their configs.
+    def dated(self, facts: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Facts of a date range, in the months of the range if they are stored by month."""
+        facts = facts.filter(D.in_range(F.col(D.base_date_column(facts.columns)), start, end))
+        if self.month_column not in facts.columns:
+            return facts
+        month = F.col(self.month_column)
+        if start is not None:
+            facts = facts.filter(month >= F.lit(D.month_number(start)))
+        if end is not None:
+            facts = facts.filter(month <= F.lit(D.month_number(end)))
+        return facts.drop(self.month_column)
+
+    def frame(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Facts of a date range joined to their configs.
 
         Neither side is forced into a broadcast: Spark's own size check picks
         the strategy, from plan statistics and again from real sizes at run time.
         """
         if self.facts is not None:
-            return self._with_dimensions(self.facts)
+            return self._with_dimensions(self.dated(self.facts, start, end))
         configs = self.config_frame().withColumnRenamed("id", "metric_config_id")
-        return self.metrics.join(configs, "metric_config_id", "inner")
+        return self.dated(self.metrics, start, end).join(configs, "metric_config_id", "inner")
 
     def entity(self, table: str) -> DataFrame:
         if table not in self.entities:

@@ -7,53 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import fits_broadcast, reliable_checkpoint
-
-_POSITION_BITS = 33
-
-
-def row_numbers(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], output: str = "rank", size: str = "group_size"
-) -> DataFrame:
-    """Exact 1-based position of each row within its group, and the group's size.
-
-    Small inputs use a window. A larger input is sorted by range instead, which
-    spreads one big group over many tasks; each partition numbers its own run of
-    the group, and the lengths of the runs before it are added on. The sorted rows
-    go through a reliable checkpoint first, so both reads see the same partitions.
-    """
-    if fits_broadcast(df):
-        window = Window.partitionBy(*groups)
-        position = F.row_number().over(window.orderBy(*order)).cast("long")
-        return df.withColumns({output: position, size: F.count("*").over(window)})
-    return row_numbers_by_range(df, groups, order, output, size)
-
-
-def row_numbers_by_range(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str], output: str = "rank", size: str = "group_size"
-) -> DataFrame:
-    ordered = df.orderBy(*groups, *order).withColumn("__position", F.monotonically_increasing_id())
-    ordered = reliable_checkpoint(ordered)
-    part = F.shiftright("__position", _POSITION_BITS)
-    keyed = ordered.withColumn("__part", part)
-    # At most (partitions + groups) rows: a sorted partition holds a run of groups.
-    runs = keyed.groupBy(*groups, "__part").agg(F.count("*").alias("__n"), F.min("__position").alias("__first"))
-    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
-        F.col("__part").alias("__run"),
-        "__first",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(*groups)).alias("__size"),
-    )
-    same = F.col("__part") == F.col("__run")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    numbered = keyed.join(offsets, same)
-    position = F.col("__position") - F.col("__first") + F.col("__before") + 1
-    return numbered.select(*[f"`{c}`" for c in df.columns], position.alias(output), F.col("__size").alias(size))
-
-
 def best_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], keep: int = 1, output: str | None = None) -> DataFrame:
     """The first ``keep`` rows of each group in the given order.
 

@@ -15,10 +15,6 @@ from tidemark.model import RELATIONS, Star
 from tidemark.operators.rank import best_per_group
 
 
-# Fixed value: children gathered into one array at most, on average.
-NESTED_AT_MOST = 10_000
-
-
 def expand_children(parents: DataFrame, key: str, children: DataFrame, parent_key: str) -> DataFrame:
     """One row per parent and child; parents without children keep one row."""
     renamed = children.withColumnRenamed(parent_key, "__parent")
@@ -26,23 +22,26 @@ def expand_children(parents: DataFrame, key: str, children: DataFrame, parent_ke
 
 
 def nest_children(
-    parents: DataFrame, key: str, children: DataFrame, parent_key: str, name: str, at_most: int = NESTED_AT_MOST
+    parents: DataFrame, key: str, children: DataFrame, parent_key: str, name: str, at_most: int | None = None
 ) -> DataFrame:
-    """Parents with their children in an array of structs.
+    """Parents with their children in an array of structs, one row per parent.
 
-    A parent with more than ``at_most`` children comes as several rows, told apart
-    by ``<name>_part``, so no array grows without bound and no child is lost.
+    An array must fit into memory: for parents with very many children use
+    ``expand_children``, or let ``at_most`` cut arrays to about that length. Such a
+    parent then comes as several rows, told apart by ``<name>_part``.
     """
     columns = [c for c in children.columns if c != parent_key]
+    gathered = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
+    if at_most is None:
+        nested = children.groupBy(F.col(parent_key).alias("__parent")).agg(gathered)
+        return parents.join(nested, F.col(key) == F.col("__parent"), "left").drop("__parent")
     sizes = children.groupBy(F.col(parent_key).alias("__size_of")).agg(F.count("*").alias("__n"))
     large = sizes.filter(F.col("__n") > at_most)
     parted = children.join(large, F.col(parent_key) == F.col("__size_of"), "left")
     parts = F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / at_most)
-    part = F.pmod(F.xxhash64(*columns), parts)
-    gathered = parted.groupBy(F.col(parent_key).alias("__parent"), part.alias(f"{name}_part")).agg(
-        F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-    )
-    return parents.join(gathered, F.col(key) == F.col("__parent"), "left").drop("__parent")
+    part = F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), parts)
+    nested = parted.groupBy(F.col(parent_key).alias("__parent"), part.alias(f"{name}_part")).agg(gathered)
+    return parents.join(nested, F.col(key) == F.col("__parent"), "left").drop("__parent")
 
 
 def facts_with_entities(star: Star, keys: Sequence[str] = tuple(RELATIONS)) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import next_evaluation
+from tidemark.functions.formulas import MetricDictionary
+from tidemark.model import Star
+from tidemark.plans.kpi import evaluate_kpi
 
 # How a series becomes the number a threshold is held against.
 REDUCTIONS = ("sum", "avg", "min", "max", "latest")
@@ -63,3 +69,27 @@ def evaluate_alerts(alerts: DataFrame, series: DataFrame) -> DataFrame:
         F.when(above, "upper").when(below, "lower").alias("threshold_type"),
         F.when(above, F.col("upper_limit")).when(below, F.col("lower_limit")).alias("threshold_value"),
     )
+
+
+def alert_series(
+    star: Star,
+    lines: Sequence[Mapping[str, Any]],
+    start_date: str | None = None,
+    end_date: str | None = None,
+    group_by: str = "daily",
+    derived: Mapping[int, Mapping[str, Any]] | None = None,
+    dictionary: MetricDictionary | None = None,
+) -> DataFrame:
+    """The KPI series behind each alert line, as ``evaluate_alerts`` takes them.
+
+    A line has ``alert_id``, ``line_id``, ``tree`` and, if it watches single assets,
+    ``filters``. Each line is one KPI, with the filters and scopes of any request.
+    """
+    series = None
+    for line in lines:
+        points = evaluate_kpi(star, line["tree"], start_date, end_date, group_by, line.get("filters"), derived, dictionary)
+        part = points.select(F.lit(line["alert_id"]).cast("long").alias("alert_id"), F.lit(line["line_id"]).cast("long").alias("line_id"), "key", "value")
+        series = part if series is None else series.unionByName(part)
+    if series is None:
+        raise ValueError("no alert lines")
+    return series

@@ -1,4 +1,4 @@
-"""KPI trees over metrics, evaluated in one pass over the facts.
+"""KPI trees over metrics, each batch of leaves answered by one aggregate request.
 
 A tree is a nested mapping:
 
@@ -13,18 +13,16 @@ Leaves are ``metric`` (``channel.name`` with own filters), ``value`` and
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import conditions as C
-from tidemark.functions import dates as D
 from tidemark.functions import formulas as M
 from tidemark.model import Star
-from tidemark.plans.request import AggregateRequest, dimension, measure
+from tidemark.plans.request import AggregateRequest, aggregate
 
 
 def combine(operator: str, left: Column, right: Column) -> Column:
@@ -108,22 +106,6 @@ def _leaves(tree: Mapping[str, Any], shared: Mapping[str, Any]) -> list[_Leaf]:
     return []
 
 
-def _leaf_filter(leaf: _Leaf, star: Star, columns: Sequence[str]) -> Column:
-    keep = F.lit(True) if leaf.channel in (None, "global") else F.lower("channel") == leaf.channel.lower()
-    for key, raw in leaf.filters:
-        value = json.loads(raw)
-        spec = star.relations.get(key) or star.relations.get(key.removesuffix("_id"))
-        if key in ("channel", "name"):
-            keep = keep & C.predicate(F.col(key), value, text=True)
-        elif spec is not None:
-            keep = keep & C.id_predicate(F.col(spec.fk), value)
-        elif key.endswith("_id") and key in columns:
-            keep = keep & C.id_predicate(F.col(key), value)
-        else:
-            keep = keep & C.predicate(dimension(key), value, text=True)
-    return keep
-
-
 def evaluate_kpi(
     star: Star,
     tree: str | Mapping[str, Any],
@@ -136,36 +118,38 @@ def evaluate_kpi(
 ) -> DataFrame:
     """A KPI as a series ``(key, value)``, or as one row without ``group_by``.
 
-    Every batch of leaves is a condition inside the same aggregate, so the facts
-    are read once whatever the number of leaves. For each leaf the series of keys
-    it has is kept apart from its value: adding two series takes the keys of
-    either, adding a number takes the series' own.
+    Leaves with the same channel and filters are one aggregate request, so they
+    share a read and have the filters, scopes, groups and measures of any request.
+    The results are stacked and aligned by key. For each leaf the series of keys it
+    has is kept apart from its value: adding two series takes the keys of either,
+    adding a number takes the series' own.
     """
     tree = inline_derived(parse_tree(tree), derived or {})
-    dictionary = dictionary or M.MetricDictionary()
     leaves = list(dict.fromkeys(_leaves(tree, filters or {})))
-    frame = star.frame()
-    frame = frame.filter(D.in_range(F.col("metric_date"), start_date, end_date))
     batches = {b: i for i, b in enumerate(dict.fromkeys(leaf.batch for leaf in leaves))}
-    tests = {i: _leaf_filter(next(x for x in leaves if x.batch == b), star, frame.columns) for b, i in batches.items()}
-    for i, test in tests.items():
-        frame = frame.withColumn(f"__b{i}", F.coalesce(test, F.lit(False)))
-    if tests:
-        any_batch = F.col("__b0")
-        for i in list(tests)[1:]:
-            any_batch = any_batch | F.col(f"__b{i}")
-        frame = frame.filter(any_batch)
-    columns, present = {}, {}
-    for n, leaf in enumerate(leaves):
-        i = batches[leaf.batch]
-        # Outside its batch a fact has no name, hence matches no metric.
-        facts = M.FactColumns(name=F.when(F.col(f"__b{i}"), F.lower(F.col("name"))))
-        request = AggregateRequest({"m": leaf.metric}, filters={"channel": leaf.channel} if leaf.channel else {})
-        columns[leaf] = measure(leaf.metric, star, request, facts, dictionary, []).alias(f"__v{n}")
-        present[i] = F.max(f"__b{i}").alias(f"__p{i}")
-    key = _series_key(group_by)
-    grouped = frame.groupBy(*([key.alias("key")] if key is not None else []))
-    row = grouped.agg(*columns.values(), *present.values()) if leaves else star.frame().sparkSession.range(1)
+    answers = []
+    for batch in batches:
+        channel, pairs = batch
+        asked = {k: json.loads(v) for k, v in pairs}
+        if channel not in (None, "global"):
+            asked["channel"] = channel
+        measures = {f"__v{n}": leaf.metric for n, leaf in enumerate(leaves) if leaf.batch == batch}
+        groups = [group_by] if group_by is not None else []
+        answers.append((aggregate(star, AggregateRequest(measures, groups, asked, start_date, end_date), dictionary), measures))
+    # Names may repeat among the members of a relation, so ids align them where all answers have ids.
+    by_id = group_by is not None and all(f"{group_by}_id" in answer.columns for answer, _ in answers)
+    stacked = None
+    for i, (answer, measures) in enumerate(answers):
+        key = {} if group_by is None else {"key": F.col(f"`{group_by}`"), "__align": F.col(f"`{group_by}_id`" if by_id else f"`{group_by}`")}
+        part = answer.select(*[c.alias(n) for n, c in key.items()], *measures, F.lit(True).alias(f"__p{i}"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    values = [F.max(c).alias(c) for c in (stacked.columns if stacked is not None else []) if c.startswith(("__v", "__p"))]
+    if stacked is None:
+        row = star.frame().sparkSession.range(1)
+    elif group_by is None:
+        row = stacked.agg(*values)
+    else:
+        row = stacked.groupBy("__align").agg(F.max("key").alias("key"), *values)
 
     def fold(node: Mapping[str, Any]) -> tuple[Column, Column | None]:
         """Value and, for a series, whether it has the key at hand."""
@@ -175,29 +159,16 @@ def evaluate_kpi(
             leaf = _Leaf.of(node, filters or {})
             value = F.coalesce(F.col(f"__v{leaves.index(leaf)}"), F.lit(0.0))
             has = F.col(f"__p{batches[leaf.batch]}")
-            return (F.when(has, value).otherwise(F.lit(0.0)), has) if key is not None else (value, None)
+            return (F.when(has, value).otherwise(F.lit(0.0)), has) if group_by is not None else (value, None)
         (left, l_has), (right, r_has) = fold(node["left"]), fold(node["right"])
         value = combine(node["operator"], left, right)
         has = l_has if r_has is None else r_has if l_has is None else (l_has | r_has)
         return (value, None) if has is None else (F.when(has, value).otherwise(F.lit(0.0)), has)
 
     value, has = fold(tree)
-    if key is None:
+    if group_by is None or stacked is None:
         return row.select(value.alias("value"))
-    label = D.grain_label(F.col("key"), group_by) if group_by in D.GRAINS and group_by not in D.DAILY_NAMES else F.col("key")
-    return row.filter(has if has is not None else F.lit(True)).select(label.alias("key"), value.alias("value"))
-
-
-def _series_key(group_by: str | None) -> Column | None:
-    if group_by is None:
-        return None
-    if group_by in D.DAILY_NAMES:
-        return F.col("metric_date")
-    if group_by in D.GRAINS:
-        return D.grain_start(F.col("metric_date"), group_by)
-    if group_by.endswith("_id") or group_by in ("channel", "name"):
-        return F.col(group_by)
-    return F.coalesce(dimension(group_by), F.lit("unknown"))
+    return row.filter(has if has is not None else F.lit(True)).select("key", value.alias("value"))
 
 
 def combine_series(left: DataFrame, right: DataFrame, operator: str) -> DataFrame:

@@ -15,8 +15,7 @@ from tidemark.functions import formulas as M
 from tidemark.model import TEXT_FILTER_COLUMN, RelationSpec, Star, with_columns_or_null
 from tidemark.operators.gapfill import fill_gaps
 from tidemark.operators.snapshot import CONTEXT, latest_snapshot, snapshot_delta
-from tidemark.operators.weighted import keep_requested_dimension_sets, weighted_aggregate
-from tidemark.session import fits_broadcast
+from tidemark.operators.weighted import keep_requested_dimension_sets, time_weighted_average, weighted_aggregate
 
 # Filter keys that steer the read instead of naming a column.
 CONTROL_KEYS = ("latest_snapshot", "snapshot_delta", "snapshot_fallback_mode", "period", "debug_sql", "_")
@@ -54,6 +53,8 @@ UNKNOWN_DIMENSION = "unknown"
 WEIGHTED_UNKNOWN = "N/A"
 UNKNOWN_ENTITY = "Unknown"
 MISSING_ATTRIBUTE = "N/A"
+# Fixed value: the formula that is the least status of the campaigns behind the facts.
+CAMPAIGN_STATUS = "campaign_status"
 
 
 @dataclass(frozen=True)
@@ -86,9 +87,11 @@ class AggregateRequest:
 def aggregate(star: Star, request: AggregateRequest, dictionary: M.MetricDictionary | None = None) -> DataFrame:
     """Answer a request: filters, groups, measures, order, and gap filling."""
     dictionary = dictionary or M.MetricDictionary()
-    weighted = any(str(e).strip().lower() in M.WEIGHTED_METRICS for e in request.aggregations.values())
-    if weighted:
+    names = [str(e).strip().lower() for e in request.aggregations.values()]
+    if any(n in M.WEIGHTED_METRICS for n in names):
         result = _weighted(star, request, dictionary)
+    elif any(_time_weighted_base(n) for n in names) and not (request.flag("latest_snapshot") or request.flag("snapshot_delta")):
+        result = _time_weighted(star, request, dictionary)
     else:
         result = _conditional(star, request, dictionary)
     return _ordered(_gap_filled(result, request), request)
@@ -125,9 +128,7 @@ def _entity_field(df: DataFrame, name: str) -> Column:
 
 def filtered_facts(star: Star, request: AggregateRequest, with_dates: bool = True) -> DataFrame:
     """Facts within the request's dates and filters."""
-    frame = star.frame()
-    if with_dates:
-        frame = frame.filter(D.in_range(F.col(D.base_date_column(frame.columns)), request.start_date, request.end_date))
+    frame = star.frame(request.start_date, request.end_date) if with_dates else star.frame()
     return _filtered(_scoped(frame, star, request), star, request)
 
 
@@ -352,6 +353,8 @@ def measure(
     name = text.strip().lower()
     if name in star.formulas:
         return star.formulas[name](F.col("value"))
+    if name == CAMPAIGN_STATUS:
+        return F.min("__campaign_status")
     M.refuse_raw_value(text)
     organic_period = _organic_period(request)
     found = dictionary.expression(name, request.channel, facts, "marketing")
@@ -433,7 +436,8 @@ def _as_partials(frame: DataFrame) -> DataFrame:
 
 def _by_name(text: str, star: Star) -> bool:
     """Whether a measure reads facts by metric name only."""
-    return text.strip().isidentifier() and text.strip().lower() not in star.formulas
+    name = text.strip().lower()
+    return name.isidentifier() and name not in star.formulas and name != CAMPAIGN_STATUS
 
 
 def _organic_period(request: AggregateRequest) -> str:
@@ -461,6 +465,10 @@ def _conditional(star: Star, request: AggregateRequest, dictionary: M.MetricDict
     by_name = all(_by_name(t, star) for t in request.aggregations.values())
     if by_name and not snapshot and any(_joins_first(n, star) for n in request.group_by):
         frame, facts = _reduced(frame, star, request), M.partial_columns()
+    if any(t.strip().lower() == CAMPAIGN_STATUS for t in request.aggregations.values()):
+        spec = star.relations["channeledCampaign"]
+        status = star.entity(spec.table).select(F.col("id").alias("__cid"), F.col("status").alias("__campaign_status"))
+        frame = frame.join(status, F.col(spec.fk) == F.col("__cid"), "left").drop("__cid")
     groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
     measures = {a: measure(t, star, request, facts, dictionary, frame.columns) for a, t in request.aggregations.items()}
     if total and by_name:
@@ -474,20 +482,19 @@ def _conditional(star: Star, request: AggregateRequest, dictionary: M.MetricDict
 
 
 def _can_presum(star: Star, request: AggregateRequest) -> bool:
-    """Whether to sum facts per config before the config join.
+    """Whether to sum facts per config before the config join, whatever their sizes.
 
-    Small configs are broadcast, and then summing once after the join is best.
-    Otherwise summing first shrinks what the join shuffles, and a config that
-    holds a large share of the facts arrives as one row per period. A config has
-    about one fact a day, so for groups by day there is nothing to sum first.
+    Summing first shrinks what the join shuffles, and a config that holds a large
+    share of the facts arrives as one row per period. A config has about one fact a
+    day, so for groups by day there is nothing to sum first; expressions over
+    columns of the facts need the facts themselves.
     """
-    if star.facts is not None or star.formulas:
+    if star.facts is not None or not all(_by_name(t, star) for t in request.aggregations.values()):
         return False
     if any(n in (*D.DAILY_NAMES, "day") for n in request.group_by):
         return False
-    if any(n.startswith(("metadata.", "data.")) for n in request.group_by):
-        return False
-    return not fits_broadcast(star.configs)
+    needed = {*request.group_by, *request.filters} - {"metric_config_id", *D.GRAINS, *D.DATE_PARTS}
+    return not any(n.startswith(("metadata.", "data.")) or n in star.metrics.columns for n in needed)
 
 
 def _presummed(star: Star, request: AggregateRequest, dictionary: M.MetricDictionary) -> DataFrame:
@@ -495,11 +502,16 @@ def _presummed(star: Star, request: AggregateRequest, dictionary: M.MetricDictio
     temporal = {n: D.grain_start(day, n) for n in request.group_by if n in D.GRAINS and n != "daily"}
     temporal |= {n: D.date_part(day, n) for n in request.group_by if n in D.DATE_PARTS}
     partial = (
-        star.metrics.filter(D.in_range(day, request.start_date, request.end_date))
+        star.dated(star.metrics, request.start_date, request.end_date)
         .groupBy("metric_config_id", *[c.alias(f"__t_{n}") for n, c in temporal.items()])
         .agg(F.sum("value").alias("value_sum"), F.count("value").alias("value_count"), F.max("value").alias("value_max"))
     )
     configs = star.config_frame().withColumnRenamed("id", "metric_config_id")
+    total = not request.group_by
+    facts = M.partial_columns(empty_as_zero=total)
+    measures = {a: measure(t, star, request, facts, dictionary, []) for a, t in request.aggregations.items()}
+    if total:
+        configs = configs.filter(facts.name.isin(sorted(facts.asked)))
     frame = partial.join(configs, "metric_config_id", "inner")
     # The date stands in for the period columns only while group keys are formed.
     frame = frame.withColumn("metric_date", F.lit(None).cast("date"))
@@ -507,21 +519,27 @@ def _presummed(star: Star, request: AggregateRequest, dictionary: M.MetricDictio
     groups, frame = _groups(frame, star, request, UNKNOWN_DIMENSION)
     for name in temporal:
         groups.keys[name] = F.col(f"__t_{name}")
-    facts = M.partial_columns()
-    measures = {a: measure(t, star, request, facts, dictionary, []) for a, t in request.aggregations.items()}
     keys = [c.alias(k) for k, c in groups.keys.items()]
     result = frame.groupBy(*keys).agg(*[c.alias(a) for a, c in measures.items()])
     return _with_labels(result, star, groups, list(measures))
 
 
+def _known_sets(star: Star) -> DataFrame:
+    """Dimensions that occur, from the smallest table that has them: facts are a last resort."""
+    if star.dimension_sets is not None:
+        return star.dimension_sets
+    if star.configs is not None:
+        return star.config_frame().select("dims")
+    return with_columns_or_null(star.facts, {"dims": "map<string,string>"}).select("dims")
+
+
 def _weighted(star: Star, request: AggregateRequest, dictionary: M.MetricDictionary) -> DataFrame:
-    frame = star.frame().filter(D.in_range(F.col("metric_date"), request.start_date, request.end_date))
+    frame = star.frame(request.start_date, request.end_date)
     frame = with_columns_or_null(frame, {"dims": "map<string,string>", "dimension_set_id": "string"})
     frame = _filtered(frame, star, request, text_first=True)
     requested = [n.removeprefix("dimensions.") for n in request.group_by if n.startswith("dimensions.")]
     requested += [k.removeprefix("dimensions.") for k in request.filters if k.startswith("dimensions.")]
-    sets = star.dimension_sets if star.dimension_sets is not None else star.frame().select("dims")
-    frame = keep_requested_dimension_sets(frame, requested, sets)
+    frame = keep_requested_dimension_sets(frame, requested, _known_sets(star))
     groups, frame = _groups(frame, star, request, WEIGHTED_UNKNOWN)
 
     def relabel(summed: DataFrame) -> DataFrame:
@@ -542,6 +560,34 @@ def _weighted(star: Star, request: AggregateRequest, dictionary: M.MetricDiction
     return _with_period_names(result.select(*[f"`{c}`" for c in [*request.group_by, *request.aggregations]]), groups)
 
 
+def _time_weighted_base(name: str) -> str | None:
+    base = name.removesuffix("_daily")
+    return base if base in M.TIME_WEIGHTED_METRICS else None
+
+
+def _time_weighted(star: Star, request: AggregateRequest, dictionary: M.MetricDictionary) -> DataFrame:
+    """Averages weighted by what they averaged over, beside the other measures.
+
+    The answers are stacked and aligned by their groups, so they need no join.
+    """
+    averages = {a: t.strip().lower() for a, t in request.aggregations.items() if _time_weighted_base(t.strip().lower())}
+    rest = {a: t for a, t in request.aggregations.items() if a not in averages}
+    answers = [_conditional(star, replace(request, aggregations=rest), dictionary)] if rest else []
+    groups, frame = _groups(filtered_facts(star, request), star, request, UNKNOWN_DIMENSION)
+    for alias, name in averages.items():
+        base = _time_weighted_base(name)
+        period = "daily" if name.endswith("_daily") else _organic_period(request)
+        pair = [[n, f"{n}_daily"] for n in (base, M.TIME_WEIGHTED_METRICS[base])]
+        summed = time_weighted_average(frame, *pair, groups.keys, alias, period)
+        answers.append(_with_labels(summed, star, groups, [alias]))
+    stacked = answers[0]
+    for answer in answers[1:]:
+        stacked = stacked.unionByName(answer, allowMissingColumns=True)
+    keys = [c for c in stacked.columns if c not in request.aggregations]
+    merged = stacked.groupBy(*[f"`{k}`" for k in keys]).agg(*[F.max(f"`{a}`").alias(a) for a in request.aggregations])
+    return merged.select(*[f"`{c}`" for c in [*keys, *request.aggregations]])
+
+
 # --- result ----------------------------------------------------------------
 
 

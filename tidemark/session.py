@@ -1,4 +1,4 @@
-"""Session defaults and the two session-level facts operators ask about.
+"""Session defaults, and the folder that all executors share.
 
 A cluster brings its own session; nothing here overrides what it already set.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
@@ -22,6 +22,7 @@ def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "localhost")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,8 +32,8 @@ def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the setting is absent and the
-    session runs in local mode.
+    Only a session in local mode, which has no other machines, may leave the
+    setting out; it then gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -44,31 +45,3 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so a lost executor loses nothing."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; a filter or an aggregate counts as its input."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    """The session's own automatic broadcast threshold in bytes (-1 when off)."""
-    jconf = df.sparkSession._jsparkSession.sessionState().conf()
-    return int(jconf.autoBroadcastJoinThreshold())
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the estimate is within the session's limit; unknown sizes are not."""
-    try:
-        return plan_bytes(df) <= broadcast_limit(df)
-    except (AttributeError, NotImplementedError):
-        return False
