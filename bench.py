@@ -17,8 +17,8 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 from dataclasses import replace
 from pathlib import Path
 
@@ -55,7 +55,7 @@ def main() -> None:
 
     from tidemark import AggregateRequest, aggregate
     from tidemark.queries import REGISTRY
-    from tidemark.session import local_session
+    from tidemark.session import local_session, shared_folder
     from tidemark.sources import files
     from tidemark.sources import tables as T
 
@@ -63,7 +63,7 @@ def main() -> None:
     spark = local_session(int(os.environ.get("BENCH_CPUS", "8")), "tidemark-bench")
     times: dict[str, float] = {}
 
-    stored = f"{tempfile.mkdtemp(prefix='tidemark-bench-')}/facts"
+    stored = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}/facts"
     started = time.perf_counter()
     facts = T.search_facts(spark, folder).withColumn("metric_config_id", F.xxhash64("name", "page_id", "query_id", "device_id", "dimension_set_id"))
     files.write_facts(facts.drop("dims"), stored)
@@ -75,7 +75,7 @@ def main() -> None:
     table = spark.read.parquet(stored)
 
     def ask(groups, filters, dates):
-        return aggregate(replace(star, facts=files.in_months(table, *dates)), AggregateRequest(METRICS, groups, filters, *dates))
+        return aggregate(replace(star, facts=table), AggregateRequest(METRICS, groups, filters, *dates))
 
     for label, groups in PAYLOADS.items():
         filters = {"page": 3, "dimensions.searchAppearance": "O"}

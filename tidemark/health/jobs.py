@@ -34,7 +34,10 @@ def with_payload(jobs: DataFrame) -> DataFrame:
 
     ``is_recent`` marks jobs that re-pull the last days.
     """
-    parsed = jobs.withColumn("p", F.from_json("payload", PAYLOAD_SCHEMA))
+    # Behind a generator the parse is not copied into every filter on its parts.
+    kept = [c for c in jobs.columns if c != "payload"]
+    fields = F.struct(F.from_json("payload", PAYLOAD_SCHEMA).alias("p"))
+    parsed = jobs.select(*kept, F.inline(F.array(fields)))
     params = F.col("p.params")
     recent = (
         F.coalesce(F.col("p.instance_name").like("%-recent"), F.lit(False))
@@ -42,7 +45,7 @@ def with_payload(jobs: DataFrame) -> DataFrame:
         | F.coalesce(F.coalesce(params["startDate"], params["start_date"]) == RECENT_START, F.lit(False))
     )
     return parsed.select(
-        *[c for c in jobs.columns if c != "payload"],
+        *kept,
         F.coalesce(F.col("p.account_id"), params["account_id"]).alias("account_id"),
         F.col("p.instance_name").alias("instance_name"),
         params["startDate"].alias("start_date"),

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Usual settings of the indicators.
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 ANOMALY_LIMIT = 3.0
+# Shares below which a determinant or a residual counts as none.
+COLLINEAR = 1e-9
 
 
 def _zero_safe(top: Column, bottom: Column) -> Column:
@@ -30,10 +32,10 @@ def regression(pairs: DataFrame) -> DataFrame:
 
 
 def elasticity(pairs: DataFrame) -> DataFrame:
-    """Slope of ln y on ln x over the points where both are positive."""
-    positive = pairs.filter((F.col("y") > 0) & (F.col("x") > 0))
-    logs = positive.select("series", F.ln("y").alias("y"), F.ln("x").alias("x"))
-    return logs.groupBy("series").agg(F.regr_slope("y", "x").alias("elasticity"), F.count("*").alias("points"))
+    """Slope of ln y on ln x over the points where both are positive; NULL below two."""
+    positive = (F.col("y") > 0) & (F.col("x") > 0)
+    logs = pairs.select("series", F.when(positive, F.ln("y")).alias("y"), F.when(positive, F.ln("x")).alias("x"))
+    return logs.groupBy("series").agg(F.regr_slope("y", "x").alias("elasticity"), F.count("y").alias("points"))
 
 
 def _require_dates(df: DataFrame) -> None:
@@ -55,33 +57,32 @@ def granger(pairs: DataFrame) -> DataFrame:
     """Whether yesterday's x helps predict y beyond yesterday's y (lag 1).
 
     Both regressions are solved from centred moment sums; the F statistic
-    compares their residuals.
+    compares their residuals. Series of fewer than four lagged points, with
+    collinear predictors or without residuals have no statistic: NULL.
     """
     _require_dates(pairs)
     w = _by_day()
     daily = pairs.groupBy("series", "key").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
-    lagged = daily.select(
-        "series",
-        F.col("y").alias("t"),
-        F.lag("y").over(w).alias("a"),
-        F.lag("x").over(w).alias("b"),
-    ).filter(F.col("a").isNotNull())
+    lagged = daily.select("series", F.col("y").alias("t"), F.lag("y").over(w).alias("a"), F.lag("x").over(w).alias("b"))
+    lagged = lagged.withColumn("t", F.when(F.col("a").isNotNull(), F.col("t")))
+    n = F.count("a")
     m = lagged.groupBy("series").agg(
-        F.count("*").cast("double").alias("n"),
-        (F.var_pop("a") * F.count("*")).alias("saa"),
-        (F.var_pop("b") * F.count("*")).alias("sbb"),
-        (F.covar_pop("a", "b") * F.count("*")).alias("sab"),
-        (F.covar_pop("a", "t") * F.count("*")).alias("sat"),
-        (F.covar_pop("b", "t") * F.count("*")).alias("sbt"),
-        (F.var_pop("t") * F.count("*")).alias("stt"),
+        n.cast("double").alias("n"),
+        (F.var_pop("a") * n).alias("saa"),
+        (F.var_pop("b") * n).alias("sbb"),
+        (F.covar_pop("a", "b") * n).alias("sab"),
+        (F.covar_pop("a", "t") * n).alias("sat"),
+        (F.covar_pop("b", "t") * n).alias("sbt"),
+        (F.var_pop("t") * n).alias("stt"),
     )
     det = F.col("saa") * F.col("sbb") - F.col("sab") * F.col("sab")
+    det = F.when((F.col("n") > 3) & (det > COLLINEAR * F.col("saa") * F.col("sbb")), det)
     own = _zero_safe(F.col("sat"), F.col("saa"))
-    beta_a = _zero_safe(F.col("sat") * F.col("sbb") - F.col("sbt") * F.col("sab"), det)
-    beta_b = _zero_safe(F.col("sbt") * F.col("saa") - F.col("sat") * F.col("sab"), det)
+    beta_a = (F.col("sat") * F.col("sbb") - F.col("sbt") * F.col("sab")) / det
+    beta_b = (F.col("sbt") * F.col("saa") - F.col("sat") * F.col("sab")) / det
     restricted = F.col("stt") - own * F.col("sat")
     full = F.col("stt") - beta_a * F.col("sat") - beta_b * F.col("sbt")
-    f_value = F.when(F.col("n") > 3, _zero_safe(restricted - full, full / (F.col("n") - 3)))
+    f_value = F.when(full > COLLINEAR * F.col("stt"), (restricted - full) / (full / (F.col("n") - 3)))
     return m.select("series", F.col("n").cast("long").alias("points"), beta_b.alias("lag_effect"), f_value.alias("f_statistic"))
 
 

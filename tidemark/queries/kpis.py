@@ -11,7 +11,7 @@ from tidemark.operators import stats
 from tidemark.plans import alerts as A
 from tidemark.plans import kpi as P
 from tidemark.queries import registry
-from tidemark.queries.registry import EVENTS, sums
+from tidemark.queries.registry import EVENTS, SEARCH, sums
 from tidemark.sources import tables as T
 
 JANUARY = ("2024-01-01", "2024-01-31")
@@ -48,6 +48,27 @@ def kpi_total(spark, folder):
     return P.evaluate_kpi(T.event_star(spark, folder), tree, *JANUARY)
 
 
+@query("k1_text_filter", f"WITH {SEARCH} SELECT R(SUM(CASE WHEN name = 'clicks' THEN value ELSE 0 END) / SUM(CASE WHEN name = 'impressions' THEN value ELSE 0 END)) AS value FROM se WHERE device IN ('A', 'R')")
+def kpi_text_filter(spark, folder):
+    """Leaves filter by the text of a related entity, as requests do."""
+    tree = op("/", metric("search.clicks", device=["A", "R"]), metric("search.impressions", device=["A", "R"]))
+    return P.evaluate_kpi(T.search_star(spark, folder), tree)
+
+
+@query(
+    "k1_weighted_metric",
+    f"""WITH {SEARCH}, base AS (SELECT d, dimset, page, query, device, MAX(CASE WHEN name = 'position' THEN value END) AS m, MAX(CASE WHEN name = 'impressions' THEN value END) AS w FROM se GROUP BY ALL)
+    SELECT strftime(d, '%Y-%m') AS key, R(SUM(COALESCE(m, 0) * COALESCE(w, 0)) / NULLIF(SUM(COALESCE(w, 0)), 0)) AS value FROM base GROUP BY 1""",
+)
+def kpi_weighted_metric(spark, folder):
+    return P.evaluate_kpi(T.search_star(spark, folder), metric("search.position"), group_by="monthly")
+
+
+@query("k1_by_relation", f"WITH {SEARCH} SELECT p_name AS key, R(SUM(CASE WHEN name = 'clicks' THEN value ELSE 0 END) * 2) AS value FROM se JOIN part ON page = p_partkey GROUP BY p_partkey, p_name")
+def kpi_by_relation(spark, folder):
+    return P.evaluate_kpi(T.search_star(spark, folder), op("*", metric("search.clicks"), value(2)), group_by="page")
+
+
 _OPERATORS = ("+", "-", "*", "/", "ratio", "avg", "min", "max", "abs_diff", "pct_change")
 
 
@@ -125,14 +146,13 @@ def inner_alignment(spark, folder):
 
 @query(
     "k3_combined_series",
-    f"""WITH y AS (SELECT CAST(ts AS DATE) AS key, SUM(value) AS v FROM events WHERE event_type = 'click' AND user_id < 20 GROUP BY 1),
-    x AS (SELECT CAST(ts AS DATE) AS key, SUM(value) AS v FROM events WHERE event_type = 'view' AND user_id < 20 GROUP BY 1)
+    f"""WITH y AS (SELECT CAST(ts AS DATE) AS key, SUM(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1),
+    x AS (SELECT CAST(ts AS DATE) AS key, SUM(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
     SELECT key, R(GREATEST(COALESCE(y.v, 0), COALESCE(x.v, 0))) AS value FROM y FULL JOIN x USING (key)""",
 )
 def combined_series(spark, folder):
     def total(kind):
-        series = _series(spark, folder, kind).filter(F.col("series") < 20)
-        return series.groupBy("key").agg(F.sum("value").alias("value"))
+        return _series(spark, folder, kind).groupBy("key").agg(F.sum("value").alias("value"))
 
     return P.combine_series(total("click"), total("view"), "max")
 
@@ -215,23 +235,26 @@ def regression(spark, folder):
 
 @query(
     "k10_elasticity",
-    f"""WITH {_PAIR} SELECT s AS series, R(regr_slope(ln(y), ln(x))) AS elasticity, COUNT(*) AS points FROM y JOIN x USING (s, key) WHERE y > 0 AND x > 0 GROUP BY s HAVING COUNT(*) > 2""",
+    f"""WITH {_PAIR}, p AS (SELECT s, CASE WHEN y > 0 AND x > 0 THEN ln(y) END AS ly, CASE WHEN y > 0 AND x > 0 THEN ln(x) END AS lx FROM y JOIN x USING (s, key))
+    SELECT s AS series, R(CASE WHEN COUNT(ly) > 1 THEN regr_slope(ly, lx) END) AS elasticity, COUNT(ly) AS points FROM p GROUP BY s""",
 )
 def elasticity(spark, folder):
-    return stats.elasticity(_pairs(spark, folder)).filter("points > 2")
+    return stats.elasticity(_pairs(spark, folder))
 
 
 @query(
     "k11_granger",
     f"""WITH {_PAIR}, l AS (SELECT s, y AS t, LAG(y) OVER w AS a, LAG(x) OVER w AS b FROM y JOIN x USING (s, key) WINDOW w AS (PARTITION BY s ORDER BY key)),
-    m AS (SELECT s, COUNT(*) AS n, var_pop(a) * COUNT(*) AS saa, var_pop(b) * COUNT(*) AS sbb, covar_pop(a, b) * COUNT(*) AS sab, covar_pop(a, t) * COUNT(*) AS sat,
-      covar_pop(b, t) * COUNT(*) AS sbt, var_pop(t) * COUNT(*) AS stt FROM l WHERE a IS NOT NULL GROUP BY s HAVING COUNT(*) > 6),
-    c AS (SELECT *, (sat * sbb - sbt * sab) / (saa * sbb - sab * sab) AS ba, (sbt * saa - sat * sab) / (saa * sbb - sab * sab) AS bb FROM m)
-    SELECT s AS series, n AS points, R(bb) AS lag_effect, R(((stt - sat / saa * sat) - (stt - ba * sat - bb * sbt)) / ((stt - ba * sat - bb * sbt) / (n - 3))) AS f_statistic FROM c""",
+    m AS (SELECT s, COUNT(a) AS n, var_pop(a) * COUNT(a) AS saa, var_pop(b) * COUNT(a) AS sbb, covar_pop(a, b) * COUNT(a) AS sab, covar_pop(a, t) * COUNT(a) AS sat,
+      covar_pop(b, t) * COUNT(a) AS sbt, var_pop(t) FILTER (a IS NOT NULL) * COUNT(a) AS stt FROM l GROUP BY s),
+    c AS (SELECT *, CASE WHEN n > 3 THEN saa * sbb - sab * sab END AS det FROM m),
+    e AS (SELECT *, CASE WHEN det > 1e-9 * saa * sbb THEN (sat * sbb - sbt * sab) / det END AS ba, CASE WHEN det > 1e-9 * saa * sbb THEN (sbt * saa - sat * sab) / det END AS bb FROM c),
+    f AS (SELECT *, stt - sat / saa * sat AS own, stt - ba * sat - bb * sbt AS full_ FROM e)
+    SELECT s AS series, n AS points, R(bb) AS lag_effect, R(CASE WHEN full_ > 1e-9 * stt THEN (own - full_) / (full_ / (n - 3)) END) AS f_statistic FROM f""",
     digits=3,
 )
 def granger(spark, folder):
-    return stats.granger(_pairs(spark, folder)).filter("points > 6")
+    return stats.granger(_pairs(spark, folder))
 
 
 _ONE = "v AS (SELECT user_id AS s, CAST(ts AS DATE) AS key, SUM(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)"
@@ -239,13 +262,12 @@ _ONE = "v AS (SELECT user_id AS s, CAST(ts AS DATE) AS key, SUM(value) AS value
 
 @query(
     "k12_autocorrelation",
-    f"""WITH {_ONE}, l AS (SELECT s, value, LAG(value, 1) OVER w AS l1, LAG(value, 2) OVER w AS l2 FROM v WINDOW w AS (PARTITION BY s ORDER BY key)), n AS (SELECT s FROM v GROUP BY s HAVING COUNT(*) > 6)
-    SELECT s AS series, CAST(1 AS INT) AS lag, R(corr(value, l1)) AS correlation FROM l SEMI JOIN n USING (s) GROUP BY s UNION ALL SELECT s, 2, R(corr(value, l2)) FROM l SEMI JOIN n USING (s) GROUP BY s""",
+    f"""WITH {_ONE}, l AS (SELECT s, value, LAG(value, 1) OVER w AS l1, LAG(value, 2) OVER w AS l2 FROM v WINDOW w AS (PARTITION BY s ORDER BY key))
+    SELECT s AS series, CAST(1 AS INT) AS lag, R(CASE WHEN COUNT(l1) > 1 THEN corr(value, l1) END) AS correlation FROM l GROUP BY s
+    UNION ALL SELECT s, 2, R(CASE WHEN COUNT(l2) > 1 THEN corr(value, l2) END) FROM l GROUP BY s""",
 )
 def autocorrelation(spark, folder):
-    series = _series(spark, folder, "click")
-    long = series.groupBy("series").agg(F.count("*").alias("n")).filter("n > 6")
-    return stats.autocorrelation(series.join(long, "series", "left_semi"), 2)
+    return stats.autocorrelation(_series(spark, folder, "click"), 2)
 
 
 def _ema(name, source, span, table="r", by="rn"):
@@ -277,14 +299,11 @@ def anomalies(spark, folder):
 
 
 def _trend(name, x, logarithmic):
-    @query(
-        name,
-        f"WITH {_RANKED} SELECT s AS series, R(regr_slope(value, {x})) AS slope, R(regr_intercept(value, {x})) AS intercept, R(regr_r2(value, {x})) AS r2 FROM r GROUP BY s HAVING COUNT(*) > 2",
-    )
+    line = ", ".join(f"R(CASE WHEN COUNT(*) > 1 THEN regr_{f}(value, {x}) END) AS {n}" for f, n in (("slope", "slope"), ("intercept", "intercept"), ("r2", "r2")))
+
+    @query(name, f"WITH {_RANKED} SELECT s AS series, {line} FROM r GROUP BY s")
     def trend(spark, folder):
-        series = _series(spark, folder, "click")
-        long = series.groupBy("series").agg(F.count("*").alias("n")).filter("n > 2")
-        return stats.trend(series.join(long, "series", "left_semi"), logarithmic)
+        return stats.trend(_series(spark, folder, "click"), logarithmic)
 
 
 _trend("k15_linear_trend", "rn - 1", False)
@@ -356,6 +375,28 @@ def alert_status(spark, folder):
     return A.evaluate_alerts(_alerts(spark, folder), series)
 
 
+_WATCHED = (
+    (1, metric("events.clicks"), "sum", 100.0, None),
+    (2, op("/", metric("events.spend"), metric("events.clicks")), "avg", None, 45.0),
+    (3, metric("events.impressions"), "max", 1e9, 1.0),
+    (4, op("-", metric("events.results"), metric("events.clicks")), "latest", None, None),
+)
+
+
+@query(
+    "k18_alerts_from_trees",
+    f"""WITH {EVENTS}, p AS (SELECT d, {CLICKS} AS c, {SPEND} AS s, {VIEWS} AS i, {RESULTS} AS r FROM ev GROUP BY d),
+    e AS (SELECT 1 AS alert_id, SUM(c) AS ev, 100.0::DOUBLE AS up, CAST(NULL AS DOUBLE) AS lo FROM p UNION ALL SELECT 2, AVG(COALESCE(s / NULLIF(c, 0), 0)), NULL, 45.0 FROM p
+      UNION ALL SELECT 3, MAX(i), 1e9, 1.0 FROM p UNION ALL SELECT 4, arg_max(r - c, d), NULL, NULL FROM p)
+    SELECT CAST(alert_id AS BIGINT) AS alert_id, CAST(1 AS BIGINT) AS line_id, R(ev) AS evaluated_value, CASE WHEN ev > up OR ev < lo THEN 'triggered' ELSE 'ok' END AS status,
+    CASE WHEN ev > up THEN 'upper' WHEN ev < lo THEN 'lower' END AS threshold_type, R(CASE WHEN ev > up THEN up WHEN ev < lo THEN lo END) AS threshold_value FROM e""",
+)
+def alerts_from_trees(spark, folder):
+    lines = [{"alert_id": i, "line_id": 1, "tree": tree} for i, tree, *_ in _WATCHED]
+    alerts = spark.createDataFrame([(i, 1, *rest) for i, _, *rest in _WATCHED], "alert_id long, line_id long, aggregation_method string, upper_limit double, lower_limit double")
+    return A.evaluate_alerts(alerts, A.alert_series(T.event_star(spark, folder), lines, *JANUARY))
+
+
 @query("k19_due_alerts", "SELECT c_custkey AS alert_id FROM customer WHERE c_acctbal > -500 AND c_acctbal > 1000")
 def due(spark, folder):
     return A.due_alerts(_alerts(spark, folder), "2024-01-20 09:00:00").select("alert_id")

@@ -125,6 +125,60 @@ def resolved_keys(spark, folder):
     return metrics.resolve_keys(orders, {"customer": (customers, "platform_id")}).drop("customer")
 
 
+@query(
+    "c11_keys_by_channel",
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN c_custkey ELSE c_custkey + 1000000 END AS channeled_account_id FROM events LEFT JOIN customer ON user_id = c_custkey""",
+)
+def keys_by_channel(spark, folder):
+    """Two channels know the same platform ids, one of them twice; each reference finds its own."""
+    customer = T.table(spark, folder, "customer")
+    platform = F.concat(F.lit("acc-"), F.col("c_custkey").cast("string")).alias("platform_id")
+    known = [customer.select((F.col("c_custkey") + extra).alias("id"), F.lit(channel).alias("channel"), platform) for channel, extra in (("a", 0), ("b", 1_000_000), ("a", 2_000_000))]
+    accounts = known[0].unionByName(known[1]).unionByName(known[2])
+    batch = T.table(spark, folder, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "click", "a").otherwise("b").alias("channel"),
+        F.concat(F.lit("acc-"), F.col("user_id").cast("string")).alias("channeled_account"),
+    )
+    return metrics.resolve_keys(batch, {"channeled_account": (accounts, "platform_id")}).select("event_id", "channeled_account_id")
+
+
+@query("j14_creatives", "SELECT p_brand AS creative_id, arg_max(p_name, p_partkey) AS name, arg_max(p_type, p_partkey) AS data FROM part GROUP BY 1")
+def creatives(spark, folder):
+    rows = T.table(spark, folder, "part").select(F.col("p_brand").alias("platform_id"), F.col("p_name").alias("name"), F.col("p_type").alias("data"), F.col("p_partkey").alias("sequence"))
+    return entities.load_creatives(rows).select("creative_id", "name", "data")
+
+
+@query(
+    "j14_ads_by_channel",
+    """SELECT 'o' || o_orderkey AS platform_id, CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE 'y' END AS channel,
+    CASE WHEN o_orderstatus = 'F' THEN c_nationkey ELSE c_nationkey + 100 END AS channeled_account_id, CASE WHEN o_orderstatus = 'F' THEN c_custkey ELSE c_custkey + 1000000 END AS channeled_ad_group_id
+    FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+)
+def ads_by_channel(spark, folder):
+    """Ad groups of two channels share their platform ids; ads take the account of their own."""
+    customer = T.table(spark, folder, "customer")
+
+    def groups(channel, extra, nation):
+        return customer.select(
+            (F.col("c_custkey") + extra).alias("id"),
+            F.lit(channel).alias("channel"),
+            F.concat(F.lit("g"), F.col("c_custkey").cast("string")).alias("platform_id"),
+            (F.col("c_nationkey").cast("bigint") + nation).alias("channeled_account_id"),
+            F.lit(None).cast("bigint").alias("channeled_campaign_id"),
+        )
+
+    batch = T.table(spark, folder, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", "x").otherwise("y").alias("channel"),
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("platform_id"),
+        F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("ad_group_ref"),
+        *[F.lit(None).cast("string").alias(c) for c in ("creative_ref", "name", "status", "data")],
+        F.col("o_orderkey").alias("sequence"),
+    )
+    ads = entities.load_ads(batch, groups("x", 0, 0).unionByName(groups("y", 1_000_000, 100)))
+    return ads.select("platform_id", "channel", "channeled_account_id", "channeled_ad_group_id")
+
+
 @query(
     "j6_provenance_payloads",
     """SELECT 'u' || user_id AS platform_id, event_type AS channel, arg_max(value, event_id) AS last_value, COUNT(*) > 0 AS found, arg_max(json_extract_string(props, '$.k'), event_id) AS k FROM events GROUP BY 1, 2""",

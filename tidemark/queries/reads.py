@@ -236,23 +236,24 @@ def missing_days(spark, folder):
 
 @query(
     "h2_new_keys",
-    "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')",
+    "SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)",
 )
 def new_keys(spark, folder):
     from tidemark.ingest.merge import new_keys as fresh
 
     parts = T.table(spark, folder, "part").select(F.col("p_partkey").alias("id"))
-    sold = T.table(spark, folder, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("id"))
+    sold = T.table(spark, folder, "lineitem").filter("l_returnflag = 'A' AND l_quantity > 45").select(F.col("l_partkey").alias("id"))
     return fresh(parts, sold, ["id"])
 
 
 @query(
     "h5_orphans",
-    """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT user_id FROM events)""",
+    """SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')""",
 )
 def orphans(spark, folder):
     customers = T.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
-    users = [(T.table(spark, folder, "orders"), "o_custkey"), (T.table(spark, folder, "events"), "user_id")]
+    orders, events = T.table(spark, folder, "orders").filter("o_totalprice > 400000"), T.table(spark, folder, "events").filter("event_type = 'error'")
+    users = [(orders, "o_custkey"), (events, "user_id")]
     return R.orphans(customers, "id", users)
 
 

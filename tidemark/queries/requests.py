@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as M
@@ -301,27 +303,50 @@ def ratio_metrics(spark, folder):
     return _events(spark, folder, {m: m for m in names}, ["daily"])
 
 
+def _library_names(part):
+    """Raw names behind a part of a formula."""
+    return [part] if part in M.AMBIGUOUS or part.startswith("ig_reels_") else M.associated_names(part)
+
+
+def _library_sql(text):
+    if text.startswith("avg:"):
+        return f"AVG(CASE WHEN name IN ({', '.join(repr(n) for n in _library_names(text[4:]))}) THEN value END)"
+    upper, _, rest = text.partition("/")
+    lower, _, factor = rest.partition("*")
+    top = sums(*_library_names(upper))
+    return f"{top} / NULLIF({sums(*_library_names(lower))}, 0) * {factor or 1}" if lower else top
+
+
+_PARTS = sorted({p for t in M.FORMULA_LIBRARY.values() for p in t.removeprefix("avg:").partition("*")[0].split("/")})
+_RAW = sorted({n for p in _PARTS for n in _library_names(p)})
+
+
 @query(
     "d4_formula_library",
-    f"""WITH {EVENTS} SELECT k, R({sums('results', 'conversions')}) AS results, R({ratio(SPEND, sums('results', 'conversions'))}) AS cost_per_result,
-    R({ratio(IMPRESSIONS, sums('reach'))}) AS frequency_ratio, R({IMPRESSIONS}) AS page_impressions, R({CLICKS}) AS post_clicks,
-    R({sums('actions')}) AS actions FROM ev GROUP BY k""",
+    f"""WITH f AS (SELECT event_type, [{', '.join(repr(n) for n in _RAW)}][event_id % {len(_RAW)} + 1] AS name, value FROM events)
+    SELECT event_type AS channel, {', '.join(f"R({_library_sql(t)}) AS {n}" for n, t in M.FORMULA_LIBRARY.items())} FROM f GROUP BY event_type""",
 )
 def formula_library(spark, folder):
-    facts, frame = M.FactColumns(), T.event_facts(spark, folder)
-    names = ("results", "cost_per_result", "frequency_ratio", "page_impressions", "post_clicks", "actions")
-    return frame.groupBy(F.col("dimension_set_id").alias("k")).agg(*[M.library_formula(n, facts).alias(n) for n in names])
+    """Every named formula, over facts that take its raw names in turn."""
+    names = F.array(*[F.lit(n) for n in _RAW])
+    events = T.table(spark, folder, "events")
+    frame = events.select(
+        F.col("event_type").alias("channel"),
+        F.element_at(names, (F.col("event_id") % len(_RAW) + 1).cast("int")).alias("name"),
+        F.lit("daily").alias("period"),
+        "value",
+    )
+    facts = M.FactColumns()
+    return frame.groupBy("channel").agg(*[M.library_formula(n, facts).alias(n) for n in M.FORMULA_LIBRARY])
 
 
 @query(
     "d4_campaign_status",
-    f"WITH {EVENTS} SELECT k, MIN(CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'PAUSED' END) AS campaign_status FROM ev JOIN customer ON acc = c_custkey GROUP BY k",
+    f"WITH {ADS} SELECT gender, MIN(CASE WHEN c_acctbal >= 0 THEN 'ACTIVE' ELSE 'PAUSED' END) AS campaign_status, R({CLICKS}) AS clicks FROM ad LEFT JOIN customer ON campaign = c_custkey GROUP BY gender",
 )
 def campaign_status(spark, folder):
-    facts = T.event_facts(spark, folder)
-    campaigns = T.entities(spark, folder)["channeled_campaigns"].select(F.col("id").alias("cid"), "status")
-    joined = facts.join(campaigns, F.col("channeled_account_id") == F.col("cid"))
-    return joined.groupBy(F.col("dimension_set_id").alias("k")).agg(F.min("status").alias("campaign_status"))
+    request = AggregateRequest({"campaign_status": "campaign_status", "clicks": "clicks"}, ["gender"])
+    return aggregate(T.ads_star(spark, folder), request)
 
 
 @query(
@@ -392,6 +417,47 @@ def time_weighted(spark, folder):
     return time_weighted_average(frame, ["position"], ["impressions"], groups, "watch_time")
 
 
+@query(
+    "d7_request",
+    f"""WITH {SEARCH}, grain AS (SELECT d, dimset, query, page, device, COUNT(CASE WHEN name = 'position' AND value <> 0 THEN 1 END) AS n,
+      SUM(CASE WHEN name = 'position' AND value <> 0 THEN 1.0 / value END) AS inv, MAX(CASE WHEN name = 'impressions' THEN value END) AS total FROM se GROUP BY ALL),
+    s AS (SELECT device, SUM(CASE WHEN name = 'clicks' THEN value ELSE 0 END) AS clicks FROM se GROUP BY device)
+    SELECT device, R(SUM(COALESCE(total, 0) * n) / NULLIF(SUM(COALESCE(total, 0) * COALESCE(inv, 0)), 0)) AS watch_time, R(MAX(clicks)) AS clicks FROM grain JOIN s USING (device) GROUP BY device""",
+)
+def time_weighted_request(spark, folder):
+    """Watch times asked for by name, beside a sum."""
+    renamed = {"position": "ig_reels_avg_watch_time", "impressions": "ig_reels_video_view_total_time"}
+    star = T.search_star(spark, folder)
+    name = F.coalesce(*[F.when(F.col("name") == old, F.lit(new)) for old, new in renamed.items()], F.col("name"))
+    request = AggregateRequest({"watch_time": "ig_reels_avg_watch_time", "clicks": "clicks"}, ["device_id"])
+    answer = aggregate(replace(star, facts=star.facts.withColumn("name", name)), request)
+    return answer.select(F.char("device_id").alias("device"), "watch_time", "clicks")
+
+
+@query("d1_empty_total", "SELECT CAST(0 AS DOUBLE) AS clicks, CAST(0 AS DOUBLE) AS results FROM (SELECT COUNT(*) FROM events)")
+def empty_total(spark, folder):
+    """A total over days without facts is 0, also from the normal tables."""
+    star = T.normal_event_star(spark, folder)
+    return aggregate(star, AggregateRequest({"clicks": "clicks", "results": "results"}, [], {}, "1990-01-01", "1990-12-31"))
+
+
+@query("d8_fact_expression", f"WITH {EVENTS} SELECT channel, COUNT(*) AS facts, MAX(d) AS last_day FROM ev GROUP BY channel")
+def fact_expression(spark, folder):
+    """Expressions over columns of the facts, from the normal tables."""
+    measures = {"facts": "COUNT(metric_config_id)", "last_day": "MAX(metric_date)"}
+    return aggregate(T.normal_event_star(spark, folder), AggregateRequest(measures, ["channel"], {}, *JANUARY))
+
+
+@query(
+    "c1_presummed_groups",
+    f"WITH {EVENTS} SELECT strftime(d, '%G-W%V') AS weekly, k, R({CLICKS}) AS clicks, R({SPEND}) AS spend FROM ev WHERE acc <> 3 GROUP BY 1, 2",
+)
+def presummed_groups(spark, folder):
+    request = AggregateRequest({"clicks": "clicks", "spend": "spend"}, ["weekly", "k"], {"channeled_account_id": {"operator": "neq", "value": 3}}, *JANUARY)
+    star = T.normal_event_star(spark, folder)
+    return aggregate(replace(star, relations={k: v for k, v in star.relations.items() if k != "channeled_account_id"}), request)
+
+
 @query(
     "d8_entity_expression",
     """WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, * FROM orders WHERE o_orderpriority <> '5-LOW' AND CAST(o_orderdate AS DATE) BETWEEN DATE '2001-01-10' AND DATE '2001-12-20'),
