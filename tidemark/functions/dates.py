@@ -99,6 +99,11 @@ def month_number(value: str | date | datetime) -> int:
     return day.year * 100 + day.month
 
 
+def month_of(day: Column) -> Column:
+    """Month of a date column, as ``month_number`` gives it."""
+    return F.year(day) * 100 + F.month(day)
+
+
 def resolve_relative(value: str, today: date | None = None) -> str:
     """``today``, ``yesterday``, ``-3 days`` and the like as an ISO date."""
     text = value.strip().lower()

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import surrogate_id
 from tidemark.ingest import commerce, entities, merge, metrics
+from tidemark.ingest.storage import MetricStore
 from tidemark.operators.rank import survivor_per_group
 from tidemark.operators.normalise import normalise_metrics
 from tidemark.functions.text import canonical_page_id
@@ -227,6 +229,30 @@ def metric_load(spark, folder):
     return joined.groupBy("name", "metric_date").agg(F.count("*").alias("facts"), F.sum("value").alias("total"))
 
 
+@query(
+    "j8_load_pipeline",
+    f"""WITH {_BATCH}, l AS (SELECT name, user_id, k, d, arg_max(value, event_id) + CASE WHEN d >= DATE '2024-01-10' THEN 1 ELSE 0 END AS value FROM b GROUP BY 1, 2, 3, 4)
+    SELECT name, 'acc-' || user_id AS account, k, d AS metric_date, R(value) AS value, 1 AS provenance FROM l""",
+)
+def load_pipeline(spark, folder):
+    """Two overlapping loads into stored tables, the second one repeated, and the tables read back."""
+    root = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    batch = _metric_batch(spark, folder)
+    columns = "id bigint, config_signature string, channel string, name string, period string"
+    store = MetricStore(spark, root, columns)
+    store.create()
+    late = batch.where("metric_date >= DATE '2024-01-10'").withColumn("value", F.col("value") + 1)
+    for load, part in (("first", batch.where("metric_date < DATE '2024-01-20'")), ("second", late), ("repeat", late)):
+        store.load(part, load)
+    names = batch.select(F.col("signature").alias("config_signature"), F.col("channeled_account").alias("account"), F.col("dims")["k"].alias("k")).distinct()
+    configs = store.read("configs").join(names, "config_signature").select(F.col("id").alias("metric_config_id"), "name", "account", "k", F.col("config_signature").alias("signature"))
+    facts = store.read("facts").join(configs, "metric_config_id")
+    metric = surrogate_id(F.concat_ws("|", "signature", "dimensions_hash", F.col("metric_date").cast("string")))
+    known = store.read("provenance").select("metric_id").distinct()
+    joined = facts.withColumn("metric_id", metric).join(known.withColumn("provenance", F.lit(1)), "metric_id", "left")
+    return joined.select("name", "account", "k", "metric_date", "value", "provenance")
+
+
 def _order_batch(spark, folder):
     """Line items as order rows: an order comes once per line."""
     lines = T.table(spark, folder, "lineitem")
@@ -566,7 +592,7 @@ def previous_day(spark, folder):
 
 @query(
     "m1_incremental_load",
-    "SELECT user_id, event_type, CAST(ts AS DATE) AS day, R(MAX(value)) AS value FROM events GROUP BY 1, 2, 3",
+    "SELECT user_id, event_type, CAST(ts AS DATE) AS day, R(arg_max(value, event_id)) AS value FROM events GROUP BY 1, 2, 3",
 )
 def incremental_load(spark, folder):
     """Files followed as a stream into a merged table, in the cluster's shared folder."""
@@ -574,8 +600,8 @@ def incremental_load(spark, folder):
     schema = T.table(spark, folder, "events").schema
 
     def prepare(batch):
-        return batch.select("user_id", "event_type", F.to_date("ts").alias("day"), "value")
+        return batch.select("user_id", "event_type", F.to_date("ts").alias("day"), "value", "event_id")
 
-    stream = follow_files(spark, folder, schema, prepare, DAY_KEYS, f"{base}/facts", f"{base}/progress", glob="events.parquet")
+    stream = follow_files(spark, folder, schema, prepare, DAY_KEYS, f"{base}/facts", f"{base}/progress", glob="events.parquet", sequence="event_id")
     stream.awaitTermination()
     return read_merged(spark, f"{base}/facts", DAY_KEYS)

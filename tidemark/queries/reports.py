@@ -252,14 +252,41 @@ def fallback_report(spark, folder):
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM l) SELECT 'conv-' || conv_id AS file, turn AS line_no FROM r WHERE rn <= 2""",
 )
 def log_lines(spark, folder):
-    """Turns as log lines of one file per conversation; user turns are marked FATAL."""
+    """Turns written as text logs, one folder per conversation, and read as lines; user turns are marked FATAL."""
     turns = T.table(spark, folder, "conversations")
-    marked = F.when(F.col("role") == "user", F.concat(F.lit("[Fatal] "), F.col("text"))).otherwise(F.col("text"))
-    lines = turns.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("file"), F.col("turn").alias("line_no"), marked.alias("line"))
-    return R.error_lines(lines, keep=2).select("file", "line_no")
+    one_line = F.regexp_replace("text", r"\s+", " ")
+    marked = F.when(F.col("role") == "user", F.concat(F.lit("[Fatal] "), one_line)).otherwise(one_line)
+    path = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    numbered = F.concat(F.col("turn").cast("string"), F.lit("\t"), marked).alias("value")
+    lines = turns.select((F.col("conv_id") % 16).alias("part"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("conv"), "turn", numbered)
+    lines.repartition("part").sortWithinPartitions("conv", "turn").drop("part", "turn").write.partitionBy("conv").text(path)
+    read = files.read_log_lines(spark, path)
+    found = R.error_lines(read.select(F.regexp_extract("file", "conv=(conv-[0-9]+)", 1).alias("file"), "line_no", "line"), keep=2)
+    return found.select("file", F.regexp_extract("line", r"^(\d+)\t", 1).cast("bigint").alias("line_no"))
 
 
-@query("a9_event_sink", f"WITH {EVENTS} SELECT d AS day, COUNT(*) AS facts, R(SUM(value)) AS total FROM ev WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' GROUP BY 1")
+@query(
+    "a7_event_documents",
+    f"""WITH {_LOG} SELECT COALESCE(channel, 'unknown') AS channel, 2 * COUNT(*) AS events, 2 * COUNT(*) FILTER (legacy) AS legacy_events, 2 * COUNT(*) FILTER (missing) AS missing_profile_capability_events,
+    2 * COUNT(*) FILTER (checked) AS profile_checked_true_events, 2 * COUNT(*) FILTER (NOT supported) AS profile_supported_false_events FROM q GROUP BY 1""",
+)
+def event_documents(spark, folder):
+    """The log as whole-file JSON, once as arrays and once as objects with events."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    events = _query_events(spark, folder)
+    array = F.to_json(F.collect_list(F.struct(*events.columns)))
+    grouped = events.groupBy(F.substring("timestamp", 1, 10).alias("document")).agg(array.alias("value"))
+    forms = {"arrays": F.col("value"), "objects": F.concat(F.lit('{"events": '), F.col("value"), F.lit("}"))}
+    found = None
+    for form, value in forms.items():
+        # One document per day and file.
+        grouped.select("document", value.alias("value")).repartition("document").write.partitionBy("document").text(f"{path}/{form}")
+        part = files.read_event_documents(spark, f"{path}/{form}")
+        found = part if found is None else found.unionByName(part)
+    return fallbacks.fallback_by_channel(found)
+
+
+@query("a9_fact_files", f"WITH {EVENTS} SELECT d AS day, COUNT(*) AS facts, R(SUM(value)) AS total FROM ev WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' GROUP BY 1")
 def fact_files(spark, folder):
     """Facts written by month and read back for a range of dates."""
     path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
@@ -267,3 +294,17 @@ def fact_files(spark, folder):
     files.write_facts(facts, path)
     kept = files.read_facts(spark, path, "2024-01-05", "2024-01-19")
     return kept.groupBy(F.col("metric_date").alias("day")).agg(F.count("*").alias("facts"), F.sum("value").alias("total"))
+
+
+@query(
+    "a9_event_sink",
+    f"""WITH {_LOG}, e AS (SELECT CAST(ts AS DATE) AS date, event_type FROM events) SELECT date, COUNT(*) AS events, COUNT(*) FILTER (event_type IN ('error', 'signup', 'purchase')) AS legacy FROM e GROUP BY 1""",
+)
+def event_sink(spark, folder):
+    """Events appended in two parts as JSON lines, a folder per day, and counted from there."""
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    events = _query_events(spark, folder)
+    for part in (F.col("executor_path_decision") == "Legacy", F.col("executor_path_decision") != "Legacy"):
+        files.append_event_log(events.filter(part), path)
+    read = spark.read.schema("date date, executor_path_decision string").json(path)
+    return read.groupBy("date").agg(F.count("*").alias("events"), F.count_if(F.col("executor_path_decision") == "Legacy").alias("legacy"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.dates import as_date
+from tidemark.functions.dates import as_date, month_of
 from tidemark.ingest.merge import merge_largest
 from tidemark.ingest.metrics import FACT_KEYS
 
@@ -76,11 +76,6 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.struct("__block", "__seq").alias("line_no"), "line")
 
 
-def _month(day: Column) -> Column:
-    """Month as a number such as 202401; cheap to compute and orders like dates."""
-    return F.year(day) * 100 + F.month(day)
-
-
 def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Facts in one folder per month, sorted by day so row groups skip by date.
 
@@ -88,18 +83,22 @@ def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
     files and keep small months together, from the sizes it sees at run time.
     """
     order = [c for c in ("month", "metric_date", "metric_config_id") if c == "month" or c in facts.columns]
-    dated = facts.withColumn("month", _month(F.col("metric_date"))).hint("rebalance", "month")
+    dated = facts.withColumn("month", month_of(F.col("metric_date"))).hint("rebalance", "month")
     dated.sortWithinPartitions(*order).write.mode(mode).partitionBy("month").parquet(path)
 
 
 def merge_fact_files(spark: SparkSession, batch: DataFrame, path: str, load: str, keys: Sequence[str] = FACT_KEYS) -> list[int]:
     """Merge a batch into facts on disk, rewriting the months it falls into.
 
-    The merged months are first written in full to ``_staging/<load>``, which
-    readers skip, and then swapped in. A load that broke off may simply be run
-    again: the larger value wins, so nothing is counted twice.
+    The batch has one row per key (``fact_rows``). It is staged first, so what it
+    comes from runs once; the merged months are written in full to
+    ``_staging/<load>``, which readers skip, and then swapped in. A load that broke
+    off may simply be run again: the larger value wins, so nothing is counted twice.
     """
-    months = [r["month"] for r in batch.select(_month(F.col("metric_date")).alias("month")).distinct().collect()]
+    staged = f"{path}/_staging/{load}-batch"
+    batch.write.mode("overwrite").parquet(staged)
+    batch = spark.read.schema(batch.schema).parquet(staged)
+    months = [r["month"] for r in batch.select(month_of(F.col("metric_date")).alias("month")).distinct().collect()]
     stored = spark.read.parquet(path)
     near = stored.filter(F.col("month").isin(months)).drop("month")
     staging = f"{path}/_staging/{load}"
@@ -123,8 +122,8 @@ def in_months(facts: DataFrame, start: str | None = None, end: str | None = None
     """Facts of a date range, from facts stored by month: other months are not read."""
     if start is not None:
         first = F.lit(as_date(start))
-        facts = facts.filter((F.col("month") >= _month(first)) & (F.col("metric_date") >= first))
+        facts = facts.filter((F.col("month") >= month_of(first)) & (F.col("metric_date") >= first))
     if end is not None:
         last = F.lit(as_date(end))
-        facts = facts.filter((F.col("month") <= _month(last)) & (F.col("metric_date") <= last))
+        facts = facts.filter((F.col("month") <= month_of(last)) & (F.col("metric_date") <= last))
     return facts.drop("month")

@@ -1,7 +1,7 @@
 """Facts from files as they arrive, merged by key.
 
-Each micro-batch is reduced to one row per key and written to a folder of its
-own. A batch that runs again overwrites that folder, so nothing is counted twice.
+Each micro-batch is reduced to one row per key, the last one written, and stored in
+a folder of its own. A batch that runs again overwrites that folder, so nothing is counted twice.
 Readers take the larger value per key over all batches, which makes late and
 repeated files harmless; ``compact`` folds the batches into a new base folder.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.ingest.merge import last_write_wins
+
 
 def follow_files(
     spark: SparkSession,
@@ -25,17 +27,24 @@ def follow_files(
     target: str,
     checkpoint: str,
     glob: str | None = None,
+    sequence: str | None = None,
 ) -> StreamingQuery:
     """Load the files that are new in ``source`` and stop when none are left.
 
-    ``prepare`` turns a raw batch into rows with ``keys`` and ``value``.
+    ``prepare`` turns a raw batch into rows with ``keys``, ``value`` and, if given,
+    ``sequence``, which says what was written last. Without it the largest value of
+    a batch counts.
     """
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        merged = prepare(batch).groupBy(*keys).agg(F.max("value").alias("value"))
+        rows = prepare(batch)
+        if sequence is None:
+            merged = rows.groupBy(*keys).agg(F.max("value").alias("value"))
+        else:
+            merged = last_write_wins(rows.select(*keys, "value", sequence), keys, sequence).drop(sequence)
         merged.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
