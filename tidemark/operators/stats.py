@@ -7,12 +7,18 @@ at most one point per calendar day, which bounds every window and array here.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Usual settings of the indicators.
 MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 ANOMALY_LIMIT = 3.0
+# Rows that leave a smoothing at a time.
+ROWS_AT_ONCE = 10_000
 # Shares below which a determinant or a residual counts as none.
 COLLINEAR = 1e-9
 
@@ -125,39 +131,72 @@ def moving_average(series: DataFrame, points: int = 7) -> DataFrame:
     return one_per_day(series).select("series", "key", "value", F.avg("value").over(window).alias("sma"))
 
 
-def _in_order(series: DataFrame) -> DataFrame:
-    """One row per series with its points in date order."""
-    return one_per_day(series).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("points"))
-
+def _per_series(series: DataFrame, smooth: Callable[[list[float]], list[tuple[float, ...]]], names: Sequence[str]) -> DataFrame:
+    """Series, key, value and what ``smooth`` makes of each point, carrying its state along.
 
-def _smoothed(values: Column, alpha: float) -> Column:
+    A recurrence has no built-in form that is linear in the length, so the points
+    of a partition stream through in order, one series (bounded by the calendar) at
+    a time, in Arrow batches.
+    """
+    ordered = one_per_day(series).repartition("series").sortWithinPartitions("series", "key")
+    kind = ordered.schema["series"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = []
+        held: list[list] = []
+
+        def close() -> None:
+            values = [v for _, _, v in held]
+            made = smooth(values) if None not in values else [(None,) * len(names)] * len(values)
+            rows.extend([*point, *extra] for point, extra in zip(held, made, strict=True))
+            held.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * (3 + len(names))
+            arrays = [pa.array(c, t) for c, t in zip(columns, types + [pa.float64()] * len(names), strict=True)]
+            rows.clear()
+            return pa.record_batch(arrays, names=["series", "key", "value", *names])
+
+        types: list[pa.DataType] = []
+        for part in batches:
+            types = [part.schema.field(k).type for k in range(3)]
+            for point in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and held[0][0] != point[0]:
+                    close()
+                held.append(point)
+            if len(rows) > ROWS_AT_ONCE:
+                yield batch()
+        if held:
+            close()
+        if rows:
+            yield batch()
+
+    schema = f"series {kind}, key date, value double, " + ", ".join(f"{n} double" for n in names)
+    return ordered.select("series", "key", F.col("value").cast("double")).mapInArrow(run, schema)
+
+
+def _smoothed(values: Iterable[float], alpha: float) -> list[float]:
     """Running ``alpha * v + (1 - alpha) * previous``, starting at the first value."""
-    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    step = lambda acc, v: F.concat(
-        acc, F.array(v * F.lit(alpha) + F.element_at(acc, -1) * F.lit(1.0 - alpha))
-    )
-    return F.aggregate(rest, F.slice(values, 1, 1), step)
-
-
-def _values(points: Column) -> Column:
-    return F.transform(points, lambda p: p["value"])
+    out: list[float] = []
+    for v in values:
+        out.append(v * alpha + out[-1] * (1.0 - alpha) if out else v)
+    return out
 
 
 def exponential_average(series: DataFrame, span: int = 7) -> DataFrame:
-    ordered = _in_order(series).withColumn("ema", _smoothed(_values(F.col("points")), 2.0 / (span + 1)))
-    return ordered.select("series", F.inline(F.arrays_zip("points", "ema"))).select("series", "points.key", "points.value", "ema")
+    return _per_series(series, lambda values: [(x,) for x in _smoothed(values, 2.0 / (span + 1))], ["ema"])
 
 
 def macd(series: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL) -> DataFrame:
     """Fast minus slow exponential average, its own average, and their gap."""
-    ordered = _in_order(series)
-    values = _values(F.col("points"))
-    ordered = ordered.withColumn("fast", _smoothed(values, 2.0 / (fast + 1)))
-    ordered = ordered.withColumn("slow", _smoothed(values, 2.0 / (slow + 1)))
-    ordered = ordered.withColumn("macd", F.zip_with("fast", "slow", lambda f, s: f - s))
-    ordered = ordered.withColumn("signal", _smoothed(F.col("macd"), 2.0 / (signal + 1)))
-    rows = ordered.select("series", F.inline(F.arrays_zip("points", "macd", "signal")))
-    return rows.select("series", "points.key", "macd", "signal", (F.col("macd") - F.col("signal")).alias("histogram"))
+
+    def smooth(values: list[float]) -> list[tuple[float, ...]]:
+        lines = zip(_smoothed(values, 2.0 / (fast + 1)), _smoothed(values, 2.0 / (slow + 1)), strict=True)
+        gap = [f - s for f, s in lines]
+        own = _smoothed(gap, 2.0 / (signal + 1))
+        return [(g, o, g - o) for g, o in zip(gap, own, strict=True)]
+
+    return _per_series(series, smooth, ["macd", "signal", "histogram"]).drop("value")
 
 
 def holt_winters(series: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2, season: int = 7) -> DataFrame:
@@ -167,34 +206,20 @@ def holt_winters(series: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma
     trend starts at the mean change from the first season to the second. Series
     under two seasons are smoothed without a season.
     """
-    ordered = _in_order(series).withColumn("v", _values(F.col("points")))
-    m = F.lit(season)
-    seasonal = F.size("v") >= 2 * season
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    first, second = F.slice("v", 1, season), F.slice("v", season + 1, season)
-    ordered = ordered.withColumn("level0", F.when(seasonal, mean(first)).otherwise(F.element_at("v", 1)))
-    ordered = ordered.withColumn("trend0", F.when(seasonal, (mean(second) - mean(first)) / m).otherwise(F.lit(0.0)))
-    offsets = F.transform(F.sequence(F.lit(1), m), lambda i: F.when(seasonal, F.get("v", i - 1) - F.col("level0")).otherwise(F.lit(0.0)))
-    state = F.struct(
-        F.col("level0").alias("level"),
-        F.col("trend0").alias("trend"),
-        offsets.alias("offsets"),
-        F.array().cast("array<double>").alias("fit"),
-    )
-
-    def step(acc: Column, v: Column) -> Column:
-        """The offset array turns round: its head belongs to the current point."""
-        head = F.element_at(acc["offsets"], 1)
-        level = F.lit(alpha) * (v - head) + F.lit(1 - alpha) * (acc["level"] + acc["trend"])
-        slope = F.lit(beta) * (level - acc["level"]) + F.lit(1 - beta) * acc["trend"]
-        offset = F.when(seasonal, F.lit(gamma) * (v - level) + F.lit(1 - gamma) * head).otherwise(F.lit(0.0))
-        return F.struct(
-            level.alias("level"),
-            slope.alias("trend"),
-            F.concat(F.slice(acc["offsets"], 2, season), F.array(offset)).alias("offsets"),
-            F.concat(acc["fit"], F.array(acc["level"] + acc["trend"] + head)).alias("fit"),
-        )
 
-    fitted = ordered.select("series", "points", F.aggregate("v", state, step, lambda s: s["fit"]).alias("fit"))
-    rows = fitted.select("series", F.inline(F.arrays_zip("points", "fit")))
-    return rows.select("series", "points.key", "points.value", "fit")
+    def smooth(values: list[float]) -> list[tuple[float, ...]]:
+        seasonal = len(values) >= 2 * season
+        level = sum(values[:season]) / season if seasonal else values[0]
+        slope = (sum(values[season : 2 * season]) / season - level) / season if seasonal else 0.0
+        offsets = deque((v - level for v in values[:season]) if seasonal else [0.0] * season)
+        out = []
+        for v in values:
+            # The offsets turn round: the head belongs to the current point.
+            head = offsets.popleft()
+            out.append((level + slope + head,))
+            before, level = level, alpha * (v - head) + (1 - alpha) * (level + slope)
+            slope = beta * (level - before) + (1 - beta) * slope
+            offsets.append(gamma * (v - level) + (1 - gamma) * head if seasonal else 0.0)
+        return out
+
+    return _per_series(series, smooth, ["fit"])
