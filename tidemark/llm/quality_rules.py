@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 # Classes of characters; anything else is counted by kind of letter or as other.
@@ -119,6 +121,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rows = [(lang, "c", name, int(n)) for lang, counts in classes.items() for name, n in zip(CLASSES, counts, strict=True)]
         rows += [(lang, "w", w.decode("utf-8", "replace"), n) for lang, counts in words.items() for w, n in counts.items()]
+        rows += [(lang, "t", "", sum(counts.values())) for lang, counts in words.items()]
         classes.clear()
         words.clear()
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -145,11 +148,10 @@ def language_references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.nda
     """
     texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = texts.mapInArrow(_counted, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    # One read of the texts serves both; rows of one word are of no use for common words.
     ranked = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "key")
     top = counts.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(rules.common_words, len(CLASSES)))
-    totals = counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("words"))
-    largest = totals.orderBy(F.col("words").desc(), "lang").limit(rules.languages)
+    top = saved(top, "language")
+    largest = top.where("kind = 't'").orderBy(F.col("n").desc(), "lang").limit(rules.languages).select("lang", F.col("n").alias("words"))
     found = top.join(largest, "lang").select("lang", "kind", "key", "n", "rank", "words").collect()
     out = {}
     for lang in {r.lang for r in found}:
