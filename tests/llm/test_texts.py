@@ -286,7 +286,7 @@ def test_grades_of_held_out_labels(spark, odd, nothing):
     by = {g: [r for r in got if r.grade == g] for g in (0, 1, 2)}
     assert sum(r.kept for r in by[0]) <= 0.05 * len(by[0])
     assert sum(r.kept for r in by[1]) <= 0.5 * len(by[1])
-    assert sum(r.kept for r in by[2]) >= 0.97 * len(by[2])
+    assert sum(r.kept for r in by[2]) >= 0.95 * len(by[2])
     means = [np.mean([r.expected_grade for r in by[g]]) for g in (0, 1, 2)]
     assert means == sorted(means)
     assert grades.grade(odd, labels).count() == odd.count() and grades.grade(nothing, labels).count() == 0
@@ -294,6 +294,12 @@ def test_grades_of_held_out_labels(spark, odd, nothing):
     assert {(r.expected_grade, r.tail, r.kept) for r in unlearned} == {(None, None, True)}
 
 
+def test_selection_cut():
+    best = np.array([True] * 8 + [False] * 4)
+    assert grades.selection_cut(np.array([0.9] * 8 + [0.2] * 4), best) == pytest.approx(0.25)
+    assert grades.selection_cut(np.array([0.4] * 12), best) == 0.0  # nothing was learned, so nothing goes
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(2)
     features, marks = [], []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,11 @@ class Fit:
 
 @dataclass(frozen=True)
 class Model:
+    """Shared weights, ordered thresholds, and the tail probability from which a document is kept."""
+
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each threshold."""
@@ -137,7 +140,19 @@ def fit(features: list[np.ndarray], grades: np.ndarray, how: Fit = Fit()) -> Mod
         second = 0.999 * second + 0.001 * gradient**2
         free = free - how.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights[used] = free[: len(used)] * scale
-    return Model(weights, np.cumsum(np.concatenate([free[len(used) : len(used) + 1], np.exp(free[len(used) + 1 :])])))
+    model = Model(weights, np.cumsum(np.concatenate([free[len(used) : len(used) + 1], np.exp(free[len(used) + 1 :])])))
+    tail = model.above(np.array([weights[f].sum() for f in features]))[:, -1]
+    return replace(model, cut=selection_cut(tail, grades == levels))
+
+
+def selection_cut(tail: np.ndarray, best: np.ndarray) -> float:
+    """The cut that keeps most of the best grade and rejects most others, keeping counting twice.
+
+    Where no cut rejects more than it loses, nothing is rejected.
+    """
+    cuts = np.arange(0.0, 1.0, 0.05)
+    gains = [2 * (tail[best] >= c).mean() + (tail[~best] < c).mean() for c in cuts]
+    return float(cuts[int(np.argmax(gains))])
 
 
 def rating(quality: str = "quality", toxic: str = "toxic"):
@@ -163,12 +178,13 @@ def graded_sample(docs: DataFrame, labels: DataFrame, how: Fit, id_column: str,
     return [np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.grade for r in rows], dtype=np.int64)
 
 
-def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float = 0.7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Expected grade and tail probability of every document.
 
     ``labels`` has the id and ``grade`` (0, 1, ..., higher is better; nulls are
     left out). Returns one row per input row: id, ``expected_grade``, ``tail``
-    (probability of the highest grade) and ``kept`` (tail of at least ``least``).
+    (probability of the highest grade) and ``kept`` (tail of at least ``least``, by
+    default the cut that served the labelled rows best).
     Null and empty texts are graded by their length alone. Without labels of two
     grades there is nothing to learn: expected grade null, tail null, kept true.
     Equal rows get equal grades; an empty table gives no rows.
@@ -179,11 +195,12 @@ def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float = 0
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hasher = shared.value, Hasher(how.buckets)
+        cut = known.cut if least is None else least
         for batch in batches:
             score = np.array([known.weights[hasher.features(t)].sum() for t in batch["text"].to_pylist()])
             if len(known.thresholds):
                 above = known.above(score)
-                columns = [pa.array(above.sum(axis=1)), pa.array(above[:, -1]), pa.array(above[:, -1] >= least)]
+                columns = [pa.array(above.sum(axis=1)), pa.array(above[:, -1]), pa.array(above[:, -1] >= cut)]
             else:
                 columns = [pa.nulls(len(score), pa.float64()), pa.nulls(len(score), pa.float64()), pa.array([True] * len(score), pa.bool_())]
             yield pa.record_batch([batch["id"], *columns], names=["id", "expected_grade", "tail", "kept"])
