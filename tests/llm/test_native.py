@@ -126,3 +126,13 @@ def test_mixed_texts_hold_the_words_taken(odd, nothing):
     for r in out.collect():
         assert any(set(words(r.text)) <= set(t) for t in texts)
     assert mixed_documents(nothing).count() == 0 and taken_words(mix(nothing)).count() == 0
+
+
+def test_sql_counterparts(spark, folder):
+    from compare import difference, duck
+    from tidemark.llm.queries import SQL
+    from tidemark.queries.registry import Query
+
+    con = duck(folder)
+    for name, sql in SQL.items():
+        assert difference(Query(name, QUERIES[name], sql), spark, con, folder) is None
