@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of ids and of the decoded text."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), extra=("ids",))
 
 
 STAGES = [

@@ -18,17 +18,21 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import most_frequent
+
 LEXICON_WORDS = 32_768
 FLUSH = 300_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CHUNK_CHARS = 1_000_000
 LONG_WORD = 128
 # The pattern that the vocabulary's file names; fixed, like the white space of Unicode below.
@@ -292,7 +296,7 @@ def frequent_words(docs: DataFrame, vocabulary_text: str, words: int) -> list[st
         yield flush()
 
     found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.col("n").desc(), "word").limit(words).collect() if r.word[0] != "\0"]
+    return sorted(r.word for r in most_frequent(found, words).collect() if r.word[0] != "\0")
 
 
 def _sent_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary) -> str:
@@ -309,13 +313,13 @@ def _sent_lexicon(spark: SparkSession, words: list[str], vocabulary: Vocabulary)
     return name
 
 
-def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, id_column: str = "doc_id", text_column: str = "text", extra: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode every whole text and decode it again.
 
     ``vocabulary_path`` is a file that the driver reads and sends along; it must be
     a byte-level BPE with word ends, lower case, white space dropped. Returns one
     row per input row: id, ``n_tokens``, ``ids_sha256`` (of decimal ids joined by a
-    space), ``decoded_sha256`` and, if ``with_ids``, ``ids`` and ``decoded``. The
+    space), ``decoded_sha256`` and the ``extra`` ones of ``ids`` and ``decoded``. The
     decoded text is the tokens joined by spaces, as the file names no decoder.
     Strings of special tokens in a text are those tokens. A null or empty text has
     no tokens. Rows may repeat; other columns are not read; an empty table gives no
@@ -327,7 +331,9 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     shared = spark.sparkContext.broadcast(vocabulary_text)  # a file of fixed size
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     name = _sent_lexicon(spark, frequent_words(texts, vocabulary_text, lexicon_words), Vocabulary(vocabulary_text))
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    extra = tuple(c for c in ("ids", "decoded") if c in extra)
+    schema += "".join({"ids": ", ids array<int>", "decoded": ", decoded string"}[c] for c in extra)
 
     def hashed(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
@@ -335,15 +341,24 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            made = list(encoder.encode(batch["text"].to_pylist())) if with_ids else [(n, hashed(ids), hashed(back)) for n, ids, back in encoder.encode(batch["text"].to_pylist())]
-            columns = [
-                batch["id"],
-                pa.array([n for n, _, _ in made], pa.int64()),
-                pa.array([hashed(ids) if with_ids else ids for _, ids, _ in made], pa.string()),
-                pa.array([hashed(back) if with_ids else back for _, _, back in made], pa.string()),
-            ]
-            if with_ids:
-                columns += [pa.array([list(map(int, ids.split())) for _, ids, _ in made], pa.list_(pa.int32())), pa.array([back for _, _, back in made], pa.string())]
-            yield pa.record_batch(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
+            # Results leave a chunk at a time, so memory does not grow with a batch.
+            sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(sizes, np.arange(CHUNK_CHARS, sizes[-1] if len(sizes) else 0, CHUNK_CHARS))
+            for low, high in pairwise(sorted({0, *cuts.tolist(), batch.num_rows})):
+                part = batch.slice(low, high - low)
+                made = list(encoder.encode(part["text"].to_pylist()))
+                columns = [
+                    part["id"],
+                    pa.array([n for n, _, _ in made], pa.int64()),
+                    pa.array([hashed(ids) for _, ids, _ in made], pa.string()),
+                    pa.array([hashed(back) for _, _, back in made], pa.string()),
+                ]
+                if "ids" in extra:
+                    flat = np.fromstring(" ".join(ids for _, ids, _ in made), dtype=np.int32, sep=" ")
+                    offsets = np.cumsum([0, *(n for n, _, _ in made)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                if "decoded" in extra:
+                    columns.append(pa.array([back for _, _, back in made], pa.string()))
+                yield pa.record_batch(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", *extra])
 
     return texts.mapInArrow(encoded, schema).withColumnRenamed("id", id_column)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_folder
@@ -43,6 +43,20 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def most_frequent(counts: DataFrame, keep: int) -> DataFrame:
+    """The rows with the largest ``n``, at most ``keep``; rows with equal ``n`` stay or go together.
+
+    The cut comes from how many rows have each ``n``, so no task or driver gets more
+    than ``keep`` rows, whatever the number of partitions. Rows with an ``n`` of 1
+    are not frequent.
+    """
+    counts = saved(counts.where("n > 1"), "counts")
+    sizes = counts.groupBy("n").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy(F.col("n").desc()))
+    cut = sizes.withColumn("upto", upto).where(F.col("upto") <= keep).agg(F.min("n")).first()[0]
+    return counts.where(F.col("n") >= cut) if cut is not None else counts.limit(0)
+
+
 def sorted_groups(batches, keys: list[str]):
     """Groups of consecutive equal keys, as (key, table), from sorted Arrow batches.
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
+from tidemark.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -47,7 +49,7 @@ def op9_transducer_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     from tidemark.llm.bpe import encode
 
-    return encode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return encode(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), extra=())
 
 
 @query
