@@ -15,6 +15,7 @@ from tidemark.functions.keys import surrogate_id
 from tidemark.functions.text import json_path
 from tidemark.ingest.entities import CHANNELED_KEY, channeled_id, first_per_key, identities, payload_rows
 from tidemark.ingest.payloads import merged_payloads
+from tidemark.session import staged
 
 
 def _placeholders(rows: DataFrame, platform: str, extra: list[str] | None = None) -> DataFrame:
@@ -30,7 +31,9 @@ def load_orders(batch: DataFrame) -> dict[str, DataFrame]:
     discount_codes array<string>, line_items array<struct<product_id,variant_id>>,
     data JSON text, sequence. An order that comes twice keeps its first customer
     and date; its payloads merge, arrays by union and the rest by the last value.
+    The batch is staged first: each table is a plan of its own over it.
     """
+    batch = staged(batch, "orders")
     order_id = channeled_id("channel", "platform_id")
     orders = identities(batch.select(F.col("platform_id").alias("order_id")), "order_id")
     head = first_per_key(
@@ -151,9 +154,10 @@ def load_customers(batch: DataFrame) -> dict[str, DataFrame]:
     """Customers by email; addresses of repeated rows unite, lead data merges.
 
     ``batch``: channel, platform_id, email, platform_created_at, data, lead_data, sequence.
-    Of a repeated row only the addresses are taken from ``data``.
+    Of a repeated row only the addresses are taken from ``data``. The batch is
+    staged first.
     """
-    known = batch.filter(F.coalesce("email", F.lit("")) != "")
+    known = staged(batch.filter(F.coalesce("email", F.lit("")) != ""), "customers")
     customers = identities(known, "email")
     head = first_per_key(known.select(*CHANNELED_KEY, "email", "platform_created_at", "data", "sequence"), CHANNELED_KEY)
     addresses = known.select(

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
@@ -45,3 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Rows written once to the shared folder, for plans that read them several times.
+
+    What ``df`` comes from runs once, when this is called.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
