@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import formulas as M
 from tidemark.functions.conditions import matches_patterns
+from tidemark.functions.dates import resolve_relative
 from tidemark.model import RelationSpec
 from tidemark.operators.reads import matching_all_dimensions
 from tidemark.operators.weighted import time_weighted_average
@@ -55,6 +57,37 @@ def normal_star_request(spark, folder):
 # --- filters ---------------------------------------------------------------
 
 
+# Every way to write a filter, and the SQL test it stands for.
+_FORMS = {
+    "scalar": ("7", "k = '7'"),
+    "negated": ("!=7", "k <> '7'"),
+    "list": (["1", "7", "12"], "k IN ('1', '7', '12')"),
+    "operator": ({"operator": "not_in", "value": ["1", "7"]}, "k NOT IN ('1', '7')"),
+    "pattern": ({"operator": "like", "value": "1%"}, "k LIKE '1%'"),
+    "present": ("NOT_NULL", "k IS NOT NULL"),
+    "missing": ("N/A", "k IS NULL"),
+}
+
+
+@query(
+    "b1_filter_forms",
+    f"WITH {EVENTS} " + " UNION ALL ".join(f"SELECT '{form}' AS form, R(COALESCE({CLICKS}, 0)) AS clicks, R(COALESCE({SPEND}, 0)) AS spend FROM ev WHERE {test}" for form, (_, test) in _FORMS.items()),
+)
+def filter_forms(spark, folder):
+    answers = None
+    for form, (raw, _) in _FORMS.items():
+        answer = _events(spark, folder, {"clicks": "clicks", "spend": "spend"}, [], {"k": raw}).select(F.lit(form).alias("form"), "clicks", "spend")
+        answers = answer if answers is None else answers.unionByName(answer)
+    return answers
+
+
+@query("i8_relative_dates", f"WITH {EVENTS} SELECT d AS daily, R({CLICKS}) AS clicks FROM ev WHERE d BETWEEN DATE '2024-01-13' AND DATE '2024-01-19' GROUP BY d")
+def relative_dates(spark, folder):
+    """Relative dates are spelled out against a given day."""
+    today = date(2024, 1, 20)
+    return _events(spark, folder, {"clicks": "clicks"}, ["daily"], {}, (resolve_relative("-7 days", today), resolve_relative("yesterday", today)))
+
+
 @query(
     "b2_equal_and_not_equal",
     f"WITH {EVENTS} SELECT k, R({CLICKS}) AS clicks FROM ev WHERE acc <> 3 AND k <> '7' AND channel = 'events' GROUP BY k",
