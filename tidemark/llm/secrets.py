@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import most_frequent, saved
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
 DICTIONARY_WORD = re.compile("[a-z]{4,}")
@@ -71,14 +71,12 @@ def corpus_language(docs: DataFrame, words: int = DICTIONARY_WORDS) -> tuple[np.
         yield flush(True)
 
     sums = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(counted, "pair boolean, key string, n long").groupBy("pair", "key").agg(F.sum("n").alias("n"))
-    # All pairs come first, then the commonest words.
-    rows = sums.orderBy(F.col("pair").desc(), F.col("n").desc(), "key").limit(_SIZE * _SIZE + words).collect()
+    sums = saved(sums, "language")
     pairs = np.ones(_SIZE * _SIZE)
-    for r in rows:
-        if r.pair:
-            pairs[int(r.key)] += r.n
+    for r in sums.where("pair").collect():
+        pairs[int(r.key)] += r.n
     pairs = pairs.reshape(_SIZE, _SIZE)
-    common = [r.key for r in rows if not r.pair][:words]
+    common = [r.key for r in most_frequent(sums.where("NOT pair").select("key", "n"), words).collect()]
     return np.log2(pairs / pairs.sum(axis=1, keepdims=True)), frozenset(common)
 
 
@@ -158,7 +156,10 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
     strings. Secrets: hex, base 64 and prefixed strings given to a name. Not
     secrets: digests of commits and files, numbers, joined words, parts of paths.
     """
-    picked = docs.where(F.length(text_column) >= 40).select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h")).orderBy("h").limit(texts)
+    picked = docs.where(F.length(text_column) >= 40).select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h"))
+    # The bound is found on hashes alone; then few texts are read, and copies are one.
+    bound = picked.select("h").distinct().orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+    picked = picked.where(F.col("h") <= F.lit(bound).cast("long")).dropDuplicates(["h"])
     words = F.split(F.regexp_replace(F.lower(F.substring("t", 1, 600)), r"[^\p{L}\s]+", ""), r"\s+")
     picked = picked.select("h", F.substring("t", 1, 160).alias("lead"), F.substring("t", 161, 80).alias("tail"), F.sha1("t").alias("hex"), F.sha2("t", 256).alias("hex256"), F.md5("t").alias("hex128"), F.regexp_replace(F.base64(F.unhex(F.sha2("t", 256))), "[\r\n]", "").alias("b64"), words.alias("w"))
     name = F.element_at(F.array(*[F.lit(n) for n in ("token", "api_key", "SECRET", "password", "auth_token", "TOKEN", "private_key", "access_key")]), (F.pmod("h", F.lit(8)) + 1).cast("int"))
