@@ -187,7 +187,8 @@ class _Run:
                 if last[:3] != record[2][:3]:
                     kept[-1] = (*kept[-1][:2], (*last[:5], 2))
                 t1, t2, place, near, far, _ = record[2]
-                decided.append((int.from_bytes(record[0][:4], "big") * self.ranges >> 32, t1, t2, place - far, place - near + length))
+                # Needs no range of the order, so these spread evenly.
+                decided.append(((t1 ^ place) % self.ranges, t1, t2, place - far, place - near + length))
                 continue
             kept.append(record)
         at = np.array([int.from_bytes(r[0][:4], "big") * self.ranges >> 32 for r in kept], dtype=np.int64)
