@@ -6,14 +6,33 @@ A cluster brings its own session; nothing here overrides what it already set.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = Path(__file__).resolve().parent.parent
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless they have it on their path."""
+    context = spark.sparkContext
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", ROOT, "tidemark"))
+    _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: int = 8, app: str = "tidemark") -> SparkSession:
     """Session for tests and the benchmark on one machine."""
+    # Workers inherit it, whatever folder the session is started in.
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([str(ROOT), *filter(None, paths)]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
