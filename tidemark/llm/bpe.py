@@ -18,6 +18,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import most_frequent
 
-LEXICON_WORDS = 32_768
-FLUSH = 300_000
-CACHED_WORDS = 250_000
+LEXICON_WORDS = 65_536
+FLUSH = 200_000
+CACHED_WORDS = 200_000
 CHUNK_CHARS = 1_000_000
 LONG_WORD = 128
 # The pattern that the vocabulary's file names; fixed, like the white space of Unicode below.
@@ -245,17 +246,23 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.empty: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        if len(self.ids) > CACHED_WORDS:
+            self.ids.clear()
+            self.decoded.clear()
+        new = list(words - self.ids.keys())
         found = self.lexicon.look_up(new) if self.lexicon else [None] * len(new)
         tokens = self.vocabulary.tokens
         for word, ids in zip(new, found, strict=True):
             ids = self.vocabulary.merge(word) if ids is None else ids.tolist()
-            self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
+            self.ids[word] = " ".join(map(str, ids))
+            self.decoded[word] = " ".join([tokens[i] for i in ids])
+            if not ids:
+                self.empty.add(word)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, ids in decimal and decoded tokens, both joined by spaces, of each text."""
@@ -271,17 +278,31 @@ class Encoder:
     def _encoded(self, texts: list[list[str]]) -> Iterator[tuple[int, str, str]]:
         self.learn(set().union(*texts))
         for words in texts:
-            parts = [p for p in map(self.known.__getitem__, words) if p[0]]
-            yield sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+            if self.empty:
+                words = [w for w in words if w not in self.empty]
+            ids = " ".join(map(self.ids.__getitem__, words))
+            yield ids.count(" ") + 1 if words else 0, ids, " ".join(map(self.decoded.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def _vocabulary(text: str) -> Vocabulary:
+    """Parsed once per Python worker, for all its tasks."""
+    return Vocabulary(text)
+
+
+@lru_cache(maxsize=1)
+def _encoder(text: str, path: str) -> Encoder:
+    return Encoder(_vocabulary(text), Lexicon(path))
 
 
 def frequent_words(docs: DataFrame, vocabulary_text: str, words: int) -> list[str]:
     """The most frequent words of all documents; the parameter bounds what the driver gets."""
     if words < 1:
         return []
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_text)  # a file of fixed size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, counts = Vocabulary(vocabulary_text), Counter()
+        vocabulary, counts = _vocabulary(shared.value), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -339,7 +360,7 @@ def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_W
         return hashlib.sha256(text.encode()).hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value), Lexicon(SparkFiles.get(name)))
+        encoder = _encoder(shared.value, SparkFiles.get(name))
         for batch in batches:
             # Results leave a chunk at a time, so memory does not grow with a batch.
             sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
