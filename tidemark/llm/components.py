@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Saved, so that the join deals both sides anew and may split a node with very many neighbours.
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large.where("u <> v"), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
