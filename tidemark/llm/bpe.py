@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import most_frequent
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 FLUSH = 200_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 CHUNK_CHARS = 1_000_000
 LONG_WORD = 128
 # The pattern that the vocabulary's file names; fixed, like the white space of Unicode below.
@@ -146,7 +146,7 @@ def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
     it is replaced by an equal one, if there is one. A transition's number is how
     many words sort before those that use it, from its state on.
     """
-    states: list[list] = [[False, []]]  # is a word's end; (label, state) in order
+    states: list[list | None] = [[False, []]]  # is a word's end; (label, state) in order
     register: dict[tuple, int] = {}
     path: list[int] = [0]
     last = b""
@@ -158,6 +158,7 @@ def compile_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
             known = register.setdefault(key, child)
             if known != child:
                 states[parent][1][-1] = (states[parent][1][-1][0], known)
+                states[child] = None
 
     for word in words:
         shared = 0
@@ -249,16 +250,22 @@ class Encoder:
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
         self.empty: set[str] = set()
+        self.rare: list[str] = []
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) > CACHED_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
+        if len(self.rare) > CACHED_WORDS:  # words of the lexicon stay
+            for word in self.rare:
+                del self.ids[word], self.decoded[word]
+            self.rare.clear()
         new = list(words - self.ids.keys())
         found = self.lexicon.look_up(new) if self.lexicon else [None] * len(new)
         tokens = self.vocabulary.tokens
         for word, ids in zip(new, found, strict=True):
-            ids = self.vocabulary.merge(word) if ids is None else ids.tolist()
+            if ids is None:
+                ids = self.vocabulary.merge(word)
+                self.rare.append(word)
+            else:
+                ids = ids.tolist()
             self.ids[word] = " ".join(map(str, ids))
             self.decoded[word] = " ".join([tokens[i] for i in ids])
             if not ids:
