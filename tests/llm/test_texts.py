@@ -166,6 +166,18 @@ def test_quality_rules(spark, folder, docs, odd, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+def test_every_language_is_judged(spark):
+    words = {k: [f"{c}{x}" for x in "abcdefghijkl"] for k, c in (("l0", "m"), ("l1", "n"), ("l2", "o"), (None, "p"))}
+    rows = [(10 * k + n, " ".join(words[lang][(n + x * x) % 12] + ("," * (x % 3)) for x in range(150 + 20 * k)), lang) for k, lang in enumerate(words) for n in range(8)]
+    rows += [(100 + k, " ".join(f"ZZ{x}9{k}" for x in range(120)), lang) for k, lang in enumerate(words)] + [(200, "short", "l9"), (201, None, "l8")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted(map(tuple, quality_rules.judge(table).collect()))
+    for languages in (1, 2, 4):
+        assert sorted(map(tuple, quality_rules.judge(table, quality_rules.Rules(languages=languages)).collect())) == want
+    kept = {r[0]: r[-1] for r in want}
+    assert not any(kept[100 + k] for k in range(4)) and all(r[7] > 0 and r[8] > 0 for r in want if r[0] < 200)
+
+
 def test_distance():
     d = quality_rules.js_distance
     assert d(np.array([1, 2]), np.array([2, 4])) < 1e-7 and d(np.array([1, 0]), np.array([0, 5])) == pytest.approx(1.0)

@@ -29,7 +29,11 @@ FLUSH = 300_000
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits. Distances lie between 0 (same shares) and 1 (nothing in common)."""
+    """Limits. Distances lie between 0 (same shares) and 1 (nothing in common).
+
+    ``languages`` bounds how many references tasks hold in memory, not how many
+    languages are judged.
+    """
 
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -135,33 +139,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words[lang] = Counter()
             counts += class_counts(text)
             words[lang].update(text.lower().encode("utf-8", "surrogatepass").split())
-        if sum(map(len, words.values())) > FLUSH:
+        if len(CLASSES) * len(classes) + sum(map(len, words.values())) > FLUSH:
             yield flush()
     yield flush()
 
 
-def language_references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Class counts, common words and their counts of each language, over all documents.
+def language_references(docs: DataFrame, rules: Rules) -> DataFrame:
+    """One row per language: ``lang``, ``chars`` and ``reference``, over all documents.
 
-    What reaches the driver is bounded by the rules: ``languages`` times the
-    classes and the common words.
+    A reference lists (kind, rank, key, n): the counts of the classes, the commonest
+    words and the number of words, so a row is bounded whatever the language holds.
     """
     texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     counts = texts.mapInArrow(_counted, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     ranked = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "key")
     top = counts.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max(rules.common_words, len(CLASSES)))
-    top = saved(top, "language")
-    largest = top.where("kind = 't'").orderBy(F.col("n").desc(), "lang").limit(rules.languages).select("lang", F.col("n").alias("words"))
-    found = top.join(largest, "lang").select("lang", "kind", "key", "n", "rank", "words").collect()
-    out = {}
-    for lang in {r.lang for r in found}:
-        classes = {r.key: r.n for r in found if r.lang == lang and r.kind == "c"}
-        common = sorted((r.rank, r.key, r.n) for r in found if r.lang == lang and r.kind == "w" and r.rank <= rules.common_words)
-        words = {key.encode(): i for i, (_, key, _) in enumerate(common)}
-        seen = np.array([n for _, _, n in common] + [0], dtype=np.int64)
-        seen[-1] = next(r.words for r in found if r.lang == lang) - seen.sum()
-        out[lang] = np.array([classes.get(c, 0) for c in CLASSES], dtype=np.int64), words, seen
-    return out
+    chars = F.sum(F.when(F.col("kind") == "c", F.col("n")).otherwise(0)).alias("chars")
+    rows = top.groupBy("lang").agg(chars, F.collect_list(F.struct("kind", "rank", "key", "n")).alias("reference"))
+    return saved(rows, "language")
+
+
+def _parsed(reference: list[dict], rules: Rules) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """Class counts, common words and their counts, the words beyond them last."""
+    classes = {r["key"]: r["n"] for r in reference if r["kind"] == "c"}
+    common = sorted((r["rank"], r["key"], r["n"]) for r in reference if r["kind"] == "w" and r["rank"] <= rules.common_words)
+    words = {key.encode(): i for i, (_, key, _) in enumerate(common)}
+    seen = np.array([n for _, _, n in common] + [0], dtype=np.int64)
+    seen[-1] = next(r["n"] for r in reference if r["kind"] == "t") - seen.sum()
+    return np.array([classes.get(c, 0) for c in CLASSES], dtype=np.int64), words, seen
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -171,25 +176,36 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", te
     ``n_dup_lines``, ``n_repeat_words`` (words in windows of five words that occur
     twice or more in the text), ``base_failed`` (too few words, or too large a
     share of repeated ones), ``class_distance``, ``word_distance`` (0 where the
-    text is too short to be judged, or its language is beyond the ``languages``
-    largest) and ``kept``. A null or empty text has no words and fails; a null
+    text is too short to be judged) and ``kept``. The references of the
+    ``languages`` largest languages are held by every task; documents of the others
+    are joined to theirs, with equal results. A null or empty text has no words and fails; a null
     language is one of its own. Rows may repeat; other columns are not read. An
     empty table gives no rows.
     """
     plain = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     references = language_references(plain, rules)
-    # Bounded by the rules, see language_references.
-    shared = docs.sparkSession.sparkContext.broadcast(references)
+    largest = references.orderBy(F.col("chars").desc(), "lang").limit(rules.languages).collect()
+    beyond = len(largest) == rules.languages and references.count() > len(largest)
+    # Bounded by the rules: ``languages`` times the classes and the common words.
+    shared = docs.sparkSession.sparkContext.broadcast({r.lang: _parsed([x.asDict() for x in r.reference], rules) for r in largest})
     kind = plain.schema["id"].dataType.simpleString()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, others = shared.value, {}
         for batch in batches:
             counts, classes, words = [], [], []
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            own_references = batch["reference"] if "reference" in batch.schema.names else None
+            for k, (lang, text) in enumerate(zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True)):
                 base = base_counts(text)
                 by_class = by_word = 0.0
-                if (reference := known.get(lang)) is not None:
+                reference = known.get(lang)
+                if reference is None and own_references is not None:
+                    if lang not in others:
+                        if len(others) >= rules.languages:
+                            others.clear()
+                        others[lang] = _parsed(own_references[k].as_py(), rules)
+                    reference = others[lang]
+                if reference is not None:
                     if len(text) >= rules.class_min_chars:
                         by_class = js_distance(class_counts(text), reference[0])
                     if base[0] >= rules.word_min_words:
@@ -209,4 +225,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", te
 
     texts = plain.select("id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
-    return texts.mapInArrow(judged, schema).withColumnRenamed("id", id_column)
+    if not beyond:
+        return texts.mapInArrow(judged, schema).withColumnRenamed("id", id_column)
+    # Texts too short for either distance need no reference, so the join is not skewed by them.
+    short = F.length("text") < min(rules.class_min_chars, 2 * rules.word_min_words - 1)
+    near = short | F.col("lang").isin([r.lang for r in largest])
+    joined = texts.where(~near).join(references.select("lang", "reference"), "lang").select("id", "lang", "text", "reference")
+    return texts.where(near).mapInArrow(judged, schema).unionByName(joined.mapInArrow(judged, schema)).withColumnRenamed("id", id_column)
