@@ -279,6 +279,24 @@ def test_secrets(spark, odd, nothing):
     assert secrets.scan(nothing, ["doc_id"]).count() == 0
 
 
+def test_values_given_to_secret_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    secret = {1: 'password = "hunter2x9"', 2: 'pwd: "Tr0ub4dor&3!long"', 3: 'secret = "QwErTyUiOpAsDfGhJk"', 4: "db_password=k7#pQ2!z", 5: '"token": "x9Kq2Lm4",'}
+    plain = {6: "The key: river", 7: "access = None", 8: "token: 42", 9: "password = get_word()"}
+    lines = {-k: f"Some text stands here before. {t} and more of it after." for k, t in {**secret, **plain}.items()}
+    table = docs.unionByName(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))
+    got = {r.doc_id: r for r in secrets.scan(table, ["doc_id"]).where("doc_id < 0").collect()}
+    assert {-d: r.found for d, r in got.items()} == {1: "hunter2x9", 2: "Tr0ub4dor&3!long", 3: "QwErTyUiOpAsDfGhJk", 4: "k7#pQ2!z", 5: "x9Kq2Lm4", 6: "river", 7: "None", 8: "42", 9: "get_word("}
+    assert {-d for d, r in got.items() if r.secret} == set(secret)
+    hidden = {r.doc_id: r.text for r in secrets.redacted(table).where("doc_id < 0").collect()}
+    assert all((r.found in hidden[d]) != r.secret for d, r in got.items()) and 'pwd: "[SECRET]" and' in hidden[-2]
+
+
+def test_candidates_that_overlap():
+    text = 'token = "a b1c2d3e4f5a6b7c8d9 e" url: x key_2 := \'\' monkey=="" pass: y'
+    assert [m[0] for m in secrets.CANDIDATE.finditer(text)] == ["a b1c2d3e4f5a6b7c8d9 e", "b1c2d3e4f5a6b7c8d9"]
+
+
 def test_forest_on_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     language = secrets.corpus_language(docs.select("text"))

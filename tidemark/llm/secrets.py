@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +18,79 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import most_frequent, saved
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
+ASSIGNMENT = re.compile("[=:]")
+# What may stand between a name and its value, and a value: quoted on one line, or else up to white space or a quote.
+VALUE = re.compile(r"""=*+>?+[^\S\n]*(?:(?:bearer|basic)[^\S\n]+)?(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`]+))""", re.IGNORECASE)
+BARE_END = ",;.)]}>"
 DICTIONARY_WORD = re.compile("[a-z]{4,}")
 # Names that people give to secrets, and marks of an assignment.
-NAMES = frozenset("token secret key apikey password passwd pwd auth bearer credential credentials access private".split())
+NAMES = frozenset("token secret key apikey password passwd pwd passphrase auth bearer credential credentials access private".split())
+NAME_ENDS = ("key", "token", "secret", "password")
 BEFORE, AFTER = 60, 20
 TRAINING_TEXTS = 2_000
 DICTIONARY_WORDS = 5_000
 FLUSH = 300_000
 FEATURES = (
     "length", "entropy", "digits", "uppers", "distinct", "hex", "switches", "transitions", "dictionary",
-    "slashes", "path_before", "extension", "name_before", "assigned", "quoted", "words_before",
+    "slashes", "path_before", "extension", "name_before", "assigned", "quoted", "words_before", "signs",
 )
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
+@dataclass(frozen=True)
+class Found:
+    """A candidate and where it lies in its text."""
+
+    text: str
+    low: int
+    high: int
+
+    def start(self) -> int:
+        return self.low
+
+    def end(self) -> int:
+        return self.high
+
+    def __getitem__(self, group: int) -> str:
+        return self.text[self.low : self.high]
+
+
+def _is_name(word: str) -> bool:
+    return word.lower() in NAMES or word.lower().endswith(NAME_ENDS)
+
+
+class Candidates:
+    """Runs of at least 16 letters, digits and ``+/_-`` with a digit, and every value given to a secret name by = or :.
+
+    A value may be of any length and signs. A value that is also a run is found once;
+    where one lies in the other, both are found.
+    """
+
+    def finditer(self, text: str) -> Iterator[Found]:
+        spans = {m.span() for m in RUN.finditer(text)}
+        for m in ASSIGNMENT.finditer(text):
+            end = m.start()
+            while end and text[end - 1] in " \t\"'`])":
+                end -= 1
+            name = re.findall("[A-Za-z]+", text[max(0, end - BEFORE) : end])[-1:]
+            # A name may be followed by digits or underscores: key_2 = ...
+            if not name or re.search(r"[A-Za-z][0-9_\-]*$", text[max(0, end - BEFORE) : end]) is None or not _is_name(name[0]):
+                continue
+            if value := VALUE.match(text, m.end()):
+                kind = value.lastindex
+                low, high = value.span(kind)
+                if kind == 4:
+                    while high > low and text[high - 1] in BARE_END:
+                        high -= 1
+                if high > low:
+                    spans.add((low, high))
+        return (Found(text, low, high) for low, high in sorted(spans))
+
+
+CANDIDATE = Candidates()
+
+
 def _symbol_table() -> np.ndarray:
     out = np.full(256, len(SYMBOLS), dtype=np.int64)
     for k, c in enumerate(SYMBOLS):
@@ -95,9 +154,9 @@ def _covered(text: str, words: frozenset[str]) -> float:
 
 def features(before: str, found: str, after: str, transitions: np.ndarray, words: frozenset[str]) -> list[float]:
     """Features of a candidate and of the text around it."""
-    body, head = found.rstrip("="), found[:512]
+    body, head = found.rstrip("=") or found, found[:512]
     counts = np.array(list(Counter(body).values()), dtype=float) / len(body)
-    data = _SYMBOL[np.frombuffer(body.encode(), dtype=np.uint8)]
+    data = _SYMBOL[np.frombuffer(body.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     kinds = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body])
     near = re.findall(r"[A-Za-z]+", before)
     return [
@@ -107,16 +166,17 @@ def features(before: str, found: str, after: str, transitions: np.ndarray, words
         float((kinds == 2).mean()),
         len(counts) / min(len(body), 64),
         float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body) is not None),
-        float((kinds[1:] != kinds[:-1]).mean()),
-        float(transitions[data[:-1], data[1:]].mean()),
+        float((kinds[1:] != kinds[:-1]).mean()) if len(kinds) > 1 else 0.0,
+        float(transitions[data[:-1], data[1:]].mean()) if len(data) > 1 else 0.0,
         _covered(head, words),
         body.count("/") / len(body),
         float(before[-1:] in tuple("./:@#") if before else 0.0),
         float(re.match(r"\.[a-z]{2,4}\b", after) is not None),
-        float(any(w.lower() in NAMES or w.lower().endswith(("key", "token", "secret", "password")) for w in near[-3:])),
+        float(any(map(_is_name, near[-3:]))),
         float(re.search(r"[=:]\s*[\"'`]?$|->\s*$", before) is not None),
         float(before[-1:] in tuple("\"'`") and after[:1] in tuple("\"'`") if before and after else 0.0),
         float(len(near)),
+        sum(not c.isalnum() and c not in "+/_-" for c in body) / len(body),
     ]
 
 
@@ -153,8 +213,10 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
 
     Spark derives them from the ``texts`` documents with the least hashes, a bound
     that does not depend on the corpus. Digests of the passages serve as random
-    strings. Secrets: hex, base 64 and prefixed strings given to a name. Not
-    secrets: digests of commits and files, numbers, joined words, parts of paths.
+    strings. Secrets: hex, base 64 and prefixed strings given to a name, and so are
+    short passwords, such with other signs, letters without digits and passphrases.
+    Not secrets: digests of commits and files, numbers, joined words, parts of paths,
+    and what else stands behind a name: words, short numbers, dates, calls, blanks.
     """
     picked = docs.where(F.length(text_column) >= 40).select(F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h"))
     # The bound is found on hashes alone; then few texts are read, and copies are one.
@@ -166,6 +228,11 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
     quote = F.when(F.pmod("h", F.lit(3)) == 0, F.lit("'")).when(F.pmod("h", F.lit(3)) == 1, F.lit('"')).otherwise(F.lit('"'))
     digits = F.lpad(F.pmod(F.xxhash64("hex"), F.lit(10**16)).cast("string"), 16, "7")
     joined = F.concat_ws("-", F.slice(F.filter("w", lambda x: F.length(x) > 3), 1, 5), F.pmod("h", F.lit(100)).cast("string"))
+    long = F.filter("w", lambda x: F.length(x) > 3)
+    one, two, three, four = (F.coalesce(F.get(long, F.lit(k)), F.lit(w)) for k, w in enumerate(("river", "stone", "window", "garden")))
+    sign = F.element_at(F.array(*map(F.lit, "&!#@$%*^")), (F.pmod("h", F.lit(8)) + 1).cast("int"))
+    figure = F.pmod("h", F.lit(90)) + 10
+    mixed = F.regexp_replace("b64", "[^A-Za-z]", "")
     kinds = [
         (F.concat(name, F.lit(" = "), quote, "hex", quote), 1),
         (F.concat(name, F.lit(": "), quote, "b64", quote), 1),
@@ -179,6 +246,22 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
         (digits, 0),
         (F.concat(F.lit("card = "), digits), 0),
         (joined, 0),
+        (F.concat(name, F.lit(" = "), quote, F.substring(one, 1, 6), F.pmod("h", F.lit(10)), F.substring("hex", 1, 2), quote), 1),
+        (F.concat(name, F.lit(": "), F.substring("b64", 1, 10)), 1),
+        (F.concat(F.lit("pwd: "), quote, F.initcap(F.substring(one, 1, 5)), figure, sign, F.pmod("h", F.lit(10)), F.lit("!"), F.substring(two, 1, 5), quote), 1),
+        (F.concat(name, F.lit("="), F.substring("hex256", 1, 5), sign, F.substring("b64", 5, 6)), 1),
+        (F.concat(name, F.lit(" = "), quote, F.substring(mixed, 1, 18), quote), 1),
+        (F.concat(name, F.lit(" = "), quote, F.translate(F.substring("hex256", 1, 18), "0123456789", "ghjkmnpqrs"), quote), 1),
+        (F.concat(F.lit("passphrase = "), quote, F.concat_ws("-", one, two, three, four), quote), 1),
+        (F.concat(F.lit("passphrase: "), quote, F.concat_ws(" ", one, two, three, four), quote), 1),
+        (F.concat(name, F.lit(": "), one), 0),
+        (F.concat(name, F.lit(" = "), quote, two, quote), 0),
+        (F.concat(F.lower(name), F.lit(" = "), F.element_at(F.array(*map(F.lit, ("None", "null", "true", "false", "str", "required", "***", "public"))), (F.pmod("h", F.lit(8)) + 1).cast("int"))), 0),
+        (F.concat(name, F.lit(": "), figure), 0),
+        (F.concat(name, F.lit(": 20"), figure, F.lit("-01-"), figure), 0),
+        (F.concat(F.lower(name), F.lit(" = get_"), one, F.lit("()")), 0),
+        (F.concat(name, F.lit("=${"), F.upper(two), F.lit("}")), 0),
+        (F.concat(name, F.lit(" = "), quote, F.lit("<"), one, F.lit(">"), quote), 0),
     ]
     kind = F.explode(F.array(*[F.struct(text.alias("core"), F.lit(label).alias("label")) for text, label in kinds])).alias("k")
     return picked.select("lead", "tail", kind).select(F.concat_ws(" ", "lead", "k.core", "tail").alias("text"), F.length("lead").alias("from"), F.col("k.label").cast("double").alias("label"))
@@ -201,7 +284,9 @@ def scan(docs: DataFrame, key_columns: list[str], threshold: float = 0.5, text_c
 
     Returns one row per candidate: the key columns, ``start``, ``finish``,
     ``found``, ``score`` (probability of a secret) and ``secret``. A candidate is a
-    run of at least 16 letters, digits and ``+/_-`` with a digit among them.
+    run of at least 16 letters, digits and ``+/_-`` with a digit among them, or a
+    quoted or bare value, whatever its length and signs, behind a secret name and
+    = or : on the same line; a bare value ends at white space or a quote.
     ``findings`` (``text``, ``from``, ``label``) replaces the ones derived from the
     documents. Null and empty texts have no candidates; equal rows are scanned as
     often as they come; keys may be null; a table without enough text to derive
@@ -231,11 +316,15 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", text_column: str = "text",
     # As many as a text holds; copies of a text share them.
     spans = found.groupBy("_s1", "_s2").agg(F.sort_array(F.collect_set(F.struct("start", "finish"))).alias("_spans"))
     joined = keyed.join(spans, ["_s1", "_s2"], "left")
-    # Offsets are in code points, as substring counts them.
+    # Offsets are in code points, as substring counts them. Spans that overlap get one mark.
+    def replaced(s, x):
+        piece = F.concat(F.substring(F.col(text_column), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(s["at"], x["finish"]).alias("at"), F.concat(s["out"], F.when(x["start"] < s["at"], F.lit("")).otherwise(piece)).alias("out"))
+
     parts = F.aggregate(
         "_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.struct(x["finish"].alias("at"), F.concat(s["out"], F.substring(F.col(text_column), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out")),
+        replaced,
         lambda s: F.concat(s["out"], F.substring(F.col(text_column), s["at"].cast("int") + 1, F.length(text_column))),
     )
     return joined.withColumn(text_column, F.when(F.col("_spans").isNull(), F.col(text_column)).otherwise(parts)).select(*docs.columns)
