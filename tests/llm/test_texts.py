@@ -297,6 +297,12 @@ def test_candidates_that_overlap():
     assert [m[0] for m in secrets.CANDIDATE.finditer(text)] == ["a b1c2d3e4f5a6b7c8d9 e", "b1c2d3e4f5a6b7c8d9"]
 
 
+def test_dictionary_coverage_of_whole_candidates():
+    k = secrets.FEATURES.index("dictionary")
+    found = "q" * 600 + "river" * 120
+    assert secrets.features("", found, "", np.zeros((37, 37)), frozenset(["river"]))[k] == 0.5
+
+
 def test_forest_on_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     language = secrets.corpus_language(docs.select("text"))

@@ -154,7 +154,7 @@ def _covered(text: str, words: frozenset[str]) -> float:
 
 def features(before: str, found: str, after: str, transitions: np.ndarray, words: frozenset[str]) -> list[float]:
     """Features of a candidate and of the text around it."""
-    body, head = found.rstrip("=") or found, found[:512]
+    body = found.rstrip("=") or found
     counts = np.array(list(Counter(body).values()), dtype=float) / len(body)
     data = _SYMBOL[np.frombuffer(body.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     kinds = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body])
@@ -168,7 +168,7 @@ def features(before: str, found: str, after: str, transitions: np.ndarray, words
         float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body) is not None),
         float((kinds[1:] != kinds[:-1]).mean()) if len(kinds) > 1 else 0.0,
         float(transitions[data[:-1], data[1:]].mean()) if len(data) > 1 else 0.0,
-        _covered(head, words),
+        _covered(found, words),
         body.count("/") / len(body),
         float(before[-1:] in tuple("./:@#") if before else 0.0),
         float(re.match(r"\.[a-z]{2,4}\b", after) is not None),
