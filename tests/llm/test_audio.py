@@ -54,6 +54,23 @@ def test_search_finds_shifted_and_noisy_recordings(spark):
     assert audio.search(prints.limit(0), prints.limit(0), "vec_id").count() == 0
 
 
+def test_recall_up_to_the_error_bound(spark):
+    """Errors spread evenly over the bits, without self pairs, against all offsets."""
+    rng, how = np.random.default_rng(4), audio.Alignment()
+    songs = {k: audio.fingerprint(recording(k)) for k in range(10)}
+    made = dict(songs)
+    for k in range(10):
+        for n, share in enumerate((0.05, 0.08, 0.1, 0.12, 0.14)):
+            bits = (rng.random((len(songs[k]), 32)) < share) @ (1 << np.arange(32, dtype=np.int64))
+            made[100 * (n + 1) + k] = (songs[k] ^ bits.astype(np.uint32))[5 * n :]
+    rows = [(k, p.astype(np.int64).tolist()) for k, p in made.items()]
+    prints = spark.createDataFrame(rows, "vec_id long, fingerprint array<long>")
+    got = {(r.query_id, r.vec_id): r for r in audio.search(prints, prints.where("vec_id < 10"), "vec_id").collect()}
+    want = {(q, k) for q in range(10) for k in made if k != q and plain_match(made[q], made[k], how) <= how.errors}
+    found = {x for x in got if x[0] != x[1]}
+    assert len(want) >= 40 and found <= want and len(found) >= 0.98 * len(want)
+
+
 def test_fingerprint_of_silence_and_chroma():
     assert len(audio.fingerprint(np.zeros(10))) == 0
     assert len(set(audio.fingerprint(np.zeros(40_000)).tolist())) == 1

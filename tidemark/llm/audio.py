@@ -3,7 +3,7 @@
 Frames of a recording become the energy of the twelve pitch classes. Filters on
 this picture, taken from an integral image, are quantised to two bits each and
 packed into one 32-bit integer per frame. Two recordings are aligned by the offset
-at which most of their integers agree, and compared by the bits that differ there.
+at which most bytes of their integers agree, and compared by the bits that differ there.
 """
 
 from __future__ import annotations
@@ -38,9 +38,15 @@ STEPS = (-0.12, 0.0, 0.12)
 
 @dataclass(frozen=True)
 class Alignment:
-    """Least agreeing integers to try an offset, least overlap, greatest share of differing bits."""
+    """Least agreeing bytes to try an offset, least overlap, greatest share of differing bits.
+
+    An integer has four bytes. With errors spread evenly over the bits, which spares
+    the fewest bytes, a byte is whole with ``(1 - errors) ** 8``; an offset is tried
+    at ``share`` of the bytes that are then expected, and at ``votes`` of them at least.
+    """
 
     votes: int = 2
+    share: float = 0.3
     overlap: int = 16
     errors: float = 0.15
     block_queries: int = 256
@@ -137,35 +143,43 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x) if hasattr(np, "bitwise_count") else np.array([bin(v).count("1") for v in x])
 
 
+def _bytes(prints: np.ndarray) -> np.ndarray:
+    """The four bytes of each integer, told apart by their place in it."""
+    return ((prints[:, None] >> np.array([0, 8, 16, 24], dtype=np.uint32) & np.uint32(255)).astype(np.int64) + np.arange(4) * 256).ravel()
+
+
 class _Queries:
-    """A block of queries, their integers in one sorted index."""
+    """A block of queries, the bytes of their integers in one sorted index."""
 
     def __init__(self, prints: list[np.ndarray]):
         self.prints = prints
-        values = np.concatenate(prints)
-        owner = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-        place = np.concatenate([np.arange(len(p)) for p in prints])
+        values = _bytes(np.concatenate(prints))
+        owner = np.repeat(np.repeat(np.arange(len(prints)), [len(p) for p in prints]), 4)
+        place = np.repeat(np.concatenate([np.arange(len(p)) for p in prints]), 4)
+        self.lengths = np.array([len(p) for p in prints])
         order = np.argsort(values, kind="stable")
-        self.values, self.owner, self.place = values[order], owner[order], place[order]
+        self.starts = np.searchsorted(values[order], np.arange(1025))
+        self.owner, self.place = owner[order], place[order]
         self.span = 2 * max(map(len, prints), default=0) + 2
 
     def aligned(self, other: np.ndarray, how: Alignment) -> list[tuple[int, int, float, int]]:
         """(query, offset, share of differing bits, overlap) for every query that aligns."""
-        low, high = np.searchsorted(self.values, other, "left"), np.searchsorted(self.values, other, "right")
-        times = high - low
+        seen = _bytes(other)
+        low, times = self.starts[seen], self.starts[seen + 1] - self.starts[seen]
         if not times.sum():
             return []
         at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-        shift = np.repeat(np.arange(len(other)), times) - self.place[at]
+        shift = np.repeat(np.arange(len(seen)) // 4, times) - self.place[at]
         reach = max(len(other), self.span)
         keys, votes = np.unique(self.owner[at] * (4 * reach) + shift + 2 * reach, return_counts=True)
+        owners, offsets = keys // (4 * reach), keys % (4 * reach) - 2 * reach
+        overlaps = np.minimum(self.lengths[owners], len(other) - offsets) - np.maximum(0, -offsets)
+        expected = 4 * overlaps * (1 - how.errors) ** 8
+        tried = (votes >= np.maximum(how.votes, how.share * expected)) & (overlaps >= np.minimum(how.overlap, self.lengths[owners]))
         best: dict[int, tuple] = {}
-        for key, n in zip(keys[votes >= how.votes].tolist(), votes[votes >= how.votes].tolist(), strict=True):
-            q, offset = key // (4 * reach), key % (4 * reach) - 2 * reach
+        for q, offset, n in zip(owners[tried].tolist(), offsets[tried].tolist(), votes[tried].tolist(), strict=True):
             own = self.prints[q]
             a, b = max(0, -offset), min(len(own), len(other) - offset)
-            if b - a < min(how.overlap, len(own)):
-                continue
             share = float(_popcount(own[a:b] ^ other[a + offset : b + offset]).sum()) / (32 * (b - a))
             if share <= how.errors and (q not in best or (share, -n, offset) < best[q][0]):
                 best[q] = ((share, -n, offset), b - a)
@@ -177,8 +191,8 @@ def search(prints: DataFrame, queries: DataFrame, id_column: str, how: Alignment
 
     Both tables hold the id and ``fingerprint``. Returns (``query_id``, id,
     ``offset``, ``errors``, ``overlap``): the offset in frames at which the query
-    begins in the recording. An offset is tried if ``votes`` integers agree at it;
-    of several the one with least errors is reported. A recording that is a query
+    begins in the recording. An offset is tried if enough bytes of the integers agree
+    at it (see ``Alignment``); of several the one with least errors is reported. A recording that is a query
     aligns with itself. Empty fingerprints align with nothing; repeated rows are
     reported as often as they come.
     """
