@@ -398,3 +398,18 @@ def test_ads_take_account_and_campaign_from_their_own_ad_group(spark, rows):
     assert rows(creatives, "creative_id", "name") == [("c", "new")]
     ads = entities.load_ads(batch, groups, creatives.withColumnRenamed("id", "key").withColumn("id", F.col("key")))
     assert rows(ads, "platform_id", "channeled_ad_group_id", "channeled_account_id", "channeled_campaign_id") == [("a1", 5, 50, 500), ("a2", 6, 60, 600)]
+
+
+def test_event_documents_are_bounded(spark, tmp_path):
+    day = F.when(F.col("id") % 20 == 0, "2026-01-02").when(F.col("id") % 33 != 0, "2026-01-01")
+    planner = F.struct(F.concat(F.lit("ch"), F.col("id").cast("string")).alias("profile_channel"), F.lit(True).alias("profile_checked"), F.lit(None).cast("boolean").alias("profile_supported"))
+    events = spark.range(3000).select(F.concat(day, F.lit(" 10:00:00")).alias("timestamp"), F.lit("Legacy").alias("executor_path_decision"), F.lit("x").alias("executor_fallback_reason"), planner.alias("planner_diagnostics"))
+    for wrap in (False, True):
+        path = str(tmp_path / f"documents-{wrap}")
+        files.write_event_documents(events, path, wrap, size=100)
+        texts = spark.read.text(path, wholetext=True).collect()
+        sizes = [r.value.count("profile_checked") for r in texts]
+        assert sum(sizes) == 3000 and max(sizes) <= 200 and len(sizes) >= 25
+        assert all(r.value.startswith('{"events"') == wrap for r in texts)
+        read = files.read_event_documents(spark, path)
+        assert read.count() == 3000 and read.select("planner_diagnostics.profile_channel").distinct().count() == 3000

@@ -274,13 +274,9 @@ def event_documents(spark, folder):
     """The log as whole-file JSON, once as arrays and once as objects with events."""
     path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
     events = _query_events(spark, folder)
-    array = F.to_json(F.collect_list(F.struct(*events.columns)))
-    grouped = events.groupBy(F.substring("timestamp", 1, 10).alias("document")).agg(array.alias("value"))
-    forms = {"arrays": F.col("value"), "objects": F.concat(F.lit('{"events": '), F.col("value"), F.lit("}"))}
     found = None
-    for form, value in forms.items():
-        # One document per day and file.
-        grouped.select("document", value.alias("value")).repartition("document").write.partitionBy("document").text(f"{path}/{form}")
+    for form, wrap in {"arrays": False, "objects": True}.items():
+        files.write_event_documents(events, f"{path}/{form}", wrap)
         part = files.read_event_documents(spark, f"{path}/{form}")
         found = part if found is None else found.unionByName(part)
     return fallbacks.fallback_by_channel(found)

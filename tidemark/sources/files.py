@@ -50,6 +50,27 @@ def read_event_documents(spark: SparkSession, path: str, schema: T.StructType =
     return _one_reason(text.select(F.inline(events)))
 
 
+def write_event_documents(events: DataFrame, path: str, wrap: bool = False, size: int = 5_000, timestamp: str = "timestamp") -> None:
+    """Events as whole-file JSON, some ``size`` of a day per file: arrays, or objects with ``events`` if ``wrap``.
+
+    A day is dealt over as many files as its count asks for, so no row, file or
+    task holds a whole day.
+    """
+    # The number is taken before the join, so it does not depend on how rows are joined.
+    numbered = events.select(F.substring(timestamp, 1, 10).alias("__day"), F.xxhash64(F.monotonically_increasing_id()).alias("__deal"), F.struct(*events.columns).alias("__event"))
+    days = events.groupBy(F.substring(timestamp, 1, 10).alias("__of")).agg(F.ceil(F.count("*") / size).alias("__files"))
+    # Written first, as Spark's size check then sees that it has one row per day.
+    counted = f"{path}/_days"
+    days.write.parquet(counted)
+    days = events.sparkSession.read.schema(days.schema).parquet(counted)
+    dealt = numbered.join(days, F.col("__day").eqNullSafe(F.col("__of")))
+    array = F.to_json(F.collect_list("__event"))
+    value = F.concat(F.lit('{"events": '), array, F.lit("}")) if wrap else array
+    documents = dealt.groupBy(F.col("__day").alias("document"), F.pmod("__deal", "__files").alias("part")).agg(value.alias("value"))
+    # One row per document is one file.
+    documents.write.mode("append").partitionBy("document", "part").text(path)
+
+
 def _one_reason(events: DataFrame) -> DataFrame:
     reason: Column = F.coalesce("executor_fallback_reason", "fallback_reason")
     return events.withColumn("executor_fallback_reason", reason).drop("fallback_reason")
