@@ -71,6 +71,13 @@ def test_recall_up_to_the_error_bound(spark):
     assert len(want) >= 40 and found <= want and len(found) >= 0.98 * len(want)
 
 
+def test_short_excerpts_align_both_ways():
+    whole, how = audio.fingerprint(recording(3)), audio.Alignment()
+    part = whole[20:29]
+    assert [x[:3] for x in audio._Queries([whole]).aligned(part, how)] == [(0, -20, 0.0)]
+    assert [x[:3] for x in audio._Queries([part]).aligned(whole, how)] == [(0, 20, 0.0)]
+
+
 def test_fingerprint_of_silence_and_chroma():
     assert len(audio.fingerprint(np.zeros(10))) == 0
     assert len(set(audio.fingerprint(np.zeros(40_000)).tolist())) == 1

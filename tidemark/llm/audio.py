@@ -175,7 +175,7 @@ class _Queries:
         owners, offsets = keys // (4 * reach), keys % (4 * reach) - 2 * reach
         overlaps = np.minimum(self.lengths[owners], len(other) - offsets) - np.maximum(0, -offsets)
         expected = 4 * overlaps * (1 - how.errors) ** 8
-        tried = (votes >= np.maximum(how.votes, how.share * expected)) & (overlaps >= np.minimum(how.overlap, self.lengths[owners]))
+        tried = (votes >= np.maximum(how.votes, how.share * expected)) & (overlaps >= np.minimum(how.overlap, np.minimum(self.lengths[owners], len(other))))
         best: dict[int, tuple] = {}
         for q, offset, n in zip(owners[tried].tolist(), offsets[tried].tolist(), votes[tried].tolist(), strict=True):
             own = self.prints[q]
@@ -193,7 +193,8 @@ def search(prints: DataFrame, queries: DataFrame, id_column: str, how: Alignment
     ``offset``, ``errors``, ``overlap``): the offset in frames at which the query
     begins in the recording. An offset is tried if enough bytes of the integers agree
     at it (see ``Alignment``); of several the one with least errors is reported. A recording that is a query
-    aligns with itself. Empty fingerprints align with nothing; repeated rows are
+    aligns with itself. The overlap must reach ``overlap``, or the length of the shorter
+    recording. Empty fingerprints align with nothing; repeated rows are
     reported as often as they come.
     """
     rows = prints.where(F.size("fingerprint") > 0).select(F.col(id_column).alias("id"), "fingerprint", F.lit(False).alias("query"))
