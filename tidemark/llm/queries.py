@@ -96,3 +96,24 @@ def op4_chroma_alignment(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     prints = saved_fingerprints(vectors, "vec_id", "embedding", melody)
     return search(prints, prints.where("vec_id % 100 = 0"), "vec_id")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.spelling import spelling_variants
+
+    return spelling_variants(documents(spark, folder))
+
+
+@query
+def op12_bit_sliced_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.simhash import near_copies
+
+    return near_copies(documents(spark, folder))
+
+
+@query
+def op13_qdwh_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.whitening import whitened
+
+    return whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
