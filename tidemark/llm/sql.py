@@ -24,6 +24,10 @@ reached AS (SELECT doc_id AS d, doc_id AS least FROM documents UNION SELECT b, l
 SELECT doc_id, LEAST(doc_id, COALESCE((SELECT MIN(b) FROM links WHERE a = doc_id AND same), doc_id)) AS copy_id, (SELECT MIN(least) FROM reached WHERE d = doc_id) AS class_id,
     (SELECT COUNT(*) FROM links WHERE a = doc_id) AS n_links FROM documents"""
 
+# DuckDB counts edits in bytes, so letters of two bytes stand as spare signs of one while edits are counted.
+_LETTERS = "".join(chr(c) for c in range(0xC0, 0x100))
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).islower() and chr(c) != "'")[: len(_LETTERS)]
+
 VARIANTS = rf"""WITH RECURSIVE remainders AS (SELECT list(c ORDER BY i) AS t FROM ({_STEPS})),
 runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, COUNT(*) AS times
     FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
@@ -31,9 +35,9 @@ coded AS (SELECT *, hex(encode(concat(CAST(doc_id AS VARCHAR), ':', run))) AS x
 sums AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded, remainders),
 damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM sums),
-words AS (SELECT word, CAST(SUM(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY 1 HAVING SUM(times) >= 2),
+words AS (SELECT word, translate(word, '{_LETTERS}', '{_SIGNS}') AS signs, CAST(SUM(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY 1 HAVING SUM(times) >= 2),
 near AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM words a JOIN words b
-    ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+    ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.signs, b.signs) = 1),
 best AS (SELECT word, COUNT(*) AS n_near, MAX(near_n) AS most, arg_min(near, (-near_n, near)) AS form FROM near GROUP BY 1),
 formed AS (SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN form END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
 chain AS (SELECT word, word AS root, 0 AS steps FROM formed UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL)

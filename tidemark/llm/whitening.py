@@ -131,28 +131,11 @@ def eigenvectors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = (turned + turned.T) / 2
         stack.append((turned[rank:, rank:], basis @ turn[:, rank:]))
         stack.append((turned[:rank, :rank], basis @ turn[:, :rank]))
-    values, vectors = _polished(a, vectors)
+    values = np.einsum("ij,ij->j", vectors, a @ vectors)
     order = np.argsort(-values, kind="stable")
     return values[order], vectors[:, order]
 
 
-def _polished(a: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step of refinement: what is left of rounding off the diagonal is turned away where eigenvalues differ."""
-    turned = vectors.T @ a @ vectors
-    values = np.diag(turned).copy()
-    excess = np.eye(len(a)) - vectors.T @ vectors
-    gap = values[None, :] - values[:, None]
-    # Far enough apart for the square of a step to be below rounding.
-    apart = np.abs(gap) > 1e-7 * np.abs(values).max()
-    step = np.where(apart, (turned + excess * values[None, :]) / np.where(apart, gap, 1.0), excess / 2)
-    np.fill_diagonal(step, np.diag(excess) / 2)
-    better = vectors + vectors @ step
-    if not np.isfinite(better).all() or np.abs(step).max() > 1e-7:
-        return values, vectors
-    better /= np.linalg.norm(better, axis=0)
-    return np.einsum("ij,ij->j", better, a @ better), better
-
-
 def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of the vectors without null or non-finite entries, where each begins, and its length; entries flat."""
     column = batch["vector"]
