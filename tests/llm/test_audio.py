@@ -71,6 +71,25 @@ def test_recall_up_to_the_error_bound(spark):
     assert len(want) >= 40 and found <= want and len(found) >= 0.98 * len(want)
 
 
+def test_search_of_odd_rows(spark):
+    """Ties, repeated rows, null ids, empty and null fingerprints, and columns with clashing names."""
+    own = audio.fingerprint(recording(1)).astype(np.int64).tolist()
+    rows = [(100, own), (100, own), (1, own), (None, own), (2, []), (3, None), (200, own[:9])]
+    prints = spark.createDataFrame(rows, "vec_id long, fingerprint array<long>").selectExpr("*", *[f"'z' AS {c}" for c in ("id", "x", "y", "query", "offset", "errors", "mark", "query_id")])
+    got = audio.search(prints, prints.where("vec_id % 100 = 0"), "vec_id", audio.Alignment(block_queries=1, block_rows=2)).collect()
+    pairs = sorted(((r.query_id, r.vec_id) for r in got), key=repr)
+    assert pairs == sorted([(q, k) for q in (100, 100, 200) for k in (100, 100, 1, None, 200)], key=repr)
+    assert all(r.errors == 0 and r.overlap == (9 if 200 in (r.query_id, r.vec_id) else len(own)) for r in got)
+
+
+def test_a_held_note_is_counted_in_parts(monkeypatch):
+    held = np.full(60, 7, dtype=np.uint32)
+    whole = audio._Queries([held, held[:30]]).aligned(held, audio.Alignment())
+    monkeypatch.setattr(audio, "VOTES_AT_ONCE", 100)
+    assert audio._Queries([held, held[:30]]).aligned(held, audio.Alignment()) == whole
+    assert [(q, offset, errors) for q, offset, errors, _ in whole] == [(0, 0, 0.0), (1, 0, 0.0)]
+
+
 def test_short_excerpts_align_both_ways():
     whole, how = audio.fingerprint(recording(3)), audio.Alignment()
     part = whole[20:29]

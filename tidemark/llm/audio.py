@@ -3,12 +3,14 @@
 Frames of a recording become the energy of the twelve pitch classes. Filters on
 this picture, taken from an integral image, are quantised to two bits each and
 packed into one 32-bit integer per frame. Two recordings are aligned by the offset
-at which most bytes of their integers agree, and compared by the bits that differ there.
+at which most pairs of bytes of their integers agree, and compared by the bits that
+differ there.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import math
 import wave
 from collections.abc import Callable, Iterator
@@ -26,7 +28,8 @@ FRAME, HOP = 2_048, 512
 LOW_HZ, HIGH_HZ = 60.0, 3_000.0
 WIDTH = 16
 SAMPLES_AT_ONCE = 2_000_000
-# Filters: kind, first pitch class, pitch classes, frames. Kinds: 0 the whole against
+VOTES_AT_ONCE = 4_000_000
+# Fixed values, as public chroma fingerprints use them. Filters: kind, first pitch class, pitch classes, frames. Kinds: 0 the whole against
 # nothing, 1 upper against lower half, 2 left against right half, 3 checkered,
 # 4 middle third against outer ones by class, 5 the same by frame.
 FILTERS = (
@@ -38,11 +41,12 @@ STEPS = (-0.12, 0.0, 0.12)
 
 @dataclass(frozen=True)
 class Alignment:
-    """Least agreeing bytes to try an offset, least overlap, greatest share of differing bits.
+    """Least agreeing pairs of bytes to try an offset, least overlap, greatest share of differing bits.
 
-    An integer has four bytes. With errors spread evenly over the bits, which spares
-    the fewest bytes, a byte is whole with ``(1 - errors) ** 8``; an offset is tried
-    at ``share`` of the bytes that are then expected, and at ``votes`` of them at least.
+    An integer has six pairs of its four bytes. With errors spread evenly over the
+    bits, which spares the fewest pairs, a pair is whole with ``(1 - errors) ** 16``;
+    an offset is tried at ``share`` of the pairs that are then expected, and at
+    ``votes`` of them at least.
     """
 
     votes: int = 2
@@ -143,38 +147,53 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x) if hasattr(np, "bitwise_count") else np.array([bin(v).count("1") for v in x])
 
 
-def _bytes(prints: np.ndarray) -> np.ndarray:
-    """The four bytes of each integer, told apart by their place in it."""
-    return ((prints[:, None] >> np.array([0, 8, 16, 24], dtype=np.uint32) & np.uint32(255)).astype(np.int64) + np.arange(4) * 256).ravel()
+PAIRS = tuple(itertools.combinations((0, 8, 16, 24), 2))
+
+
+def _pairs(prints: np.ndarray) -> np.ndarray:
+    """The six pairs of bytes of each integer, told apart by their places in it."""
+    low, high = (np.array(x, dtype=np.uint32) for x in zip(*PAIRS, strict=True))
+    one, other = prints[:, None] >> low & np.uint32(255), prints[:, None] >> high & np.uint32(255)
+    return ((one << np.uint32(8) | other).astype(np.int64) + (np.arange(len(PAIRS)) << 16)).ravel()
 
 
 class _Queries:
-    """A block of queries, the bytes of their integers in one sorted index."""
+    """A block of queries, the pairs of bytes of their integers in one sorted index."""
 
     def __init__(self, prints: list[np.ndarray]):
         self.prints = prints
-        values = _bytes(np.concatenate(prints))
-        owner = np.repeat(np.repeat(np.arange(len(prints)), [len(p) for p in prints]), 4)
-        place = np.repeat(np.concatenate([np.arange(len(p)) for p in prints]), 4)
+        values, times = _pairs(np.concatenate(prints)), len(PAIRS)
+        owner = np.repeat(np.repeat(np.arange(len(prints)), [len(p) for p in prints]), times)
+        place = np.repeat(np.concatenate([np.arange(len(p)) for p in prints]), times)
         self.lengths = np.array([len(p) for p in prints])
         order = np.argsort(values, kind="stable")
-        self.starts = np.searchsorted(values[order], np.arange(1025))
+        self.starts = np.searchsorted(values[order], np.arange((times << 16) + 1))
         self.owner, self.place = owner[order], place[order]
         self.span = 2 * max(map(len, prints), default=0) + 2
 
     def aligned(self, other: np.ndarray, how: Alignment) -> list[tuple[int, int, float, int]]:
         """(query, offset, share of differing bits, overlap) for every query that aligns."""
-        seen = _bytes(other)
+        seen = _pairs(other)
         low, times = self.starts[seen], self.starts[seen + 1] - self.starts[seen]
         if not times.sum():
             return []
-        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-        shift = np.repeat(np.arange(len(seen)) // 4, times) - self.place[at]
-        reach = max(len(other), self.span)
-        keys, votes = np.unique(self.owner[at] * (4 * reach) + shift + 2 * reach, return_counts=True)
+        reach, parts, first = max(len(other), self.span), [], 0
+        # A held note agrees with itself everywhere, so the votes are counted some at a time.
+        upto = np.cumsum(times)
+        while first < len(seen):
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] - times[first] + VOTES_AT_ONCE, side="right")))
+            n = times[first:last]
+            at = np.repeat(low[first:last] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shift = np.repeat(np.arange(first, last) // len(PAIRS), n) - self.place[at]
+            parts.append(np.unique(self.owner[at] * (4 * reach) + shift + 2 * reach, return_counts=True))
+            first = last
+        keys, votes = parts[0]
+        if len(parts) > 1:
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            votes = np.bincount(place, np.concatenate([v for _, v in parts])).astype(np.int64)
         owners, offsets = keys // (4 * reach), keys % (4 * reach) - 2 * reach
         overlaps = np.minimum(self.lengths[owners], len(other) - offsets) - np.maximum(0, -offsets)
-        expected = 4 * overlaps * (1 - how.errors) ** 8
+        expected = len(PAIRS) * overlaps * (1 - how.errors) ** 16
         tried = (votes >= np.maximum(how.votes, how.share * expected)) & (overlaps >= np.minimum(how.overlap, np.minimum(self.lengths[owners], len(other))))
         best: dict[int, tuple] = {}
         for q, offset, n in zip(owners[tried].tolist(), offsets[tried].tolist(), votes[tried].tolist(), strict=True):
@@ -191,7 +210,7 @@ def search(prints: DataFrame, queries: DataFrame, id_column: str, how: Alignment
 
     Both tables hold the id and ``fingerprint``. Returns (``query_id``, id,
     ``offset``, ``errors``, ``overlap``): the offset in frames at which the query
-    begins in the recording. An offset is tried if enough bytes of the integers agree
+    begins in the recording. An offset is tried if enough pairs of bytes of the integers agree
     at it (see ``Alignment``); of several the one with least errors is reported. A recording that is a query
     aligns with itself. The overlap must reach ``overlap``, or the length of the shorter
     recording. Empty fingerprints align with nothing; repeated rows are
