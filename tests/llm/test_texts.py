@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, components, grades, licenses, near_duplicates, quality_rules, repeated_strings, secrets
@@ -46,6 +47,49 @@ def test_repeated_strings(spark, docs, monkeypatch, hot):
         assert sum(s.high - s.low for s in r.spans) == r.n_removed and len(r.kept) == len(texts[r.doc_id].encode()) - r.n_removed
 
 
+@pytest.fixture
+def uneven(spark):
+    """Tasks stay as small, and as empty, as the rows are dealt."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield spark
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("records, windows, hot, salted", [(40_000, 200_000, 5_000, 16), (1, 1, 20, 2), (3, 50, 1, 1)])
+def test_repeated_strings_in_tasks_without_records(uneven, monkeypatch, records, windows, hot, salted):
+    for name, value in (("RUN_RECORDS", records), ("WINDOWS", windows), ("HOT", hot), ("SALTED", salted)):
+        monkeypatch.setattr(repeated_strings, name, value)
+    rng = np.random.default_rng(7)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n))
+
+    # A third equal texts, and a passage that half of the rest share between texts of their own.
+    equal, passage = words(60), words(70)
+    rows = [(k, equal if k % 3 == 0 else words(20) + passage + words(20) if k % 2 else words(50)) for k in range(180)]
+    got = repeated_strings.remove_repeated(uneven.createDataFrame(rows, "doc_id long, text string").repartition(6), with_text=False)
+    want = [(d, *x) for (d, _), x in zip(rows, plain_removal([t for _, t in rows]))]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == sorted(want)
+
+
+def test_copies_of_a_hot_text_are_dealt_out(uneven, monkeypatch):
+    monkeypatch.setattr(repeated_strings, "SALTED", 4)
+    equal = "one page that a third of a crawl repeats " * 20
+    rows = [(k, equal if k % 3 == 0 else f"{k} " * 300) for k in range(3000)]
+    out = repeated_strings.remove_repeated(uneven.createDataFrame(rows, "doc_id long, text string"), with_text=False)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / 8
+
+
+def test_a_run_without_records_is_empty():
+    run = repeated_strings._Run(8)
+    assert run.flush(200).num_rows == 0 and run.flush_windows(200).num_rows == 0
+
+
 def test_repeated_strings_of_odd_rows(odd, nothing):
     got = repeated_strings.remove_repeated(odd).collect()
     want = plain_removal([r.text for r in odd.collect()])

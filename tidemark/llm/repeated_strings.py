@@ -14,15 +14,21 @@ distances, and one suffix per anchor stands for all windows around it.
    shared lengths of the merged order tell which suffixes agree for how long to the
    right; a sort of the bytes to the left tells the same there. Windows with equal
    classes on both sides are equal strings.
+
+Anchors of very frequent strings would fill one range. Their windows are equal or not
+as a whole, so they are told apart by 128-bit hashes, combined per task, and dealt by
+those.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +36,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import partitions, saved, sorted_groups
 
 GRAM = 64
-# Records of a run; occurrences from which an anchor's windows are dealt in finer groups; their width.
+# Records of a run; windows held at once; occurrences from which an anchor's windows are dealt one by one.
 RUN_RECORDS = 40_000
+WINDOWS = 200_000
 HOT = 5_000
-FINE = 16
 RANGES_PER_TASK = 4
+SALTED = 16
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -169,13 +176,45 @@ class _Run:
 
     TAGS = (("t1", np.int64), ("t2", np.int64), ("place", np.int64), ("near", np.int32), ("far", np.int32), ("weight", np.int32))
 
+    #: What a task sends: a run, or a range of bytes known to be repeated, or a window by its hash.
+    SENT = {"range": pa.int32(), "run": pa.binary(), "t1": pa.int64(), "t2": pa.int64(), "low": pa.int64(), "high": pa.int64(), "w1": pa.int64(), "w2": pa.int64(), "weight": pa.int32()}
+
     def __init__(self, ranges: int):
         self.ranges, self.records = ranges, []
+        self.windows: dict[bytes, tuple[int, int, int, int]] = {}
+        self.again: list[tuple[int, int, int]] = []
 
     def add(self, key: int, right: bytes, left: bytes, *tags: int) -> None:
         """``left`` is read backwards; the key leads, so its top bits give the range."""
         self.records.append((key.to_bytes(8, "big") + right, left, tags))
 
+    def add_window(self, window: bytes, t1: int, t2: int, start: int, weight: int) -> None:
+        key = xxhash.xxh128_digest(window)
+        first = self.windows.setdefault(key, (t1, t2, start, weight))
+        if first[:3] != (t1, t2, start):
+            self.again.append((t1, t2, start))
+            if first[3] < 2:
+                self.windows[key] = (*first[:3], 2)
+
+    def flush_windows(self, length: int) -> pa.RecordBatch:
+        """Each window once, with how often it came (two at most); where the others lie, in ranges."""
+        rows = []
+        for key, (t1, t2, start, weight) in self.windows.items():
+            w1, w2 = int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+            rows.append((w1 % self.ranges, None, t1, t2, start, start + length, w1, w2, weight))
+        at = None
+        for t1, t2, start in sorted(self.again):
+            if at and at[:2] == (t1, t2) and start <= at[3]:
+                at = (t1, t2, at[2], start + length)
+                continue
+            if at:
+                rows.append(((at[0] ^ at[2]) % self.ranges, None, *at, None, None, None))
+            at = (t1, t2, start, start + length)
+        if at:
+            rows.append(((at[0] ^ at[2]) % self.ranges, None, *at, None, None, None))
+        self.windows, self.again = {}, []
+        return self._rows(rows)
+
     def flush(self, length: int) -> pa.RecordBatch:
         self.records.sort(key=lambda r: (r[0], r[1], r[2][3:5]))
         out, decided = [], []
@@ -192,14 +231,17 @@ class _Run:
                 continue
             kept.append(record)
         at = np.array([int.from_bytes(r[0][:4], "big") * self.ranges >> 32 for r in kept], dtype=np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
-        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        cuts = [*np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist(), len(at)] if len(at) else []
+        for a, b in zip(cuts, cuts[1:]):
             out.append((int(at[a]), self._packed(kept[a:b])))
         self.records = []
-        columns = [[r for r, _ in out] + [d[0] for d in decided], [x for _, x in out] + [None] * len(decided)]
-        columns += [[None] * len(out) + [d[k] for d in decided] for k in range(1, 5)]
-        types = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["range", "run", "t1", "t2", "low", "high"])
+        rows = [(r, x, None, None, None, None, None, None, None) for r, x in out] + [(d[0], None, *d[1:], None, None, None) for d in decided]
+        return self._rows(rows)
+
+    @staticmethod
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(_Run.SENT)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _Run.SENT.values(), strict=True)], names=list(_Run.SENT))
 
     def _packed(self, records: list[tuple]) -> bytes:
         shared, sizes, rests = front_coded([r[0] for r in records])
@@ -275,6 +317,19 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
     text = F.coalesce(F.col(text_column), F.lit(""))
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.cast("binary").alias("data"))
     long_texts = texts.where(F.octet_length("data") >= length)
+    # Texts with so many copies that one task would feel it are dealt by id as well; by
+    # their share of all rows there are at most SALTED times as many as tasks.
+    many = max(SALTED, math.ceil(docs.count() / (SALTED * partitions(spark))))
+    times = saved(long_texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    salted = times.groupBy("t1").agg(F.sum("n").alias("n")).where(F.col("n") > many).select("t1", F.ceil(F.col("n") / many).cast("int").alias("salts"))
+    salted = F.broadcast(salted)
+    texts = texts.join(salted, "t1", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+    def for_each_salt(df: DataFrame) -> DataFrame:
+        """The rows, by ``k1`` and ``k2``, for every part that the copies of a text are dealt to."""
+        df = df.join(salted, "t1", "left").withColumn("k2", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+        return df.drop("salts").withColumnRenamed("t1", "k1")
+
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,9 +351,8 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
     again = saved(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "again")
     # As many as a text has anchors.
     hints = found.select("h", "t1", "packed").join(again, "h").groupBy("t1").agg(F.collect_set(F.struct("packed", "hot")).alias("hints"))
-    copies = long_texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
-    copies = copies.groupBy("t1").agg(F.collect_list("t2").alias("copied"))
-    hints = hints.join(copies, "t1", "left").withColumnRenamed("t1", "k1")
+    copies = times.groupBy("t1").agg(F.collect_list("t2").alias("copied"))
+    hints = for_each_salt(hints.join(copies, "t1", "left"))
     ranges = RANGES_PER_TASK * partitions(spark)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,26 +372,31 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
                     if not mark["hot"]:
                         run.add(gram, data[place : place - near + length], data[place - far : place][::-1], t1, t2, place, near, far, weight)
                         continue
-                    # Windows whose starts lie in one stretch share most of their bytes: these give the key.
-                    for k in range(near // FINE, far // FINE + 1):
-                        low, high = max(near, k * FINE), min(far, k * FINE + FINE - 1)
-                        core = data[place - k * FINE : place - k * FINE - FINE + 1 + length]
-                        key = xxhash.xxh64_intdigest(core, seed=k + 1)
-                        run.add(key, data[place : place - low + length], data[place - high : place][::-1], t1, t2, place, low, high, weight)
+                    for d in range(near, far + 1):
+                        run.add_window(data[place - d : place - d + length], t1, t2, place - d, weight)
                 if len(run.records) >= RUN_RECORDS:
                     yield run.flush(length)
+                if len(run.windows) + len(run.again) >= WINDOWS:
+                    yield run.flush_windows(length)
         yield run.flush(length)
+        yield run.flush_windows(length)
 
     # The same columns and key as in the last join, so the texts are shuffled once for both.
-    runs = texts.join(hints, texts["t1"] == hints["k1"]).select("id", "t1", "t2", "data", "hints", "copied")
-    runs = runs.mapInArrow(sent, "range int, run binary, t1 long, t2 long, low long, high long")
+    runs = texts.join(hints, (texts["t1"] == hints["k1"]) & (texts["salt"] == hints["k2"])).select("id", "t1", "t2", "data", "hints", "copied")
+    runs = runs.mapInArrow(sent, "range int, run binary, t1 long, t2 long, low long, high long, w1 long, w2 long, weight int")
     runs = runs.repartition(partitions(spark), "range").sortWithinPartitions("range")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t1", "t2", "low", "high"]
         for _, table in sorted_groups(batches, ["range"]):
-            done = table.filter(table["run"].is_null()).select(names)
+            done = table.filter(pc.and_(table["run"].is_null(), table["w1"].is_null())).select(names)
             yield from done.to_batches()
+            windows = table.filter(table["w1"].is_valid())
+            if windows.num_rows:
+                _, inverse = np.unique(np.stack([windows["w1"].to_numpy(), windows["w2"].to_numpy()]), axis=1, return_inverse=True)
+                inverse = inverse.ravel()
+                times = np.bincount(inverse, windows["weight"].to_numpy())[inverse]
+                yield from windows.filter(pa.array(times >= 2)).select(names).to_batches()
             parts = [_Run.unpacked(x) for x in table["run"].to_pylist() if x is not None]
             if not parts:
                 continue
@@ -357,7 +416,7 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
 
     covers = runs.mapInArrow(matched, "t1 long, t2 long, low long, high long")
     # Bounded by the text's own length.
-    covers = covers.groupBy("t1").agg(F.collect_set(F.struct("t2", "low", "high")).alias("covers")).withColumnRenamed("t1", "k1")
+    covers = for_each_salt(covers.groupBy("t1").agg(F.collect_set(F.struct("t2", "low", "high")).alias("covers")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,5 +440,5 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_column: str = "doc_id
 
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<low: long, high: long>>, kept binary" * with_text
-    out = texts.join(covers, texts["t1"] == covers["k1"], "left").select("id", "t1", "t2", "data", "covers").mapInArrow(cut, schema)
+    out = texts.join(covers, (texts["t1"] == covers["k1"]) & (texts["salt"] == covers["k2"]), "left").select("id", "t1", "t2", "data", "covers").mapInArrow(cut, schema)
     return out.withColumnRenamed("id", id_column)
