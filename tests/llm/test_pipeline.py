@@ -6,6 +6,7 @@ import hashlib
 
 import corpus_pipeline
 import public_tokenizers
+from tidemark.llm import secrets
 from tokenizers import Tokenizer
 
 from test_texts import plain_base, plain_similar
@@ -27,11 +28,31 @@ def test_stages(spark, folder, docs):
     single = copies(spark, kept, folder).cache()
     classes = {c for _, _, c, _ in plain_similar([(r.doc_id, r.text) for r in kept.collect()])}
     assert sorted(r.doc_id for r in single.collect()) == sorted(classes) and single.columns == docs.columns
+    lead = "The service reads its settings once it starts and writes them down again. "
+    planted = [(10_000 + k, f"{lead}token = \"{hashlib.sha1(bytes([k])).hexdigest()}\" and more of it.", "en", "web", 0) for k in range(3)]
+    single = single.unionByName(spark.createDataFrame(planted, single.schema)).cache()
+    classes |= {r[0] for r in planted}
     hidden = hide(spark, single, folder).cache()
     assert sorted(r.doc_id for r in hidden.collect()) == sorted(classes) and hidden.columns == docs.columns
     assert all(r.n_chars == len(r.text) for r in hidden.collect())
+    # Only what the forest calls a secret is gone, and all of that.
+    texts = {r.doc_id: r.text for r in single.collect()}
+    spans = {}
+    for r in secrets.scan(single, ["doc_id"]).where("secret").collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.finish))
+    for r in hidden.collect():
+        out, at = "", 0
+        for low, high in sorted(spans.get(r.doc_id, [])):
+            out, at = (out + texts[r.doc_id][at:low] + "[SECRET]" if low >= at else out), max(at, high)
+        assert r.text == out + texts[r.doc_id][at:]
+    assert spans
     mixed = mix(spark, hidden, folder).cache()
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= classes
+    # A document is taken whole, several times, or cut behind a word.
+    whole = {r.doc_id: r.text.split() for r in hidden.collect()}
+    for r in mixed.collect():
+        own = r.text.split()
+        assert own and own == (whole[r.doc_id] * 3)[: len(own)] or own in [whole[r.doc_id][k : k + len(own)] for k in range(len(whole[r.doc_id]))]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = encode(spark, mixed, folder).collect()
     want = sorted((r.doc_id, hashlib.sha256(" ".join(map(str, library.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest()) for r in mixed.collect())

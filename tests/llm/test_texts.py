@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import time
 from collections import Counter
 
 import numpy as np
@@ -323,6 +324,34 @@ def test_secrets(spark, odd, nothing):
     assert secrets.scan(nothing, ["doc_id"]).count() == 0
 
 
+def found_in(text):
+    return [m[0] for m in secrets.CANDIDATE.finditer(text)]
+
+
+def test_values_end_where_the_next_begins():
+    assert found_in("https://x.org/a?token=abc&key=def&x=1") == ["abc", "def"]
+    assert found_in("password: one; secret=two, api_key=(three) token = [four]|pwd=five.") == ["one", "two", "five"]
+    assert found_in("token=first:db_key=second") == ["first", "second"]
+    assert found_in('auth: "token=abc def" key=`x y`') == ["token=abc def", "x y"]
+    assert found_in("Authorization: Basic dXNlcjpwYXNz") == ["dXNlcjpwYXNz"]
+    assert found_in("Authorization: Bearer shorttok1 passcode=84hd") == ["shorttok1", "84hd"]
+    assert found_in("postgres://admin:hunter2@db/x and http://host:8080/y") == ["hunter2"]
+    assert found_in("key:" * 100) == [] and found_in("key=") == [] and found_in("= : =:") == []
+    assert found_in("api_key: dGVzdA==") == ["dGVzdA=="]
+
+
+@pytest.mark.parametrize("unit", ["key:", "token=a1&", "key:'", 'x9Zk"', "secret=ab1:", "://a:b", "a1/b2-", "password: \\\"", "q7"])
+def test_finding_takes_time_in_proportion(unit):
+    def seconds(size):
+        text, began = unit * (size // len(unit)), time.perf_counter()
+        for m in secrets.CANDIDATE.finditer(text):
+            secrets.features(text[max(0, m.start() - 60) : m.start()], m[0], text[m.end() : m.end() + 20], np.zeros((37, 37)), frozenset(["river"]))
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    assert seconds(400_000) < 30 * max(0.02, seconds(40_000))
+
+
 def test_values_given_to_secret_names(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     secret = {1: 'password = "hunter2x9"', 2: 'pwd: "Tr0ub4dor&3!long"', 3: 'secret = "QwErTyUiOpAsDfGhJk"', 4: "db_password=k7#pQ2!z", 5: '"token": "x9Kq2Lm4",'}
@@ -330,7 +359,7 @@ def test_values_given_to_secret_names(spark):
     lines = {-k: f"Some text stands here before. {t} and more of it after." for k, t in {**secret, **plain}.items()}
     table = docs.unionByName(spark.createDataFrame(list(lines.items()), "doc_id long, text string"))
     got = {r.doc_id: r for r in secrets.scan(table, ["doc_id"]).where("doc_id < 0").collect()}
-    assert {-d: r.found for d, r in got.items()} == {1: "hunter2x9", 2: "Tr0ub4dor&3!long", 3: "QwErTyUiOpAsDfGhJk", 4: "k7#pQ2!z", 5: "x9Kq2Lm4", 6: "river", 7: "None", 8: "42", 9: "get_word("}
+    assert {-d: r.found for d, r in got.items()} == {1: "hunter2x9", 2: "Tr0ub4dor&3!long", 3: "QwErTyUiOpAsDfGhJk", 4: "k7#pQ2!z", 5: "x9Kq2Lm4", 6: "river", 7: "None", 8: "42", 9: "get_word"}
     assert {-d for d, r in got.items() if r.secret} == set(secret)
     hidden = {r.doc_id: r.text for r in secrets.redacted(table).where("doc_id < 0").collect()}
     assert all((r.found in hidden[d]) != r.secret for d, r in got.items()) and 'pwd: "[SECRET]" and' in hidden[-2]

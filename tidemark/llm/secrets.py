@@ -20,20 +20,25 @@ from tidemark.llm.common import most_frequent, saved
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}")
 ASSIGNMENT = re.compile("[=:]")
-# What may stand between a name and its value, and a value: quoted on one line, or else up to white space or a quote.
-VALUE = re.compile(r"""=*+>?+[^\S\n]*(?:(?:bearer|basic)[^\S\n]+)?(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`]+))""", re.IGNORECASE)
-BARE_END = ",;.)]}>"
+# What may stand between a name and its value, and a value: quoted on one line, or else bare.
+LEAD = re.compile(r"=*+>?+[^\S\n]*(?:(?:bearer|basic)[^\S\n]+)?", re.IGNORECASE)
+QUOTED = re.compile(r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`)""")
+BARE = re.compile(r"""["'`]?([^\s"'`&;,|(){}\[\]<>]+)""")
+BARE_END = ".:"
+NAMED = re.compile(r"[A-Za-z][0-9_\-]*$")
+LOGIN = re.compile(r"""://[^\s/:@"'`]*:([^\s/@"'`]+)@""")
 DICTIONARY_WORD = re.compile("[a-z]{4,}")
 # Names that people give to secrets, and marks of an assignment.
-NAMES = frozenset("token secret key apikey password passwd pwd passphrase auth bearer credential credentials access private".split())
+NAMES = frozenset("token secret key apikey password passwd pwd passphrase auth authorization bearer credential credentials access passcode private".split())
 NAME_ENDS = ("key", "token", "secret", "password")
+NAME_SIGNS = re.compile(r"[A-Za-z0-9_\-]+$")
 BEFORE, AFTER = 60, 20
 TRAINING_TEXTS = 2_000
 DICTIONARY_WORDS = 5_000
 FLUSH = 300_000
 FEATURES = (
     "length", "entropy", "digits", "uppers", "distinct", "hex", "switches", "transitions", "dictionary",
-    "slashes", "path_before", "extension", "name_before", "assigned", "quoted", "words_before", "signs",
+    "slashes", "path_before", "extension", "name_before", "assigned", "quoted", "words_before", "signs", "login", "opens",
 )
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -61,31 +66,47 @@ def _is_name(word: str) -> bool:
 
 
 class Candidates:
-    """Runs of at least 16 letters, digits and ``+/_-`` with a digit, and every value given to a secret name by = or :.
+    """Runs of at least 16 letters, digits and ``+/_-`` with a digit, every value given to a secret name by = or :, and passwords in addresses.
 
-    A value may be of any length and signs. A value that is also a run is found once;
-    where one lies in the other, both are found.
+    A value may be of any length. A quoted one ends at its quote, a bare one at white
+    space, a quote, any of ``&;,|``, a bracket, or the next secret name with its = or
+    :, so values do not overlap and the work grows with the length of the text. A value
+    that is also a run is found once; where one lies in the other, both are found.
     """
 
     def finditer(self, text: str) -> Iterator[Found]:
         spans = {m.span() for m in RUN.finditer(text)}
+        spans |= {m.span(1) for m in LOGIN.finditer(text)}
+        named = list(self._assignments(text))
+        done = 0
+        for (_, at), (following, _) in zip(named, [*named[1:], (len(text), 0)]):
+            if at < done:  # within the last quoted value
+                continue
+            at = LEAD.match(text, at).end()
+            if value := QUOTED.match(text, at):
+                spans.add(value.span(value.lastindex))
+                done = value.end()
+            elif value := BARE.match(text, at, max(at, following)):
+                low, high = value.span(1)
+                done = high
+                # A stop at the end is no part of a value.
+                while high > low and text[high - 1] in BARE_END:
+                    high -= 1
+                if high > low:
+                    spans.add((low, high))
+        return (Found(text, low, high) for low, high in sorted(spans))
+
+    @staticmethod
+    def _assignments(text: str) -> Iterator[tuple[int, int]]:
+        """Where each secret name begins, and where its = or : ends."""
         for m in ASSIGNMENT.finditer(text):
             end = m.start()
             while end and text[end - 1] in " \t\"'`])":
                 end -= 1
-            name = re.findall("[A-Za-z]+", text[max(0, end - BEFORE) : end])[-1:]
+            window = text[max(0, end - BEFORE) : end]
             # A name may be followed by digits or underscores: key_2 = ...
-            if not name or re.search(r"[A-Za-z][0-9_\-]*$", text[max(0, end - BEFORE) : end]) is None or not _is_name(name[0]):
-                continue
-            if value := VALUE.match(text, m.end()):
-                kind = value.lastindex
-                low, high = value.span(kind)
-                if kind == 4:
-                    while high > low and text[high - 1] in BARE_END:
-                        high -= 1
-                if high > low:
-                    spans.add((low, high))
-        return (Found(text, low, high) for low, high in sorted(spans))
+            if NAMED.search(window) and _is_name(re.findall("[A-Za-z]+", window)[-1]):
+                yield end - len(NAME_SIGNS.search(window)[0]), m.end()
 
 
 CANDIDATE = Candidates()
@@ -177,6 +198,8 @@ def features(before: str, found: str, after: str, transitions: np.ndarray, words
         float(before[-1:] in tuple("\"'`") and after[:1] in tuple("\"'`") if before and after else 0.0),
         float(len(near)),
         sum(not c.isalnum() and c not in "+/_-" for c in body) / len(body),
+        float(after[:1] == "@" and re.search(r"://[^\s/:@]*:$", before) is not None),
+        float(after[:1] in tuple("({[<")) if after else 0.0,
     ]
 
 
@@ -226,6 +249,7 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
     picked = picked.select("h", F.substring("t", 1, 160).alias("lead"), F.substring("t", 161, 80).alias("tail"), F.sha1("t").alias("hex"), F.sha2("t", 256).alias("hex256"), F.md5("t").alias("hex128"), F.regexp_replace(F.base64(F.unhex(F.sha2("t", 256))), "[\r\n]", "").alias("b64"), words.alias("w"))
     name = F.element_at(F.array(*[F.lit(n) for n in ("token", "api_key", "SECRET", "password", "auth_token", "TOKEN", "private_key", "access_key")]), (F.pmod("h", F.lit(8)) + 1).cast("int"))
     quote = F.when(F.pmod("h", F.lit(3)) == 0, F.lit("'")).when(F.pmod("h", F.lit(3)) == 1, F.lit('"')).otherwise(F.lit('"'))
+    bare_sign = F.element_at(F.array(*map(F.lit, "!#@$%*^~")), (F.pmod("h", F.lit(8)) + 1).cast("int"))
     digits = F.lpad(F.pmod(F.xxhash64("hex"), F.lit(10**16)).cast("string"), 16, "7")
     joined = F.concat_ws("-", F.slice(F.filter("w", lambda x: F.length(x) > 3), 1, 5), F.pmod("h", F.lit(100)).cast("string"))
     long = F.filter("w", lambda x: F.length(x) > 3)
@@ -249,11 +273,22 @@ def labelled_findings(docs: DataFrame, texts: int = TRAINING_TEXTS, text_column:
         (F.concat(name, F.lit(" = "), quote, F.substring(one, 1, 6), F.pmod("h", F.lit(10)), F.substring("hex", 1, 2), quote), 1),
         (F.concat(name, F.lit(": "), F.substring("b64", 1, 10)), 1),
         (F.concat(F.lit("pwd: "), quote, F.initcap(F.substring(one, 1, 5)), figure, sign, F.pmod("h", F.lit(10)), F.lit("!"), F.substring(two, 1, 5), quote), 1),
-        (F.concat(name, F.lit("="), F.substring("hex256", 1, 5), sign, F.substring("b64", 5, 6)), 1),
+        (F.concat(name, F.lit("="), F.substring("hex256", 1, 5), bare_sign, F.substring("b64", 5, 6)), 1),
         (F.concat(name, F.lit(" = "), quote, F.substring(mixed, 1, 18), quote), 1),
         (F.concat(name, F.lit(" = "), quote, F.translate(F.substring("hex256", 1, 18), "0123456789", "ghjkmnpqrs"), quote), 1),
         (F.concat(F.lit("passphrase = "), quote, F.concat_ws("-", one, two, three, four), quote), 1),
         (F.concat(F.lit("passphrase: "), quote, F.concat_ws(" ", one, two, three, four), quote), 1),
+        (F.concat(F.lit("Authorization: Basic "), F.substring("b64", 3, 16)), 1),
+        (F.concat(F.lit("Authorization: Bearer "), F.substring("hex", 1, 4), F.substring("b64", 1, 6)), 1),
+        (F.concat(F.lit("passcode="), F.substring("hex256", 1, 4), F.pmod("h", F.lit(10))), 1),
+        (F.concat(one, F.lit("://"), two, F.lit(":"), F.substring(three, 1, 6), figure, F.lit("@db.example.org/"), four), 1),
+        (F.concat(F.lit("https://"), one, F.lit(":"), F.substring("b64", 1, 12), F.lit("@example.org/"), two), 1),
+        (F.concat(F.lit("GET /"), one, F.lit("?token="), F.substring("hex128", 1, 20), F.lit("&page="), figure), 1),
+        (F.concat(F.lit("https://"), one, F.lit(":${"), F.upper(two), F.lit("}@example.org/")), 0),
+        (F.concat(F.lit("https://"), one, F.lit(":***@example.org/")), 0),
+        (F.concat(F.lit("Authorization: "), F.element_at(F.array(*map(F.lit, ("none", "required", "optional", "granted"))), (F.pmod("h", F.lit(4)) + 1).cast("int"))), 0),
+        (F.concat(F.lit("GET /"), one, F.lit("?key="), two, F.lit("&token="), three, F.lit("&page="), figure), 0),
+        (F.concat(F.lit("passcode: "), two), 0),
         (F.concat(name, F.lit(": "), one), 0),
         (F.concat(name, F.lit(" = "), quote, two, quote), 0),
         (F.concat(F.lower(name), F.lit(" = "), F.element_at(F.array(*map(F.lit, ("None", "null", "true", "false", "str", "required", "***", "public"))), (F.pmod("h", F.lit(8)) + 1).cast("int"))), 0),
@@ -285,8 +320,9 @@ def scan(docs: DataFrame, key_columns: list[str], threshold: float = 0.5, text_c
     Returns one row per candidate: the key columns, ``start``, ``finish``,
     ``found``, ``score`` (probability of a secret) and ``secret``. A candidate is a
     run of at least 16 letters, digits and ``+/_-`` with a digit among them, or a
-    quoted or bare value, whatever its length and signs, behind a secret name and
-    = or : on the same line; a bare value ends at white space or a quote.
+    quoted or bare value, whatever its length, behind a secret name and = or : on the
+    same line (see ``Candidates`` for where it ends), or the password in
+    ``://user:password@``. Finding and features take time in proportion to the text.
     ``findings`` (``text``, ``from``, ``label``) replaces the ones derived from the
     documents. Null and empty texts have no candidates; equal rows are scanned as
     often as they come; keys may be null; a table without enough text to derive
@@ -313,8 +349,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", text_column: str = "text",
     keys = {"_s1": F.xxhash64(text_column), "_s2": F.xxhash64(F.lit(1), F.col(text_column))}
     keyed = docs.withColumns(keys)
     found = scan(keyed, ["_s1", "_s2"], text_column=text_column, **options).where("secret")
-    # As many as a text holds; copies of a text share them.
-    spans = found.groupBy("_s1", "_s2").agg(F.sort_array(F.collect_set(F.struct("start", "finish"))).alias("_spans"))
+    # As many as a text holds; copies of a text share them. Saved, so that the join may
+    # split a text with very many copies.
+    spans = saved(found.groupBy("_s1", "_s2").agg(F.sort_array(F.collect_set(F.struct("start", "finish"))).alias("_spans")), "secret-spans")
     joined = keyed.join(spans, ["_s1", "_s2"], "left")
     # Offsets are in code points, as substring counts them. Spans that overlap get one mark.
     def replaced(s, x):
