@@ -19,7 +19,8 @@ def reject_odd(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = {"_q1": F.xxhash64("text"), "_q2": F.xxhash64(F.lit(1), F.col("text"))}
     # The verdict depends on text and language only, so rows with both equal share it.
     verdicts = quality_rules.judge(docs.select(F.struct(*[k.alias(n) for n, k in keys.items()], "lang").alias("key"), "text", "lang"), id_column="key")
-    rejected = verdicts.where("NOT kept").select("key").distinct()
+    # Saved, so that the join may split a text with very many copies.
+    rejected = saved(verdicts.where("NOT kept").select("key").distinct(), "rejected")
     marked = docs.withColumn("key", F.struct(*[k.alias(n) for n, k in keys.items()], "lang"))
     return marked.join(rejected, "key", "left_anti").select(*docs.columns)
 
