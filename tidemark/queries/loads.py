@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import surrogate_id
 from tidemark.ingest import commerce, entities, merge, metrics
 from tidemark.ingest.storage import MetricStore
+from tidemark.ingest.versions import VersionedStore
 from tidemark.operators.rank import survivor_per_group
 from tidemark.operators.normalise import normalise_metrics
 from tidemark.functions.text import canonical_page_id
@@ -253,6 +254,76 @@ def load_pipeline(spark, folder):
     return joined.select("name", "account", "k", "metric_date", "value", "provenance")
 
 
+_VERSIONED = "id bigint, config_signature string, channel string, name string, period string, channeled_account_id bigint, page_id bigint"
+
+
+def _versioned(spark, folder):
+    """An empty store, a batch with resolved accounts, and what of it comes late with larger values."""
+    accounts = T.entities(spark, folder)["channeled_accounts"]
+    batch = metrics.resolve_keys(_metric_batch(spark, folder), {"channeled_account": (accounts, "platform_id")})
+    late = batch.where("metric_date >= DATE '2024-01-10'").withColumn("value", F.col("value") + 1)
+    return VersionedStore(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", _VERSIONED), batch, late
+
+
+class _Broken(Exception):
+    pass
+
+
+_LOADED = """(SELECT COUNT(DISTINCT (name, user_id, k)) FROM {0}) AS configs, (SELECT COUNT(*) FROM {0}) AS provenance,
+    (SELECT COUNT(DISTINCT user_id) FROM {0}) AS accounts"""
+
+
+@query(
+    "j8_atomic_load",
+    f"""WITH {_BATCH}, early AS (SELECT * FROM b WHERE d < DATE '2024-01-20'),
+    f AS (SELECT name, user_id, k, d, arg_max(value, event_id) AS value FROM early GROUP BY 1, 2, 3, 4),
+    l AS (SELECT name, user_id, k, d, arg_max(value, event_id) + CASE WHEN d >= DATE '2024-01-10' THEN 1 ELSE 0 END AS value FROM b GROUP BY 1, 2, 3, 4)
+    SELECT step, (SELECT COUNT(*) FROM f) AS facts, (SELECT R(SUM(value)) FROM f) AS total, {_LOADED.format("early")}
+    FROM (VALUES ('batch'), ('configs'), ('facts'), ('provenance'), ('watermarks')) AS s(step)
+    UNION ALL SELECT 'done', (SELECT COUNT(*) FROM l), (SELECT R(SUM(value)) FROM l), {_LOADED.format("b")}""",
+)
+def atomic_load(spark, folder):
+    """A load that breaks after each of its steps leaves all tables as they were; the next one changes all at once."""
+    store, batch, late = _versioned(spark, folder)
+    store.load(batch.where("metric_date < DATE '2024-01-20'"), "first")
+
+    def state(step):
+        now = store.version()
+        facts = now.read("facts").agg(F.count("*").alias("facts"), F.sum("value").alias("total"))
+        marks = now.read("watermarks").agg(F.count_distinct("channeled_account_id").alias("accounts"))
+        counts = [now.read(name).agg(F.count("*").alias(name)) for name in ("configs", "provenance")]
+        # One row each.
+        return facts.select(F.lit(step).alias("step"), "*", *[c.scalar().alias(c.columns[0]) for c in (*counts, marks)])
+
+    seen = None
+    for step in ("batch", "configs", "facts", "provenance", "watermarks"):
+
+        def stop(done, at=step):
+            if done == at:
+                raise _Broken(at)
+
+        try:
+            store.load(late, "second", on_step=stop)
+        except _Broken:
+            seen = state(step) if seen is None else seen.union(state(step))
+    store.load(late, "second")
+    return seen.union(state("done"))
+
+
+@query(
+    "d15_watermarks",
+    f"""WITH {_BATCH} SELECT 'ads' AS channel, user_id AS channeled_account_id, MAX(d) AS last_day FROM b GROUP BY 2""",
+)
+def watermarks(spark, folder):
+    """Largest dates that loads keep by month: early, late and repeated loads, and a channel that is purged again."""
+    store, batch, late = _versioned(spark, folder)
+    early = batch.where("metric_date < DATE '2024-01-20'")
+    other = metrics.signature_of(early.withColumns({"channel": F.lit("other"), "metric_date": F.date_add("metric_date", 60)}))
+    for load, part in (("first", early), ("other", other), ("late", late), ("repeat", early)):
+        store.load(part, load)
+    return store.purge_channel("OTHER", "purge").last_loaded_day()
+
+
 def _order_batch(spark, folder):
     """Line items as order rows: an order comes once per line."""
     lines = T.table(spark, folder, "lineitem")
