@@ -136,6 +136,49 @@ def test_alert_lines_evaluate_their_trees(spark, rows):
     assert rows(got, "line_id", "evaluated_value", "status") == [(1, 1500.0, "triggered"), (2, 9.0, "ok")]
 
 
+FILTER_SETS = [{}, {"channeled_account_id": 1}, {"channeled_account_id": 2}, {"page": 4}, {"period": "daily", "page": 3}]
+
+
+def _watched():
+    """50 lines over five filter sets, with several trees and metrics that are answered apart."""
+    trees = [
+        metric("x.spend"), metric("x.clicks"), op("/", metric("x.spend"), metric("x.clicks")), op("-", metric("x.clicks"), value(3)),
+        op("+", metric("x.spend"), metric("x.results")), metric("x.impressions"), op("max", metric("x.results"), metric("x.clicks")),
+        op("abs_diff", metric("x.results"), metric("x.spend")), metric("x.results"), value(7),
+    ]
+    return [{"alert_id": k, "line_id": n, "tree": tree, "filters": FILTER_SETS[k % 5]} for n, tree in enumerate(trees) for k in range(5)]
+
+
+@pytest.mark.parametrize("group", ["daily", "page"])
+def test_shared_leaves_change_no_line(spark, rows, group):
+    listed = [
+        fact(n, v, d, channel="x", account=a, page=p, country=c)
+        for n, v, d, a, p, c in (
+            ("spend", 10, "2026-01-01", 1, 4, 117), ("clicks", 4, "2026-01-01", 1, 4, 117), ("clicks", 6, "2026-01-02", 2, 3, 1),
+            ("spend", 5, "2026-01-03", 2, 4, None), ("results", 2, "2026-01-03", 1, 3, 117), ("impressions", 50, "2026-01-04", 2, 3, 117), ("position", 3, "2026-01-04", 2, 3, 117),
+        )
+    ]
+    pages = spark.createDataFrame([(3, "a"), (4, "a")], "id long, url string")
+    known = Star(facts=star(spark, *listed).facts, entities={"pages": pages})
+    lines = [*_watched(), {"alert_id": 9, "line_id": 0, "tree": op("+", metric("x.position"), metric("x.clicks"))}]
+    got = A.alert_series(known, lines, "2026-01-01", "2026-01-31", group)
+    want = []
+    checked = lines[::4]  # of all filter sets and shapes
+    for line in checked:
+        alone = P.evaluate_kpi(known, line["tree"], "2026-01-01", "2026-01-31", group, line.get("filters"))
+        want += [(line["alert_id"], line["line_id"], *((r.key, r.value) if "key" in alone.columns else (None, r.value))) for r in alone.collect()]
+    asked = {(line["alert_id"], line["line_id"]) for line in checked}
+    assert [r for r in rows(got) if r[:2] in asked] == sorted(want, key=repr) and want
+
+
+def test_fifty_lines_over_five_filter_sets_read_the_facts_five_times(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    spark.createDataFrame([fact("spend", 10, "2026-01-01", channel="x")], FACTS).write.parquet(path)
+    series = A.alert_series(Star(facts=spark.read.parquet(path)), _watched(), group_by="daily")
+    plan = series._jdf.queryExecution().optimizedPlan().toString()
+    assert len(_watched()) == 50 and plan.count("Relation [") <= 5
+
+
 def _alert(spark, rows, method, points, upper=None, lower=None):
     alerts = spark.createDataFrame([(1, 1, method, upper, lower)], "alert_id long, line_id long, aggregation_method string, upper_limit double, lower_limit double")
     series = spark.createDataFrame([(1, 1, k, v) for k, v in points], "alert_id long, line_id long, key string, value double")

@@ -288,6 +288,18 @@ def test_event_log_files(spark, tmp_path, rows):
         assert rows(fallbacks.fallback_by_channel(events), "channel", "events") == [("alpha", 2), ("beta", 1), ("unknown", 1)]
 
 
+def test_orphans_read_a_table_once_and_combine_first(spark, tmp_path, rows):
+    entities = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
+    spark.createDataFrame([(1, None), (1, 2), (None, None)], "page long, parent long").write.parquet(str(tmp_path / "facts"))
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    users = [(facts, "page"), (facts, "parent")]
+    assert rows(R.orphans(entities, "id", users)) == [(3,), (None,)]
+    assert rows(R.without_orphans(entities, "id", users)) == [(1,), (2,)]
+    plan = R.orphans(entities, "id", users)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [") == 1
+    assert "partial" in plan.executedPlan().toString() or plan.executedPlan().toString().count("HashAggregate") >= 2
+
+
 def test_event_sink_appends_by_day(spark, tmp_path):
     events = spark.createDataFrame([("2026-01-01 10:00:00", 1), ("2026-01-02 10:00:00", 2)], "timestamp string, n long")
     path = str(tmp_path / "log")

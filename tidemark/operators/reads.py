@@ -191,22 +191,35 @@ def coverage(facts: DataFrame, today: str, days: int, by: Sequence[str] = ("chan
     )
 
 
-def without_orphans(df: DataFrame, key: str, users: Sequence[tuple[DataFrame, str]]) -> DataFrame:
-    """Rows some other table still refers to."""
-    used = None
+def _used_keys(users: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """Each key that some table refers to, once.
+
+    A table named with several columns is read once. Keys are made distinct, so
+    tasks combine theirs first: what is shuffled grows with the distinct keys a
+    task sees and not with its rows, and a key that a third of all rows refer to
+    arrives once per task.
+    """
+    columns: dict[int, tuple[DataFrame, list[str]]] = {}
     for frame, column in users:
-        part = frame.select(F.col(column).alias("__used")).filter(F.col("__used").isNotNull())
+        named = columns.setdefault(id(frame), (frame, []))[1]
+        if column not in named:
+            named.append(column)
+    used = None
+    for frame, named in columns.values():
+        keys = F.col(named[0]) if len(named) == 1 else F.explode(F.array(*named))
+        part = frame.select(keys.alias("__used")).filter(F.col("__used").isNotNull())
         used = part if used is None else used.unionByName(part)
-    return df.join(used, F.col(key) == F.col("__used"), "left_semi")
+    return used.distinct()
+
+
+def without_orphans(df: DataFrame, key: str, users: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """Rows some other table still refers to."""
+    return df.join(_used_keys(users), F.col(key) == F.col("__used"), "left_semi")
 
 
 def orphans(df: DataFrame, key: str, users: Sequence[tuple[DataFrame, str]]) -> DataFrame:
-    """Rows no other table refers to."""
-    used = None
-    for frame, column in users:
-        part = frame.select(F.col(column).alias("__used")).filter(F.col("__used").isNotNull())
-        used = part if used is None else used.unionByName(part)
-    return df.join(used, F.col(key) == F.col("__used"), "left_anti")
+    """Rows no other table refers to; rows without a key are such rows."""
+    return df.join(_used_keys(users), F.col(key) == F.col("__used"), "left_anti")
 
 
 def error_lines(lines: DataFrame, keep: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import next_evaluation
 from tidemark.functions.formulas import MetricDictionary
 from tidemark.model import Star
-from tidemark.plans.kpi import evaluate_kpi
+from tidemark.plans.kpi import evaluate_kpis
 
 # How a series becomes the number a threshold is held against.
 REDUCTIONS = ("sum", "avg", "min", "max", "latest")
@@ -83,13 +83,13 @@ def alert_series(
     """The KPI series behind each alert line, as ``evaluate_alerts`` takes them.
 
     A line has ``alert_id``, ``line_id``, ``tree`` and, if it watches single assets,
-    ``filters``. Each line is one KPI, with the filters and scopes of any request.
+    ``filters``. The leaves of all lines are answered together: lines that watch the
+    same channel and filters share one request, so facts are read once per distinct
+    filter set, however many lines there are.
     """
-    series = None
-    for line in lines:
-        points = evaluate_kpi(star, line["tree"], start_date, end_date, group_by, line.get("filters"), derived, dictionary)
-        part = points.select(F.lit(line["alert_id"]).cast("long").alias("alert_id"), F.lit(line["line_id"]).cast("long").alias("line_id"), "key", "value")
-        series = part if series is None else series.unionByName(part)
-    if series is None:
+    if not lines:
         raise ValueError("no alert lines")
-    return series
+    points = evaluate_kpis(star, [(line["tree"], line.get("filters")) for line in lines], start_date, end_date, group_by, derived, dictionary)
+    ids = F.array(*[F.struct(F.lit(line["alert_id"]).cast("long").alias("alert_id"), F.lit(line["line_id"]).cast("long").alias("line_id")) for line in lines])
+    named = points.withColumn("__line", F.element_at(ids, F.col("at") + 1))
+    return named.select("__line.alert_id", "__line.line_id", "key" if "key" in points.columns else F.lit(None).alias("key"), "value")

@@ -1,4 +1,4 @@
-"""KPI trees over metrics, each batch of leaves answered by one aggregate request.
+"""KPI trees over metrics, each batch of leaves answered by one aggregate request, also across trees.
 
 A tree is a nested mapping:
 
@@ -13,7 +13,7 @@ Leaves are ``metric`` (``channel.name`` with own filters), ``value`` and
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -106,69 +106,133 @@ def _leaves(tree: Mapping[str, Any], shared: Mapping[str, Any]) -> list[_Leaf]:
     return []
 
 
-def evaluate_kpi(
+def _shared_kind(metrics: tuple[str, ...]) -> tuple[str, ...]:
+    """What leaves must have in common to be asked together without changing an answer.
+
+    Plain sums and ratios do not depend on their neighbours. Weighted and
+    time-weighted metrics change how a whole request is answered, so such a
+    request is shared only with trees that ask the same metrics.
+    """
+    names = [m.strip().lower() for m in metrics]
+    special = any(n in M.WEIGHTED_METRICS or n.removesuffix("_daily") in M.TIME_WEIGHTED_METRICS for n in names)
+    return metrics if special else ()
+
+
+def evaluate_kpis(
     star: Star,
-    tree: str | Mapping[str, Any],
+    trees: Sequence[tuple[str | Mapping[str, Any], Mapping[str, Any] | None]],
     start_date: str | None = None,
     end_date: str | None = None,
     group_by: str | None = None,
-    filters: Mapping[str, Any] | None = None,
     derived: Mapping[int, Mapping[str, Any]] | None = None,
     dictionary: M.MetricDictionary | None = None,
 ) -> DataFrame:
-    """A KPI as a series ``(key, value)``, or as one row without ``group_by``.
+    """Many KPIs at once: ``at`` (place of the tree in the list), ``key`` with ``group_by``, and ``value``.
 
-    Leaves with the same channel and filters are one aggregate request, so they
-    share a read and have the filters, scopes, groups and measures of any request.
-    The results are stacked and aligned by key. For each leaf the series of keys it
-    has is kept apart from its value: adding two series takes the keys of either,
-    adding a number takes the series' own.
+    ``trees`` are pairs of a tree and the filters of all its leaves. Leaves with the
+    same channel and filters, of whatever tree, are one aggregate request, so the
+    facts are read once per distinct filter set and not once per tree. The answers
+    are stacked and aligned by key. For each leaf the series of keys it has is kept
+    apart from its value: adding two series takes the keys of either, adding a
+    number takes the series' own.
     """
-    tree = inline_derived(parse_tree(tree), derived or {})
-    leaves = list(dict.fromkeys(_leaves(tree, filters or {})))
-    batches = {b: i for i, b in enumerate(dict.fromkeys(leaf.batch for leaf in leaves))}
-    answers = []
-    for batch in batches:
-        channel, pairs = batch
-        asked = {k: json.loads(v) for k, v in pairs}
+    parsed = [(inline_derived(parse_tree(tree), derived or {}), filters or {}) for tree, filters in trees]
+    # The request of each leaf of each tree; equal requests of several trees are one.
+    asked: dict[tuple, dict[str, str]] = {}
+    places: list[dict[_Leaf, tuple[tuple, str]]] = []
+    for tree, filters in parsed:
+        leaves = list(dict.fromkeys(_leaves(tree, filters)))
+        place = {}
+        for batch in dict.fromkeys(leaf.batch for leaf in leaves):
+            names = tuple(dict.fromkeys(leaf.metric for leaf in leaves if leaf.batch == batch))
+            measures = asked.setdefault((*batch, _shared_kind(names)), {})
+            for leaf in leaves:
+                if leaf.batch == batch:
+                    known = next((alias for alias, metric in measures.items() if metric == leaf.metric), None)
+                    if known is None:
+                        known = f"__v{sum(map(len, asked.values()))}"
+                        measures[known] = leaf.metric
+                    place[leaf] = ((*batch, _shared_kind(names)), known)
+        places.append(place)
+    answers = {}
+    for request, measures in asked.items():
+        channel, pairs, _ = request
+        wanted = {k: json.loads(v) for k, v in pairs}
         if channel not in (None, "global"):
-            asked["channel"] = channel
-        measures = {f"__v{n}": leaf.metric for n, leaf in enumerate(leaves) if leaf.batch == batch}
+            wanted["channel"] = channel
         groups = [group_by] if group_by is not None else []
-        answers.append((aggregate(star, AggregateRequest(measures, groups, asked, start_date, end_date), dictionary), measures))
-    # Names may repeat among the members of a relation, so ids align them where all answers have ids.
-    by_id = group_by is not None and all(f"{group_by}_id" in answer.columns for answer, _ in answers)
-    stacked = None
-    for i, (answer, measures) in enumerate(answers):
-        key = {} if group_by is None else {"key": F.col(f"`{group_by}`"), "__align": F.col(f"`{group_by}_id`" if by_id else f"`{group_by}`")}
-        part = answer.select(*[c.alias(n) for n, c in key.items()], *measures, F.lit(True).alias(f"__p{i}"))
-        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
-    values = [F.max(c).alias(c) for c in (stacked.columns if stacked is not None else []) if c.startswith(("__v", "__p"))]
-    if stacked is None:
-        row = star.frame().sparkSession.range(1)
-    elif group_by is None:
-        row = stacked.agg(*values)
-    else:
-        row = stacked.groupBy("__align").agg(F.max("key").alias("key"), *values)
+        answers[request] = aggregate(star, AggregateRequest(measures, groups, wanted, start_date, end_date), dictionary)
+    numbers = {request: i for i, request in enumerate(answers)}
+    # Names may repeat among the members of a relation, so ids align a tree where all its answers have ids.
+    has_ids = {request: group_by is not None and f"{group_by}_id" in answer.columns for request, answer in answers.items()}
 
-    def fold(node: Mapping[str, Any]) -> tuple[Column, Column | None]:
+    def fold(node: Mapping[str, Any], filters: Mapping[str, Any], place: Mapping[_Leaf, tuple[tuple, str]]) -> tuple[Column, Column | None]:
         """Value and, for a series, whether it has the key at hand."""
         if node["type"] == "value":
             return F.lit(float(node["value"])), None
         if node["type"] == "metric":
-            leaf = _Leaf.of(node, filters or {})
-            value = F.coalesce(F.col(f"__v{leaves.index(leaf)}"), F.lit(0.0))
-            has = F.col(f"__p{batches[leaf.batch]}")
+            request, alias = place[_Leaf.of(node, filters)]
+            value, has = F.coalesce(F.col(alias), F.lit(0.0)), F.col(f"__p{numbers[request]}")
             return (F.when(has, value).otherwise(F.lit(0.0)), has) if group_by is not None else (value, None)
-        (left, l_has), (right, r_has) = fold(node["left"]), fold(node["right"])
+        (left, l_has), (right, r_has) = fold(node["left"], filters, place), fold(node["right"], filters, place)
         value = combine(node["operator"], left, right)
         has = l_has if r_has is None else r_has if l_has is None else (l_has | r_has)
         return (value, None) if has is None else (F.when(has, value).otherwise(F.lit(0.0)), has)
 
-    value, has = fold(tree)
-    if group_by is None or stacked is None:
-        return row.select(value.alias("value"))
-    return row.filter(has if has is not None else F.lit(True)).select("key", value.alias("value"))
+    alike: dict[str | None, list[int]] = {}
+    for at, place in enumerate(places):
+        requests = {request for request, _ in place.values()}
+        kind = None if not requests else "ids" if all(has_ids[r] for r in requests) else "names"
+        alike.setdefault(kind, []).append(at)
+    found = None
+    for kind, members in alike.items():
+        used = [r for r in answers if any(r == request for at in members for request, _ in places[at].values())]
+        row = _aligned(star, {r: answers[r] for r in used}, asked, numbers, group_by, kind == "ids")
+        keyed = group_by is not None and kind is not None
+        points = []
+        for at in members:
+            tree, filters = parsed[at]
+            value, has = fold(tree, filters, places[at])
+            shown = F.lit(True) if has is None or not keyed else F.coalesce(has, F.lit(False))
+            points.append(F.struct(F.lit(at).alias("at"), value.cast("double").alias("value"), shown.alias("shown")))
+        listed = row.select(*(["key"] if keyed else []), F.explode(F.array(*points)).alias("__point")).filter("__point.shown")
+        part = listed.select(F.col("__point.at").alias("at"), *(["key"] if keyed else []), F.col("__point.value").alias("value"))
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("no KPI trees")
+    return found
+
+
+def _aligned(
+    star: Star, answers: Mapping[tuple, DataFrame], asked: Mapping[tuple, Mapping[str, str]], numbers: Mapping[tuple, int], group_by: str | None, by_id: bool
+) -> DataFrame:
+    """One row per key with the measures of all answers (``__v``) and which of them have the key (``__p``)."""
+    stacked = None
+    for request, answer in answers.items():
+        key = {} if group_by is None else {"key": F.col(f"`{group_by}`"), "__align": F.col(f"`{group_by}_id`" if by_id else f"`{group_by}`")}
+        part = answer.select(*[c.alias(n) for n, c in key.items()], *asked[request], F.lit(True).alias(f"__p{numbers[request]}"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    if stacked is None:
+        return star.frame().sparkSession.range(1)
+    values = [F.max(c).alias(c) for c in stacked.columns if c.startswith(("__v", "__p"))]
+    if group_by is None:
+        return stacked.agg(*values)
+    return stacked.groupBy("__align").agg(F.max("key").alias("key"), *values)
+
+
+def evaluate_kpi(
+    star: Star,
+    tree: str | Mapping[str, Any],
+    start_date: str | None = None,
+    end_date: str | None = None,
+    group_by: str | None = None,
+    filters: Mapping[str, Any] | None = None,
+    derived: Mapping[int, Mapping[str, Any]] | None = None,
+    dictionary: M.MetricDictionary | None = None,
+) -> DataFrame:
+    """A KPI as a series ``(key, value)``, or as one row without ``group_by``."""
+    found = evaluate_kpis(star, [(tree, filters)], start_date, end_date, group_by, derived, dictionary)
+    return found.drop("at")
 
 
 def combine_series(left: DataFrame, right: DataFrame, operator: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.operators import stats
 from tidemark.plans import alerts as A
 from tidemark.plans import kpi as P
 from tidemark.queries import registry
-from tidemark.queries.registry import EVENTS, SEARCH, sums
+from tidemark.queries.registry import ADS, EVENTS, SEARCH, sums
 from tidemark.sources import tables as T
 
 JANUARY = ("2024-01-01", "2024-01-31")
@@ -397,6 +397,41 @@ def alerts_from_trees(spark, folder):
     return A.evaluate_alerts(alerts, A.alert_series(T.event_star(spark, folder), lines, *JANUARY))
 
 
+# Alert lines over ads facts: ten shapes of tree, each watched for five shares of the audience.
+_AUDIENCES = [{"dimensions.gender": "A"}, {"dimensions.gender": "N"}, {"dimensions.gender": "R"}, {"dimensions.age": "O"}, {"dimensions.age": "F"}]
+_SHAPES = (
+    (metric("clicks"), "c"),
+    (metric("spend"), "s"),
+    (op("/", metric("spend"), metric("clicks")), "COALESCE(s / NULLIF(c, 0), 0)"),
+    (op("+", metric("clicks"), metric("impressions")), "c + i"),
+    (op("-", metric("impressions"), metric("results")), "i - r"),
+    (op("max", metric("results"), metric("clicks")), "GREATEST(r, c)"),
+    (op("min", metric("results"), metric("clicks")), "LEAST(r, c)"),
+    (op("avg", metric("impressions"), metric("clicks")), "(i + c) / 2"),
+    (op("abs_diff", metric("impressions"), metric("clicks")), "ABS(i - c)"),
+    (op("*", metric("clicks"), metric("results")), "c * r"),
+)
+_LINES = [(5 * n + k + 1, k, n) for n in range(len(_SHAPES)) for k in range(5)]
+_PARTS = " UNION ALL ".join(
+    f"SELECT {k} AS k, d, {CLICKS} AS c, {SPEND} AS s, {VIEWS} AS i, {RESULTS} AS r FROM ad WHERE {name.partition('.')[2]} = '{value}' GROUP BY d"
+    for k, audience in enumerate(_AUDIENCES)
+    for name, value in audience.items()
+)
+
+
+@query(
+    "k18_alerts_over_shared_leaves",
+    f"""WITH {ADS}, p AS ({_PARTS}), e AS ({" UNION ALL ".join(f"SELECT 5 * {n} + k + 1 AS alert_id, AVG({sql}) AS ev FROM p GROUP BY k" for n, (_, sql) in enumerate(_SHAPES))})
+    SELECT CAST(alert_id AS BIGINT) AS alert_id, CAST(1 AS BIGINT) AS line_id, R(ev) AS evaluated_value, CASE WHEN ev > 100 THEN 'triggered' ELSE 'ok' END AS status,
+    CASE WHEN ev > 100 THEN 'upper' END AS threshold_type, R(CASE WHEN ev > 100 THEN 100 END) AS threshold_value FROM e""",
+)
+def alerts_over_shared_leaves(spark, folder):
+    """50 alert lines over five filter sets read the facts five times."""
+    lines = [{"alert_id": i, "line_id": 1, "tree": _SHAPES[n][0], "filters": _AUDIENCES[k]} for i, k, n in _LINES]
+    alerts = spark.createDataFrame([(i, 1, "avg", 100.0, None) for i, *_ in _LINES], "alert_id long, line_id long, aggregation_method string, upper_limit double, lower_limit double")
+    return A.evaluate_alerts(alerts, A.alert_series(T.ads_star(spark, folder), lines))
+
+
 @query("k19_due_alerts", "SELECT c_custkey AS alert_id FROM customer WHERE c_acctbal > -500 AND c_acctbal > 1000")
 def due(spark, folder):
     return A.due_alerts(_alerts(spark, folder), "2024-01-20 09:00:00").select("alert_id")
