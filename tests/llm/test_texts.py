@@ -285,6 +285,60 @@ def test_licenses():
     assert licenses.matches("the license was released and the copyright holders were licensed", index) == []
 
 
+def test_license_wordings():
+    index = licenses.Index(licenses.TEMPLATES, licenses.Scan())
+
+    def names(text):
+        return [m[0] for m in licenses.matches(text, index)]
+
+    assert names("Released under MIT License") == names("Released under an MIT License!") == ["mit/line"]
+    assert names("Licensed under CC BY-NC-SA 4.0.") == ["cc-by-nc-sa-4.0/line"]
+    assert names("Licensed under CC BY-NC 4.0.") == ["cc-by-nc-4.0/line"] and names("licensed under cc by 4.0") == ["cc-by-4.0/line"]
+    # Neither another license nor another version passes for one of the templates.
+    assert names("Released under the ABC License.") == names("Licensed under the Apache License, Version 1.1.") == []
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["lgpl-3.0/line"]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["gpl-2.0/line"]
+    extra = [m for m in licenses.matches("Licensed under the Apache License, Version dot 2.0", index)]
+    assert [m[0] for m in extra] == ["apache-2.0/line"] and extra[0][1] < 1
+    # Every one of many copies in a row counts.
+    line = "Released under the MIT License. "
+    assert names(line * 50) == ["mit/line"] * 50
+
+
+def test_edited_licenses_against_all_places():
+    """Candidates from fingerprints against alignments of all templates at all places."""
+    index = licenses.Index(licenses.TEMPLATES, licenses.Scan())
+    rng = np.random.default_rng(11)
+    got, want, short_got, short_want = 0, 0, 0, 0
+    for name in index.names:
+        for _ in range(6):
+            words = licenses.WORDS.findall(licenses.TEMPLATES[name].lower())
+            for _ in range(int(rng.integers(1, max(2, len(words) // 8)))):
+                at, kind = int(rng.integers(0, len(words))), rng.integers(0, 3)
+                words[at : at + (kind != 0)] = [] if kind == 1 else ["other"]
+            text = " ".join(["first", "words", "of", "the", "page", *words, "and", "under", "the", "last"])
+            ids = np.array([index.vocabulary.get(w, -1) for w in text.split()])
+            t = index.names.index(name)
+            there = any(index.match(t, ids, shift) is not None for shift in range(-len(index.words[t]), len(ids)))
+            found = any(index.match(t, ids, k - p) is not None for s, p, k in index.hits(ids) if s == t)
+            assert found <= there
+            got, want = got + found, want + there
+            short_got, short_want = short_got + (found and index.is_short(t)), short_want + (there and index.is_short(t))
+    assert short_got == short_want > 30 and got >= 0.9 * want and want > 80
+
+
+def test_overlaps_take_time_in_proportion():
+    index = licenses.Index(licenses.TEMPLATES, licenses.Scan())
+
+    def seconds(copies):
+        text, began = "Released under the MIT License.\n" * copies, time.perf_counter()
+        assert len(licenses.matches(text, index)) == copies
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(4000) < 12 * seconds(1000)
+
+
 def test_alignment_against_all_cells():
     rng = np.random.default_rng(7)
     for _ in range(30):
@@ -403,6 +457,18 @@ def test_grades_of_held_out_labels(spark, odd, nothing):
     assert {(r.expected_grade, r.tail, r.kept) for r in unlearned} == {(None, None, True)}
 
 
+def test_rows_of_one_id_are_learnt_alike(spark):
+    texts = [(k, f"words of page {k}") for k in range(40)] + [(k, f"another text {k} of it") for k in range(40)]
+    marks = [(k, k % 3) for k in range(40)] + [(k, (k + 1) % 3) for k in range(40)]
+    samples = []
+    for turn in (1, -1):
+        docs = spark.createDataFrame(texts[::turn], "doc_id long, text string").repartition(4 + turn)
+        labels = spark.createDataFrame(marks[::turn], "doc_id long, grade int")
+        features, given = grades.graded_sample(docs, labels, grades.Fit(), "doc_id", "text")
+        samples.append(([f.tolist() for f in features], given.tolist()))
+    assert samples[0] == samples[1] and samples[0][1] == [min(k % 3, (k + 1) % 3) for k in range(40)]
+
+
 def test_selection_cut():
     best = np.array([True] * 8 + [False] * 4)
     assert grades.selection_cut(np.array([0.9] * 8 + [0.2] * 4), best) == pytest.approx(0.25)

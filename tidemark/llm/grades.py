@@ -163,7 +163,8 @@ def rating(quality: str = "quality", toxic: str = "toxic"):
 def graded_sample(docs: DataFrame, labels: DataFrame, how: Fit, id_column: str, text_column: str) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of at most ``how.rows`` labelled rows, those with the least hashes of their ids."""
     picked = labels.where(F.col(id_column).isNotNull() & F.col("grade").isNotNull()).select(F.col(id_column).alias("id"), F.col("grade").cast("int").alias("grade"))
-    picked = picked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(how.rows)
+    # Of several rows of an id the least counts, so that reruns learn the same model.
+    picked = picked.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(how.rows)
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,8 @@ def graded_sample(docs: DataFrame, labels: DataFrame, how: Fit, id_column: str,
 
     kind = texts.schema["id"].dataType.simpleString()
     # A sample of fixed size, so it may be broadcast.
-    rows = texts.join(F.broadcast(picked), "id").select("id", "grade", "text").mapInArrow(hashed, f"id {kind}, grade int, features binary").dropDuplicates(["id"]).orderBy("id").collect()
+    made = texts.join(F.broadcast(picked), "id").select("id", "grade", "text").mapInArrow(hashed, f"id {kind}, grade int, features binary")
+    rows = made.groupBy("id").agg(F.min(F.struct("features", "grade")).alias("least")).select("id", "least.*").orderBy("id").collect()
     return [np.frombuffer(r.features, dtype=np.int32) for r in rows], np.array([r.grade for r in rows], dtype=np.int64)
 
 
@@ -187,7 +189,8 @@ def grade(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), least: float | N
     default the cut that served the labelled rows best).
     Null and empty texts are graded by their length alone. Without labels of two
     grades there is nothing to learn: expected grade null, tail null, kept true.
-    Equal rows get equal grades; an empty table gives no rows.
+    Of several texts or grades of one id the least features and the lowest grade are
+    learnt from. Equal rows get equal grades; an empty table gives no rows.
     """
     model = fit(*graded_sample(docs, labels, how, id_column, text_column), how)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the buckets

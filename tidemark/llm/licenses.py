@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +47,21 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
         "in the documentation and/or other materials provided with the distribution."
     ),
+    "bsd/disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "lgpl/header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "agpl-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
     "isc/text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
@@ -54,23 +70,30 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    "cc-by-nc-4.0/line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0/line": "Licensed under CC BY 4.0.",
-    "cc-by-sa-4.0/line": "Licensed under CC BY-SA 4.0.",
+    "mit/grant": "Licensed under the MIT License.",
+    "gpl-2.0/line": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-3.0/line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0/line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "bsd/line": "Licensed under the BSD License.",
+    "mpl-2.0/line": "Licensed under the Mozilla Public License, Version 2.0.",
     "cc-by-4.0/sentence": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
+TEMPLATES |= {f"cc-{kind}-4.0/line": f"Licensed under CC {kind.upper()} 4.0." for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")}
+# Words of a grant that do not say which license is granted. Fixed values.
+GRANT_WORDS = frozenset("a an the this is are work code file files software released licensed distributed available under with terms conditions of license licence version v and or".split())
 MAX_TEMPLATE_WORDS = 1_000_000
 WORDS = re.compile(r"[a-z0-9]+")
 
 
 @dataclass(frozen=True)
 class Scan:
-    """Words of a gram; grams of which one is kept; steps off the diagonal; least share of a template."""
+    """Words of a gram; grams of which one is kept; steps off the diagonal; least coverage; templates below so many words are short."""
 
     gram: int = 3
     window: int = 3
     band: int = 8
     coverage: float = 0.8
+    short: int = 16
 
 
 class Index:
@@ -82,20 +105,34 @@ class Index:
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORDS.findall(templates[n].lower())], dtype=np.int64) for n in self.names]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError("the templates are too large to be sent to every task")
-        places = defaultdict(list)
+        # Short templates keep every gram, of two words too: one edit leaves no winnowed one of them.
+        places: dict[int, dict[int, list[tuple[int, int]]]] = {size: defaultdict(list) for size in sorted({2, how.gram})}
         for t, words in enumerate(self.words):
-            for at in self._winnowed(self.grams(words)):
-                places[int(self.grams(words)[at])].append((t, at))
-        self.keys = np.array(sorted(places), dtype=np.int64)
-        self.places = [places[int(k)] for k in self.keys]
+            for size in places if self.is_short(t) else (how.gram,):
+                grams = self.grams(words, size)
+                for at in range(len(grams)) if self.is_short(t) else self._winnowed(grams):
+                    places[size][int(grams[at])].append((t, at))
+        self.keys = {size: np.array(sorted(found), dtype=np.int64) for size, found in places.items()}
+        self.places = {size: [found[int(k)] for k in self.keys[size]] for size, found in places.items()}
+        # Which license a short template grants is said by few of its words.
+        grants = {self.vocabulary[w] for w in GRANT_WORDS if w in self.vocabulary}
+        self.naming = [frozenset(words.tolist()) - grants if self.is_short(t) else frozenset() for t, words in enumerate(self.words)]
+        self.names_of_others = [frozenset().union(*self.naming) - frozenset(words.tolist()) if self.is_short(t) else frozenset() for t, words in enumerate(self.words)]
+
+    def is_short(self, t: int) -> bool:
+        return len(self.words[t]) < self.how.short
 
-    def grams(self, ids: np.ndarray) -> np.ndarray:
+    def band(self, t: int) -> int:
+        """Steps off the diagonal: never so many that the next copy of a short line is within reach."""
+        return min(self.how.band, len(self.words[t]) // 2)
+
+    def grams(self, ids: np.ndarray, size: int) -> np.ndarray:
         """A number for each gram; -1 where a word is in no template."""
-        n = len(ids) - self.how.gram + 1
+        n = len(ids) - size + 1
         if n < 1:
             return np.zeros(0, dtype=np.int64)
         out, known = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-        for k in range(self.how.gram):
+        for k in range(size):
             out = out * (len(self.vocabulary) + 1) + ids[k : n + k]
             known &= ids[k : n + k] >= 0
         return np.where(known, out, -1)
@@ -108,11 +145,34 @@ class Index:
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, place in it, place in the text) of shared fingerprints."""
-        grams = self.grams(ids)
-        if not len(grams) or not len(self.keys):
-            return []
-        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        return [(t, p, int(k)) for k in np.flatnonzero(self.keys[at] == grams) for t, p in self.places[at[k]]]
+        out = []
+        for size, keys in self.keys.items():
+            grams = self.grams(ids, size)
+            if len(grams) and len(keys):
+                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                out += [(t, p, int(k)) for k in np.flatnonzero(keys[at] == grams) for t, p in self.places[size][at[k]]]
+        return out
+
+    def match(self, t: int, ids: np.ndarray, shift: int) -> tuple[float, int, int, int] | None:
+        """(coverage, equal words, first, last + 1) if the template stands near ``shift``.
+
+        Coverage is the share of the template's words that are found in order; words
+        of the match beyond the template's length count as if they were wanted too. A
+        short template must be found with all its naming words and without those of
+        others: four of five words would let one license pass for another.
+        """
+        template, band = self.words[t], self.band(t)
+        near = frozenset(ids[max(0, shift - band) : max(0, shift + len(template) + band)].tolist())
+        # No alignment has more equal words than the template has words nearby.
+        if sum(w in near for w in template.tolist()) < self.how.coverage * len(template):
+            return None
+        n, first, last = aligned(template, ids, shift, band)
+        if not n or n < self.how.coverage * max(len(template), last - first):
+            return None
+        held = frozenset(ids[first:last].tolist())
+        if not self.naming[t] <= held or self.names_of_others[t] & held:
+            return None
+        return n / max(len(template), last - first), n, first, last
 
 
 def aligned(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -163,37 +223,43 @@ def matches(text: str, index: Index) -> list[tuple[str, float, int, int, int]]:
     spans = [m.span() for m in WORDS.finditer(low)]
     out = []
     for t, shifts in groups.items():
-        template = index.words[t]
         shifts.sort()
-        taken = -1
+        reach, taken = index.band(t) // 2, None
         for k, shift in enumerate(shifts):
-            if k and shift - shifts[k - 1] <= how.band // 2 and shift < taken:
+            if taken is not None and shift - shifts[k - 1] <= reach and shift < taken:
                 continue  # the same candidate
-            taken = shift + how.band // 2
-            n, first, last = aligned(template, ids, shift, how.band)
-            if n >= how.coverage * len(template) and len(template):
-                out.append((index.names[t], n / len(template), n, spans[first][0], spans[last - 1][1]))
+            taken = shift + reach
+            found_at = index.match(t, ids, shift)
+            if found_at is not None:
+                coverage, n, first, last = found_at
+                out.append((index.names[t], coverage, n, spans[first][0], spans[last - 1][1]))
     return _without_overlaps(out)
 
 
 def _without_overlaps(found: list[tuple[str, float, int, int, int]]) -> list[tuple[str, float, int, int, int]]:
     """Of matches that overlap, the one with most equal words, then the greatest coverage."""
     kept: list[tuple[str, float, int, int, int]] = []
+    starts: list[int] = []  # of the kept ones, which are disjoint and in order
     for match in sorted(found, key=lambda m: (-m[2], -m[1], m[3], m[0])):
-        if all(match[4] <= k[3] or match[3] >= k[4] for k in kept):
-            kept.append(match)
-    return sorted(kept, key=lambda m: (m[3], m[0]))
+        at = bisect_left(starts, match[3])
+        if (at == 0 or kept[at - 1][4] <= match[3]) and (at == len(kept) or kept[at][3] >= match[4]):
+            starts.insert(at, match[3])
+            kept.insert(at, match)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, how: Scan = Scan(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Matches of license templates in whole texts.
 
     Returns one row per match: id, ``license``, ``coverage`` (share of the
-    template's words that are found in order), ``n_words`` (those words), ``start``
-    and ``finish`` (characters). Words are runs of Latin letters and digits in
-    lower case. A match shares a winnowed fingerprint with its template, and
-    covers at least ``how.coverage`` of it within ``how.band`` words off the
-    diagonal. Of overlapping matches the longest is reported. Null and empty texts
+    template's words that are found in order, lowered by further words inside the
+    match), ``n_words`` (those words), ``start`` and ``finish`` (characters). Words
+    are runs of Latin letters and digits in lower case. A match shares a fingerprint
+    with its template (winnowed three-word grams; all grams of two and three words
+    of templates below ``how.short`` words), has at least ``how.coverage`` within
+    ``how.band`` words off the diagonal, for short templates half their length, and
+    holds all words that name the license of a short template and none that name
+    another. Of overlapping matches the longest is reported. Null and empty texts
     match nothing; equal rows are reported each; ids may be null. The index goes to
     every task: its size is limited to a million template words.
     """
