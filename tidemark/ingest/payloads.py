@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.positions import in_parts
+from tidemark.session import staged
+
 
 def json_pairs(data: Column) -> Column:
     """Map of a JSON object's keys to variants; text that is no object gives NULL."""
@@ -21,6 +24,45 @@ def _object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
+def _elements_once(parts: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """Each element of the arrays under a key once, with where it came first.
+
+    Repeats collapse map-side before anything is put together.
+    """
+    elements = parts.select(
+        *keys,
+        sequence,
+        "__key",
+        F.posexplode(F.transform(F.try_variant_get("__value", "$", "array<variant>"), lambda x: F.to_json(x))).alias("pos", "e"),
+    )
+    return elements.groupBy(*keys, "__key", "e").agg(F.min(F.struct(sequence, "pos")).alias("at"))
+
+
+def array_unions(
+    rows: DataFrame, keys: Sequence[str], sequence: str = "sequence", data: str = "data", at_most: int = 10_000
+) -> DataFrame:
+    """The unions of ``merged_payloads`` in ordered parts, for keys with very many elements.
+
+    One row per row key, JSON key and part: ``key``, ``part`` (from 0) and
+    ``elements``, JSON text of at most ``at_most`` elements in the order in which
+    they first came. Keys whose last value is no array have none. No row and no
+    task holds all elements of a key.
+    """
+    parts = rows.select(*keys, sequence, F.explode_outer(json_pairs(F.col(data))).alias("__key", "__value"))
+    once = _elements_once(parts.filter("__key IS NOT NULL"), keys, sequence)
+    is_array = F.schema_of_variant("__value").startswith("ARRAY")
+    last = parts.filter("__key IS NOT NULL").groupBy(*keys, "__key").agg(F.max_by(is_array, sequence).alias("__array"))
+    # Written as a side of its own, so Spark may split a key with most of the elements.
+    last = staged(last.filter("__array").select(*[F.col(c).alias(f"__of_{c}") for c in [*keys, "__key"]]), "arrays")
+    same = F.lit(True)
+    for c in [*keys, "__key"]:
+        same = same & once[c].eqNullSafe(last[f"__of_{c}"])
+    numbered = in_parts(once.join(last, same, "left_semi"), [*keys, "__key"], ["at", "e"], at_most)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]), ",")
+    text = F.concat(F.lit("["), joined, F.lit("]"))
+    return numbered.groupBy(*keys, F.col("__key").alias("key"), "part").agg(F.count("*").alias("size"), text.alias("elements"))
+
+
 def merged_payloads(
     rows: DataFrame, keys: Sequence[str], sequence: str = "sequence", data: str = "data", union_arrays: bool = False
 ) -> DataFrame:
@@ -28,20 +70,14 @@ def merged_payloads(
 
     With ``union_arrays`` a key whose last value is an array gets the union of
     its arrays instead. Payloads are taken apart first, so no task holds all the
-    payloads of a row at once.
+    payloads of a row at once. A union is one value; ``array_unions`` gives it in
+    bounded parts.
     """
     parts = rows.select(*keys, sequence, F.explode_outer(json_pairs(F.col(data))).alias("__key", "__value"))
     text = parts.select(*keys, sequence, "__key", F.to_json("__value").alias("v"))
     latest = text.groupBy(*keys, "__key").agg(F.max_by("v", sequence).alias("v"))
     if union_arrays:
-        elements = parts.select(
-            *keys,
-            sequence,
-            "__key",
-            F.posexplode(F.transform(F.try_variant_get("__value", "$", "array<variant>"), lambda x: F.to_json(x))).alias("pos", "e"),
-        )
-        # Repeats collapse map-side before a union is put together.
-        once = elements.groupBy(*keys, "__key", "e").agg(F.min(F.struct(sequence, "pos")).alias("at"))
+        once = _elements_once(parts, keys, sequence)
         unions = once.groupBy(*keys, "__key").agg(F.sort_array(F.collect_list(F.struct("at", "e"))).alias("es"))
         joined_text = F.concat(F.lit("["), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("]"))
         same = F.lit(True)

@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from tidemark.ingest import metrics as M
 from tidemark.ingest.merge import merge_largest, new_keys
 from tidemark.ingest.storage import FACT_SCHEMA, PROVENANCE_SCHEMA
 from tidemark.operators.snapshot import daily_from_lifetime
+from tidemark.sources.store import Conflict, Files
 
 WATERMARK_KEYS = ("channel", "channeled_account_id", "page_id")
 WATERMARK_SCHEMA = "channel string, channeled_account_id bigint, page_id bigint, last_day date, month int"
@@ -35,50 +35,6 @@ WHOLE = "*"
 MOST_CONFIG_PARTS = 16
 
 
-class Conflict(RuntimeError):
-    """Another load committed first."""
-
-
-class _Files:
-    """The few file operations that a commit needs, on whatever store holds the tables."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, jvm = spark, spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        conf = spark._jsc.hadoopConfiguration()
-        top = self._path(root)
-        self._store = top.getFileSystem(conf)
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(top.toUri(), conf)
-        # Renaming must fail if the target exists.
-        kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename", True, jvm.Thread.currentThread().getContextClassLoader())
-        self._plain = jvm.java.lang.reflect.Array.newInstance(kind, 1)
-        jvm.java.lang.reflect.Array.set(self._plain, 0, kind.getField("NONE").get(None))
-
-    def names(self, folder: str) -> list[str]:
-        path = self._path(folder)
-        return [s.getPath().getName() for s in self._store.listStatus(path)] if self._store.exists(path) else []
-
-    def exists(self, path: str) -> bool:
-        return self._store.exists(self._path(path))
-
-    def create_once(self, path: str, text: str) -> None:
-        """The file with this text, whole or not at all; a file that is there already is a conflict."""
-        aside = f"{path}.{uuid.uuid4().hex}.new"
-        out = self._store.create(self._path(aside))
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            self._context.rename(self._path(aside), self._path(path), self._plain)
-        except Py4JJavaError as error:
-            self._store.delete(self._path(aside), False)
-            if self.exists(path):
-                raise Conflict(path) from error
-            raise
-
-    def delete(self, path: str) -> None:
-        self._store.delete(self._path(path), True)
-
-
 @dataclass(frozen=True)
 class Version:
     """The tables as one commit left them."""
@@ -117,7 +73,7 @@ class VersionedStore:
         """``config_schema`` names the columns of configs, ``config_signature`` among them."""
         self.spark, self.root = spark, root.rstrip("/")
         self.schemas = {"configs": config_schema, "facts": FACT_SCHEMA, "provenance": PROVENANCE_SCHEMA, "watermarks": WATERMARK_SCHEMA}
-        self._files = _Files(spark, self.root)
+        self._files = Files(spark, self.root)
 
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self._files.names(f"{self.root}/commits") if n.endswith(".json"))

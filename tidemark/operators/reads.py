@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.conditions import predicate
 from tidemark.functions.text import json_path
 from tidemark.model import RELATIONS, Star
+from tidemark.operators.positions import in_parts
 from tidemark.operators.rank import best_per_group
 
 
@@ -28,7 +29,8 @@ def nest_children(
 
     An array must fit into memory: for parents with very many children use
     ``expand_children``, or let ``at_most`` cut arrays to about that length. Such a
-    parent then comes as several rows, told apart by ``<name>_part``.
+    parent then comes as several rows, told apart by ``<name>_part``;
+    ``nest_in_parts`` also keeps their order.
     """
     columns = [c for c in children.columns if c != parent_key]
     gathered = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
@@ -44,6 +46,24 @@ def nest_children(
     return parents.join(nested, F.col(key) == F.col("__parent"), "left").drop("__parent")
 
 
+def nest_in_parts(
+    parents: DataFrame, key: str, children: DataFrame, parent_key: str, name: str, at_most: int = 10_000
+) -> DataFrame:
+    """Parents with arrays of at most ``at_most`` children, in the order of the children's columns.
+
+    One row per parent and part: ``<name>_part`` counts from 0, ``<name>_before``
+    says how many children came in earlier parts. A parent without children has
+    one row without array. However many children a parent has, no row and no task
+    holds them all.
+    """
+    columns = [c for c in children.columns if c != parent_key]
+    numbered = in_parts(children.filter(F.col(parent_key).isNotNull()), [parent_key], columns, at_most, f"{name}_part")
+    gathered = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
+    nested = numbered.groupBy(F.col(parent_key).alias("__parent"), f"{name}_part").agg(gathered)
+    nested = nested.withColumn(f"{name}_before", F.col(f"{name}_part").cast("bigint") * at_most)
+    return parents.join(nested, F.col(key) == F.col("__parent"), "left").drop("__parent")
+
+
 def facts_with_entities(star: Star, keys: Sequence[str] = tuple(RELATIONS)) -> DataFrame:
     """Facts with the row of each known entity beside them as a struct."""
     frame = star.frame()

@@ -206,6 +206,25 @@ def provenance_payloads(spark, folder):
     )
 
 
+@query(
+    "j6_array_unions",
+    """WITH e AS (SELECT event_type, user_id AS u, MIN(event_id) AS came FROM events GROUP BY 1, 2),
+    n AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY came) - 1) // 25 AS part FROM e)
+    SELECT event_type AS channel, CAST(part AS INT) AS part, COUNT(*) AS size, string_agg(CAST(u AS VARCHAR), ',' ORDER BY came) AS users FROM n GROUP BY 1, 2""",
+)
+def array_unions_in_parts(spark, folder):
+    """The users of each channel in the order in which they came, from payloads with arrays, at most 25 to a row."""
+    from tidemark.ingest.payloads import array_unions
+
+    rows = T.table(spark, folder, "events").select(
+        F.col("event_type").alias("channel"),
+        F.to_json(F.struct(F.array("user_id").alias("users"), F.col("value"))).alias("data"),
+        F.col("event_id").alias("sequence"),
+    )
+    unions = array_unions(rows, ["channel"], at_most=25)
+    return unions.select("channel", "part", "size", F.regexp_replace("elements", r"[\[\]]", "").alias("users"))
+
+
 @query(
     "j7_dimension_sets",
     "SELECT DISTINCT md5('[{\"key\":\"k\",\"value\":\"' || json_extract_string(props, '$.k') || '\"}]') AS hash, json_extract_string(props, '$.k') AS k FROM events",

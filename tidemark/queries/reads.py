@@ -22,14 +22,34 @@ def orders_with_children(spark, folder):
     lines = T.table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_quantity")
     customers = T.table(spark, folder, "customer").select("c_custkey", F.col("c_name").alias("customer"))
     expanded = R.expand_children(orders, "o_custkey", customers, "c_custkey")
-    nested = R.nest_children(expanded, "id", lines, "l_orderkey", "products")
+    nested = R.nest_in_parts(expanded, "id", lines, "l_orderkey", "products")
     products = F.transform("products", lambda p: p["product_id"])
+    return nested.groupBy("id", "customer").agg(
+        F.sum(F.coalesce(F.size(products), F.lit(0))).cast("int").alias("products"),
+        F.min(F.array_min(products)).alias("first_product"),
+        F.max(F.array_max(products)).alias("last_product"),
+    )
+
+
+@query(
+    "a2_children_in_parts",
+    """WITH l AS (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 7 AS part FROM orders)
+    SELECT c_custkey AS id, CAST(part AS INT) AS part, CAST(part * 7 AS BIGINT) AS before, COUNT(o_orderkey) AS orders, MIN(o_orderkey) AS first_order, MAX(o_orderkey) AS last_order
+    FROM customer LEFT JOIN l ON o_custkey = c_custkey GROUP BY 1, 2, 3""",
+)
+def children_in_parts(spark, folder):
+    """Customers with their orders, at most seven to a row, in order."""
+    customers = T.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    orders = T.table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    nested = R.nest_in_parts(customers, "id", orders, "o_custkey", "orders", at_most=7)
+    numbers = F.transform("orders", lambda o: o["o_orderkey"])
     return nested.select(
         "id",
-        "customer",
-        F.coalesce(F.size(products), F.lit(0)).alias("products"),
-        F.array_min(products).alias("first_product"),
-        F.array_max(products).alias("last_product"),
+        F.col("orders_part").alias("part"),
+        F.col("orders_before").alias("before"),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("bigint").alias("orders"),
+        F.array_min(numbers).alias("first_order"),
+        F.array_max(numbers).alias("last_order"),
     )
 
 

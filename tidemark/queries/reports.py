@@ -14,6 +14,7 @@ from tidemark.queries.registry import ACCOUNTS, EVENTS, JOBS, query
 from tidemark.session import shared_folder
 from tidemark.sources import files
 from tidemark.sources import tables as T
+from tidemark.sources.sink import EventSink
 
 _PER_ACCOUNT = """per AS (SELECT channel, COALESCE(account_id, 'global') AS account_id, COUNT(*) AS total, COUNT(*) FILTER (status = 3) AS completed,
     COUNT(*) FILTER (status = 4) AS failed, COUNT(*) FILTER (status = 2) AS processing, COUNT(*) FILTER (status = 1) AS scheduled,
@@ -252,16 +253,30 @@ def fallback_report(spark, folder):
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM l) SELECT 'conv-' || conv_id AS file, turn AS line_no FROM r WHERE rn <= 2""",
 )
 def log_lines(spark, folder):
-    """Turns written as text logs, one folder per conversation, and read as lines; user turns are marked FATAL."""
+    """Turns written as packed text logs and read as lines; user turns are marked FATAL."""
+    found = R.error_lines(files.read_logs(spark, _turn_logs(spark, folder)), keep=2)
+    return found.select("file", F.regexp_extract("line", r"^(\d+)\t", 1).cast("bigint").alias("line_no"))
+
+
+def _turn_logs(spark, folder):
     turns = T.table(spark, folder, "conversations")
     one_line = F.regexp_replace("text", r"\s+", " ")
     marked = F.when(F.col("role") == "user", F.concat(F.lit("[Fatal] "), one_line)).otherwise(one_line)
     path = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    numbered = F.concat(F.col("turn").cast("string"), F.lit("\t"), marked).alias("value")
-    lines = turns.select((F.col("conv_id") % 16).alias("part"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("conv"), "turn", numbered)
-    lines.repartition("part").sortWithinPartitions("conv", "turn").drop("part", "turn").write.partitionBy("conv").text(path)
-    read = files.read_log_lines(spark, path)
-    found = R.error_lines(read.select(F.regexp_extract("file", "conv=(conv-[0-9]+)", 1).alias("file"), "line_no", "line"), keep=2)
+    line = F.concat(F.col("turn").cast("string"), F.lit("\t"), marked).alias("line")
+    lines = turns.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("conv"), "turn", line)
+    # Small files, so that small tables take several as well.
+    files.write_logs(lines, path, "conv", ["turn"], size=1 << 20)
+    return path
+
+
+@query(
+    "a8_last_errors",
+    "SELECT 'conv-' || conv_id AS file, turn AS line_no FROM conversations WHERE role = 'user' OR regexp_matches(text, '(?i)error|critical|fatal') ORDER BY 1 DESC, 2 DESC LIMIT 40",
+)
+def last_errors(spark, folder):
+    """The last 40 lines of all logs that speak of an error, read from the end of the logs."""
+    found = files.last_lines(spark, _turn_logs(spark, folder), "(?i)error|critical|fatal", 40)
     return found.select("file", F.regexp_extract("line", r"^(\d+)\t", 1).cast("bigint").alias("line_no"))
 
 
@@ -304,3 +319,23 @@ def event_sink(spark, folder):
         files.append_event_log(events.filter(part), path)
     read = spark.read.schema("date date, executor_path_decision string").json(path)
     return read.groupBy("date").agg(F.count("*").alias("events"), F.count_if(F.col("executor_path_decision") == "Legacy").alias("legacy"))
+
+
+@query(
+    "a9_packed_event_sink",
+    f"""WITH {_LOG}, e AS (SELECT CAST(ts AS DATE) AS date, event_type FROM events) SELECT date, COUNT(*) AS events, COUNT(*) FILTER (event_type IN ('error', 'signup', 'purchase')) AS legacy,
+    TRUE AS packed FROM e WHERE CAST(date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-19' GROUP BY 1""",
+)
+def packed_event_sink(spark, folder):
+    """The sink after three appends, with the small files of each day put together."""
+    sink = EventSink(spark, f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}")
+    events = _query_events(spark, folder)
+    part = F.pmod(F.xxhash64("timestamp"), F.lit(3))
+    for k in range(3):
+        sink.append(events.filter(part == k))
+    sink.pack()
+    packed = all(len(own) == 1 or min(own.values()) * 2 >= 128 << 20 for own in sink.live().values())
+    read = sink.read("executor_path_decision string", "2024-01-05", "2024-01-19")
+    return read.groupBy("date").agg(
+        F.count("*").alias("events"), F.count_if(F.col("executor_path_decision") == "Legacy").alias("legacy"), F.lit(packed).alias("packed")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from datetime import date
 
@@ -11,10 +12,12 @@ from tidemark.functions import formulas as M
 from tidemark.functions.conditions import matches_patterns
 from tidemark.functions.dates import resolve_relative
 from tidemark.model import RelationSpec
+from tidemark.operators.positions import RangeIndex
 from tidemark.operators.reads import matching_all_dimensions
 from tidemark.operators.weighted import time_weighted_average
 from tidemark.plans.request import AggregateRequest, aggregate, aggregate_entity, hide_columns, page_of
 from tidemark.queries.registry import ACCOUNTS, ADS, EVENTS, ORGANIC, SEARCH, query, ratio, sums
+from tidemark.session import shared_folder
 from tidemark.sources import tables as T
 
 JANUARY = ("2024-01-01", "2024-01-31")
@@ -673,6 +676,20 @@ def page_of_rows(spark, folder):
     return page_of(orders, ["id"], limit=100, page=2)
 
 
+@query(
+    "g3_page_from_index",
+    """SELECT o_orderkey AS id, o_custkey AS customer, o_totalprice AS price FROM orders ORDER BY o_orderdate DESC, o_orderkey
+    LIMIT 50 OFFSET (SELECT COUNT(*) // 50 // 2 * 50 FROM orders)""",
+)
+def page_from_index(spark, folder):
+    """A page from the middle of the listing: ids from an index of sort keys, then the rows of these ids."""
+    orders = T.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("price"))
+    path = f"{shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    index = RangeIndex.build(orders.select("id", "o_orderdate"), [F.col("o_orderdate").desc(), "id"], path)
+    rows = index.counts.agg(F.sum("__rows")).first()[0] or 0
+    return index.page_with(orders.drop("o_orderdate"), "id", 50, rows // 50 // 2)
+
+
 # --- registries ------------------------------------------------------------
 
 

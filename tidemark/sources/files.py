@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions.dates import as_date, month_of
 from tidemark.ingest.merge import merge_largest
 from tidemark.ingest.metrics import FACT_KEYS
+from tidemark.sources.store import Files
 
 QUERY_EVENT_SCHEMA = T.StructType(
     [
@@ -97,6 +98,55 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.struct("__block", "__seq").alias("line_no"), "line")
 
 
+def write_logs(lines: DataFrame, path: str, key: str, order: Sequence[str], line: str = "line", size: int = 128 << 20) -> None:
+    """Text logs of many sources, packed into files of about ``size`` bytes.
+
+    Each line begins with the name of its log, percent-encoded, and a tab; line
+    breaks in a line become blanks. Files follow ``key`` and ``order``, so a log
+    with most of the lines takes many files and many small ones share one: tasks
+    and files grow with the bytes, not with the number of logs.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(line), F.lit("")), r"[\r\n]+", " ")
+    packed = lines.select(F.col(key).alias("__key"), *[F.col(o).alias(f"__{i}") for i, o in enumerate(order)], F.concat(F.coalesce(F.url_encode(key), F.lit("")), F.lit("\t"), text).alias("value"))
+    total = packed.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    keys = ["__key", *[f"__{i}" for i in range(len(order))]]
+    placed = packed.repartitionByRange(max(1, -(-total // size)), *keys).sortWithinPartitions(*keys)
+    placed.select("value").write.text(path)
+
+
+def read_logs(spark: SparkSession, path: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Lines written by ``write_logs``: ``file`` (the log), ``line_no`` (grows within and across files) and ``line``.
+
+    ``names`` are the written files to read; all if not given.
+    """
+    raw = spark.read.schema("value string").text([f"{path}/{n}" for n in names] if names is not None else path)
+    return raw.select(
+        F.try_url_decode(F.substring_index("value", "\t", 1)).alias("file"),
+        F.struct(
+            F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("int").alias("__part"),
+            F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__seq"),
+        ).alias("line_no"),
+        F.expr("substring(value, instr(value, '\t') + 1)").alias("line"),
+    )
+
+
+def last_lines(spark: SparkSession, path: str, pattern: str, keep: int) -> DataFrame:
+    """The last ``keep`` lines of all logs that match, newest first: reads from the end and stops once there are enough.
+
+    Only counts reach the driver; the files read double from step to step.
+    """
+    listed = sorted((n for n in Files(spark, path).names(path) if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+    taken = 1
+    while True:
+        found = read_logs(spark, path, listed[-taken:]).filter(F.col("line").rlike(pattern)) if listed else None
+        if found is None:
+            return spark.createDataFrame([], "file string, line_no struct<__part:int,__block:bigint,__seq:bigint>, line string")
+        if taken >= len(listed) or found.limit(keep).count() == keep:
+            return found.orderBy(F.col("line_no").desc()).limit(keep)
+        taken *= 2
+
+
 def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Facts in one folder per month, sorted by day so row groups skip by date.
 
