@@ -19,6 +19,7 @@ from tidemark.plans.request import AggregateRequest, aggregate, aggregate_entity
 from tidemark.queries.registry import ACCOUNTS, ADS, EVENTS, ORGANIC, SEARCH, query, ratio, sums
 from tidemark.session import shared_folder
 from tidemark.sources import tables as T
+from tidemark.sources.buckets import bucketed_star
 
 JANUARY = ("2024-01-01", "2024-01-31")
 CLICKS, IMPRESSIONS, SPEND, RESULTS = sums("clicks"), sums("impressions"), sums("spend"), sums("results")
@@ -57,6 +58,16 @@ def normal_star_request(spark, folder):
     return aggregate(star, AggregateRequest({"clicks": "clicks", "ctr": "ctr"}, ["daily", "k"], {}, *JANUARY))
 
 
+@query(
+    "c1_bucketed_star_request",
+    f"WITH {EVENTS} SELECT d AS daily, k, R({CLICKS}) AS clicks, R({ratio(CLICKS, IMPRESSIONS)}) AS ctr FROM ev GROUP BY d, k",
+)
+def bucketed_star_request(spark, folder):
+    """The same over tables in buckets, with large configs in pieces: facts meet configs without a shuffle."""
+    star = bucketed_star(T.normal_event_star(spark, folder), f"events_{uuid.uuid4().hex}")
+    return aggregate(star, AggregateRequest({"clicks": "clicks", "ctr": "ctr"}, ["daily", "k"], {}, *JANUARY))
+
+
 # --- filters ---------------------------------------------------------------
 
 

@@ -179,9 +179,14 @@ def merge_fact_files(spark: SparkSession, batch: DataFrame, path: str, load: str
     return sorted(months)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Save a table in buckets of a key; tables with equal buckets join without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Save a table in buckets of a key; tables with equal buckets join without a shuffle.
+
+    It lies in the warehouse, or in ``path``. Rows are dealt by bucket first, so a
+    bucket is one file.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_facts(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
