@@ -77,3 +77,25 @@ def test_unions_in_parts_equal_whole_unions(spark):
     whole = {r["k"]: json.loads(r["data"]).get("items") for r in merged_payloads(df, ["k"], union_arrays=True).collect()}
     assert joined == {k: v for k, v in whole.items() if k in ("hot", "b", None)}
     assert len(joined["hot"]) == 130
+
+
+def test_only_large_keys_are_put_in_order(spark, monkeypatch):
+    """Keys of one part need no order; with one larger key, only its rows are ordered."""
+    seen = []
+    build = RangeIndex.build.__func__
+
+    def counted(cls, df, *args, **kwargs):
+        seen.append(df.count())
+        return build(cls, df, *args, **kwargs)
+
+    monkeypatch.setattr(RangeIndex, "build", classmethod(counted))
+    df = spark.range(40).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    assert {r["part"] for r in in_parts(df, ["k"], ["v"], 4).collect()} == {0} and not seen
+    parents = spark.range(12)
+    nested = R.nest_in_parts(parents, "id", df, "k", "kids", at_most=4).collect()
+    assert not seen and sorted(len(r["kids"] or []) for r in nested) == [0, 0] + [4] * 10
+    large = df.unionByName(spark.range(100, 109).select(F.lit(3).cast("long").alias("k"), F.col("id").alias("v")))
+    rows = R.nest_in_parts(parents, "id", large, "k", "kids", at_most=4).orderBy("id", "kids_part").collect()
+    assert seen == [13]
+    assert [[c["v"] for c in r["kids"]] for r in rows if r["id"] == 3] == [[3, 13, 23, 33], [100, 101, 102, 103], [104, 105, 106, 107], [108]]
+    assert [(r["kids_part"], r["kids_before"], [c["v"] for c in r["kids"]]) for r in rows if r["id"] == 4] == [(0, 0, [4, 14, 24, 34])]

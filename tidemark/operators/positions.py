@@ -80,21 +80,53 @@ class RangeIndex:
         return joined.orderBy("__position").drop("__key", "__position")
 
 
+def keys_over(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """Keys with more than ``most`` rows, their columns prefixed by two underscores; None if there are none.
+
+    Written as a table of its own, so Spark knows its size and may split rows that
+    join it.
+    """
+    sizes = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__rows"))
+    over = staged(sizes.filter(F.col("__rows") > most).drop("__rows"), "large")
+    return None if over.isEmpty() else over
+
+
+def same_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Column:
+    """Test for equal keys, null among them, in a table whose key columns are prefixed by two underscores."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(other[f"__{k}"])
+    return same
+
+
 def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int, part: str = "part") -> DataFrame:
     """Rows with the number of their part: every ``at_most`` rows of a key, in order, are one.
 
-    Parts of a key count from 0 and all but its last are full. A key may hold most
-    of the rows: it is spread over ranges, and its first position is joined from a
-    table of its own, so Spark may split the rows that join it. Null is a key. Rows
-    equal in keys and order are told apart by an arbitrary number.
+    Parts of a key count from 0 and all but its last are full. A key of up to
+    ``at_most`` rows is one part whatever its order, so only rows of larger keys are
+    put in order. Null is a key. Rows equal in keys and order are told apart by an
+    arbitrary number. ``df`` is read once to count and once or twice for the rows;
+    hand in stored rows where that is dear.
+    """
+    over = keys_over(df, keys, at_most)
+    if over is None:
+        return df.withColumn(part, F.lit(0))
+    same = same_keys(df, over, keys)
+    small = df.join(over, same, "left_anti").withColumn(part, F.lit(0))
+    return small.unionByName(in_ordered_parts(df.join(over, same, "left_semi"), keys, order, at_most, part))
+
+
+def in_ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], at_most: int, part: str = "part") -> DataFrame:
+    """``in_parts`` for keys of any size.
+
+    A key may hold most of the rows: it is spread over ranges, and its first
+    position is joined from a table of its own, so Spark may split the rows that
+    join it.
     """
     path = f"{shared_folder(df.sparkSession)}/ordered-{uuid.uuid4().hex}"
     told_apart = df.withColumn("__row", F.monotonically_increasing_id())
     # Written first, so that sampling the ranges and sorting them see the same numbers.
     placed = RangeIndex.build(staged(told_apart, "rows"), [*keys, *order, "__row"], path).positions()
     firsts = staged(placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__position").alias("__first")), "firsts")
-    same = F.lit(True)
-    for k in keys:
-        same = same & placed[k].eqNullSafe(firsts[f"__{k}"])
     number = F.floor((F.col("__position") - F.col("__first")) / at_most).cast("int")
-    return placed.join(firsts, same).select(*df.columns, number.alias(part))
+    return placed.join(firsts, same_keys(placed, firsts, keys)).select(*df.columns, number.alias(part))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.conditions import predicate
 from tidemark.functions.text import json_path
 from tidemark.model import RELATIONS, Star
-from tidemark.operators.positions import in_parts
+from tidemark.operators.positions import in_ordered_parts, keys_over, same_keys
 from tidemark.operators.rank import best_per_group
 
 
@@ -54,12 +54,26 @@ def nest_in_parts(
     One row per parent and part: ``<name>_part`` counts from 0, ``<name>_before``
     says how many children came in earlier parts. A parent without children has
     one row without array. However many children a parent has, no row and no task
-    holds them all.
+    holds them all. Only children of parents with more than ``at_most`` are put in
+    order beforehand; ``children`` are read two or three times.
     """
     columns = [c for c in children.columns if c != parent_key]
-    numbered = in_parts(children.filter(F.col(parent_key).isNotNull()), [parent_key], columns, at_most, f"{name}_part")
+    children = children.filter(F.col(parent_key).isNotNull())
     gathered = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-    nested = numbered.groupBy(F.col(parent_key).alias("__parent"), f"{name}_part").agg(gathered)
+    over, part = keys_over(children, [parent_key], at_most), f"{name}_part"
+
+    def whole(rows: DataFrame) -> DataFrame:
+        """Arrays of parents whose children are one part: dealt by parent once, for the array and its join."""
+        return rows.repartition(parent_key).groupBy(F.col(parent_key).alias("__parent")).agg(gathered).withColumn(part, F.lit(0))
+
+    if over is None:
+        nested = whole(children)
+    else:
+        same = same_keys(children, over, [parent_key])
+        numbered = in_ordered_parts(children.join(over, same, "left_semi"), [parent_key], columns, at_most, part)
+        parts = numbered.groupBy(F.col(parent_key).alias("__parent"), part).agg(gathered)
+        nested = whole(children.join(over, same, "left_anti")).unionByName(parts)
+    nested = nested.select("__parent", part, name)
     nested = nested.withColumn(f"{name}_before", F.col(f"{name}_part").cast("bigint") * at_most)
     return parents.join(nested, F.col(key) == F.col("__parent"), "left").drop("__parent")
 
