@@ -425,3 +425,65 @@ def test_event_documents_are_bounded(spark, tmp_path):
         assert all(r.value.startswith('{"events"') == wrap for r in texts)
         read = files.read_event_documents(spark, path)
         assert read.count() == 3000 and read.select("planner_diagnostics.profile_channel").distinct().count() == 3000
+
+
+PAYLOADS = [("a", i, json.dumps({"items": [i % 7, {"n": i % 3}], "note": f"n{i}", 'q"[]': None})) for i in range(200)] + [
+    ("b", 1, '{"items":[1,1,2]}'), ("b", 2, '{"items":[]}'), ("c", 1, '{"x":1}'), ("c", 2, "no json"), ("d", None, '{"x":1,"y":[2]}'), ("e", 1, None), (None, 3, '{"x":[3]}'), ("f", 1, '{"x":[1]}'), ("f", 2, '{"x":"text"}')
+]
+
+
+def test_payloads_merge_alike_in_place_and_apart(spark, monkeypatch):
+    from tidemark.ingest import payloads
+
+    df = spark.createDataFrame(PAYLOADS, "k string, sequence long, data string")
+    for union in (False, True):
+        in_place = merged_payloads(df, ["k"], union_arrays=union)
+        assert "Generate" not in in_place._jdf.queryExecution().optimizedPlan().toString()
+        whole = sorted(map(str, in_place.collect()))
+        apart = payloads._merged_apart(df, ["k"], "sequence", "data", union)
+        assert sorted(map(str, apart.collect())) == whole
+        with monkeypatch.context() as small:
+            small.setattr(payloads, "SMALL_BUCKET", 1000)
+            # One row key has most of the bytes: it is taken apart, the others are not.
+            mixed = merged_payloads(df, ["k"], union_arrays=union)
+            plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+            assert "Generate" in plan and "RepartitionByExpression" in plan
+            assert sorted(map(str, mixed.collect())) == whole
+
+
+def test_last_writes_merge_into_the_largest_in_one_step(spark, rows):
+    keys = ["k", "day"]
+    stored = keyed(spark, ("a", 7, "old"), ("b", 1, None), ("c", 5, "only"))
+    day = date(2026, 1, 1)
+    batch = spark.createDataFrame(
+        [("a", day, 9.0, "x", 1), ("a", day, 3.0, "y", 2), ("b", day, 4.0, "z", 1), ("d", day, 8.0, "p", 1), ("d", day, 2.0, "q", 2), ("e", day, 6.0, "n", None), ("a", day, 99.0, "null", None)], KEYED + ", seq long"
+    )
+    merged = merge.merge_last_into_largest(stored, batch, keys, "seq")
+    assert rows(merged) == rows(merge.merge_largest(stored, merge.last_write_wins(batch, keys, "seq").drop("seq"), keys))
+    assert rows(merged, "k", "value", "note") == [("a", 7.0, "old"), ("b", 4.0, None), ("c", 5.0, "only"), ("d", 2.0, "q"), ("e", None, None)]
+
+
+def test_loads_read_a_batch_that_is_stored(spark, folder):
+    """Several loads take parts of it, so what it comes from runs once."""
+    from tidemark.queries import loads
+
+    _, whole, late = loads._versioned(spark, folder)
+    assert all("staged-metrics" in f for df in (whole, late) for f in df.inputFiles())
+
+
+def test_a_batch_without_lifetime_rows_is_staged_once(spark):
+    from tidemark.ingest.storage import MetricStore
+    from tidemark.ingest.versions import VersionedStore
+    from tidemark.session import shared_folder
+    from tidemark.sources.store import Files
+
+    for kind, columns in ((MetricStore, ""), (VersionedStore, ", channeled_account_id bigint, page_id bigint")):
+        root = f"{shared_folder(spark)}/once-{kind.__name__}-{date.today():%j}-{id(kind)}"
+        store = kind(spark, root, f"id bigint, config_signature string, channel string, name string, period string{columns}")
+        if kind is MetricStore:
+            store.create()
+        files = Files(spark, root)
+        for period, expected in (("daily", {"batch"}), ("lifetime", {"batch", "full"})):
+            store.load(batch(spark, ("clicks", period, 5, "2023-01-02")), period)
+            folder = next(n for n in files.names(f"{root}/_staging") if n.startswith(period))
+            assert {n.split("-")[0] for n in files.names(f"{root}/_staging/{folder}")} - {"facts", "provenance"} == expected

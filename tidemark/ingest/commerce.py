@@ -172,7 +172,7 @@ def load_customers(batch: DataFrame) -> dict[str, DataFrame]:
     lead = merged_payloads(
         known.select(*CHANNELED_KEY, "sequence", F.col("lead_data").alias("data")), CHANNELED_KEY
     ).withColumnRenamed("data", "lead_data")
-    both = head.join(united, list(CHANNELED_KEY)).join(lead, list(CHANNELED_KEY))
+    both = staged(head.join(united, list(CHANNELED_KEY)).join(lead, list(CHANNELED_KEY)), "customer-parts")
     parts = both.select(*CHANNELED_KEY, F.lit(0).alias("sequence"), "data").unionByName(
         both.select(*CHANNELED_KEY, F.lit(1).alias("sequence"), F.col("addresses").alias("data"))
     )

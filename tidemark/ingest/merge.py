@@ -89,6 +89,30 @@ def merge_largest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], valu
     return both.groupBy(*keys).agg(F.max(value).alias(value), *first_stored).select(*stored.columns)
 
 
+def merge_last_into_largest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], sequence: str, value: str = "value") -> DataFrame:
+    """``merge_largest`` with what ``last_write_wins`` leaves of a batch, in one aggregate.
+
+    A key comes at most once in ``stored`` and any number of times in ``batch``,
+    which has the column ``sequence`` besides.
+    """
+    columns = stored.columns
+    rest = [c for c in columns if c not in (*keys, value)]
+    new = F.col("__new")
+    both = stored.select(*columns, F.lit(None).cast(batch.schema[sequence].dataType).alias("__sequence"), F.lit(False).alias("__new")).unionByName(
+        batch.select(*columns, F.col(sequence).alias("__sequence"), F.lit(True).alias("__new"))
+    )
+    merged = both.groupBy(*keys).agg(
+        F.bool_or(~new).alias("__known"),
+        F.max(F.when(~new, F.col(value))).alias("__largest"),
+        *[F.max_by(c, F.when(~new, 1)).alias(f"__first_{c}") for c in rest],
+        # Stored rows have no sequence, so they are never the last write.
+        F.max_by(F.struct(value, *rest), "__sequence").alias("__last"),
+    )
+    kept = {c: F.when(F.col("__known"), F.col(f"__first_{c}")).otherwise(F.col(f"__last.{c}")) for c in rest}
+    kept[value] = F.greatest("__largest", F.col(f"__last.{value}"))
+    return merged.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in columns])
+
+
 def repoint(df: DataFrame, column: str, survivors: DataFrame) -> DataFrame:
     """Replace duplicate ids by their survivor. ``survivors``: duplicate_id, survivor_id."""
     mapping = survivors.select(F.col("duplicate_id").alias("__dup"), F.col("survivor_id").alias("__keep"))

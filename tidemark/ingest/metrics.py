@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import CONFIG_PARTS, config_signature, dimensions_hash, surrogate_id
 from tidemark.functions.text import query_key
 from tidemark.ingest.entities import lookup
-from tidemark.ingest.merge import last_write_wins, merge_largest, new_keys
+from tidemark.ingest.merge import last_write_wins, merge_last_into_largest, new_keys
 from tidemark.ingest.payloads import merged_payloads
 from tidemark.operators.snapshot import daily_from_lifetime
 
@@ -80,7 +80,16 @@ def load_configs(stored: DataFrame, batch: DataFrame, parents: DataFrame | None
 
 def fact_rows(batch: DataFrame) -> DataFrame:
     """Facts of a batch: one per config, dimensions and day, the last one written."""
-    facts = batch.select(
+    return last_write_wins(_written_facts(batch), FACT_KEYS, "sequence").drop("sequence")
+
+
+def merged_facts(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored facts and those of a batch: of the last write and the stored value the larger."""
+    return merge_last_into_largest(stored, _written_facts(batch), FACT_KEYS, "sequence")
+
+
+def _written_facts(batch: DataFrame) -> DataFrame:
+    return batch.select(
         surrogate_id(F.col("signature")).alias("metric_config_id"),
         "dimensions_hash",
         "value",
@@ -88,7 +97,6 @@ def fact_rows(batch: DataFrame) -> DataFrame:
         "metric_date",
         "sequence",
     )
-    return last_write_wins(facts, FACT_KEYS, "sequence").drop("sequence")
 
 
 def within_days_of(stored: DataFrame, batch: DataFrame, days_before: int = 0) -> Column:
@@ -105,7 +113,7 @@ def within_days_of(stored: DataFrame, batch: DataFrame, days_before: int = 0) ->
 def load_facts(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """Facts with a batch merged in; days outside the batch pass through unshuffled."""
     near = F.coalesce(within_days_of(stored, batch), F.lit(False))
-    return stored.filter(~near).unionByName(merge_largest(stored.filter(near), fact_rows(batch), FACT_KEYS))
+    return stored.filter(~near).unionByName(merged_facts(stored.filter(near), batch))
 
 
 def provenance_rows(batch: DataFrame) -> DataFrame:

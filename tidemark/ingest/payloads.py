@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tidemark.operators.positions import in_parts
 from tidemark.session import staged
 
+# Row keys are dealt into so many buckets, to find those with very many payloads.
+BUCKETS = 1 << 16
+# Bytes of payloads up to which the rows of a bucket are merged as they are.
+SMALL_BUCKET = 4 << 20
+
 
 def json_pairs(data: Column) -> Column:
     """Map of a JSON object's keys to variants; text that is no object gives NULL."""
@@ -18,9 +23,7 @@ def json_pairs(data: Column) -> Column:
 
 def _object(entries: Column) -> Column:
     """JSON object text from ``{k, v}`` entries whose values are JSON text."""
-    quoted = F.transform(
-        entries, lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["k"])), r"(?s)^\[(.*)\]$", 1), F.lit(":"), e["v"])
-    )
+    quoted = F.transform(entries, lambda e: F.concat(F.btrim(F.to_json(F.array(e["k"])), F.lit("[]")), F.lit(":"), e["v"]))
     return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
@@ -57,7 +60,8 @@ def array_unions(
     same = F.lit(True)
     for c in [*keys, "__key"]:
         same = same & once[c].eqNullSafe(last[f"__of_{c}"])
-    numbered = in_parts(once.join(last, same, "left_semi"), [*keys, "__key"], ["at", "e"], at_most)
+    elements = staged(once.join(last, same, "left_semi"), "elements")
+    numbered = in_parts(elements, [*keys, "__key"], ["at", "e"], at_most)
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]), ",")
     text = F.concat(F.lit("["), joined, F.lit("]"))
     return numbered.groupBy(*keys, F.col("__key").alias("key"), "part").agg(F.count("*").alias("size"), text.alias("elements"))
@@ -69,10 +73,62 @@ def merged_payloads(
     """One payload per row key: per JSON key, the value written last.
 
     With ``union_arrays`` a key whose last value is an array gets the union of
-    its arrays instead. Payloads are taken apart first, so no task holds all the
-    payloads of a row at once. A union is one value; ``array_unions`` gives it in
-    bounded parts.
+    its arrays instead. A union is one value; ``array_unions`` gives it in bounded
+    parts. Rows are dealt by row key once and merged there; row keys in buckets with
+    very many bytes are taken apart and combined map-side instead, so no task holds
+    all the payloads of such a row key. ``rows`` are read twice, to find those
+    buckets when this is called.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    crowded = _crowded(rows, bucket, data)
+    if not crowded:
+        return _merged_in_place(rows, keys, sequence, data, union_arrays)
+    few = _merged_in_place(rows.filter(~bucket.isin(crowded)), keys, sequence, data, union_arrays)
+    return few.unionByName(_merged_apart(rows.filter(bucket.isin(crowded)), keys, sequence, data, union_arrays))
+
+
+def _crowded(rows: DataFrame, bucket: Column, data: str) -> list[int]:
+    """Buckets with over ``SMALL_BUCKET`` bytes and four times the mean; at most a quarter of all."""
+    size = F.coalesce(F.octet_length(data), F.lit(0)).cast("bigint") + 64
+    sizes = rows.groupBy(bucket.alias("b")).agg(F.sum(size).alias("n"))
+    large = F.collect_list(F.when(F.col("n") > SMALL_BUCKET, F.struct("b", "n")))
+    total, found = sizes.agg(F.sum("n"), large).first()
+    return [b for b, n in found if n > 4 * total / BUCKETS]
+
+
+def _merged_in_place(rows: DataFrame, keys: Sequence[str], sequence: str, data: str, union_arrays: bool) -> DataFrame:
+    """Payloads merged where all of their row key meet; each is parsed once and none is repeated per JSON key."""
+    pairs = F.map_entries(json_pairs(F.col(data)))
+
+    def entry(pair: Column) -> Column:
+        fields = [pair["key"].alias("k"), F.col(sequence).alias("s"), F.to_json(pair["value"]).alias("v")]
+        if union_arrays:
+            elements = F.try_variant_get(pair["value"], "$", "array<variant>")
+            fields.append(F.transform(elements, lambda x, i: F.struct(F.col(sequence).alias("s"), i.alias("i"), F.to_json(x).alias("e"))).alias("es"))
+        return F.struct(*fields)
+
+    # Dealt first, so that the rows of a key are sorted once, not before and after the shuffle.
+    entries = rows.repartition(*keys).select(*keys, F.transform(pairs, entry).alias("entries"))
+    gathered = entries.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("entries"))).alias("all"))
+
+    def union(last: Column) -> Column:
+        own = F.transform(F.filter("all", lambda x: (x["k"] == last["k"]) & x["es"].isNotNull()), lambda x: x["es"])
+        once = F.array_distinct(F.transform(F.sort_array(F.flatten(own)), lambda x: x["e"]))
+        text = F.concat(F.lit("["), F.array_join(once, ","), F.lit("]"))
+        # Arrays without elements have no union. In an array, so that the text is made once.
+        found = F.get(F.filter(F.array(text), lambda t: t != "[]"), F.lit(0))
+        return F.when(last["v"].startswith("["), F.coalesce(found, last["v"])).otherwise(last["v"])
+
+    # Sorted by JSON key and sequence: the last of a key is followed by another key or none.
+    last = F.filter("all", lambda e, i: ~e["k"].eqNullSafe(F.get("all", i + 1)["k"]))
+    value = (lambda e: union(e)) if union_arrays else (lambda e: e["v"])
+    # Without any sequence there is no last value.
+    texts = F.transform(last, lambda e: F.struct(e["k"].alias("k"), F.when(e["s"].isNotNull(), value(e)).alias("v")))
+    return gathered.select(*keys, _object(texts).alias(data))
+
+
+def _merged_apart(rows: DataFrame, keys: Sequence[str], sequence: str, data: str, union_arrays: bool) -> DataFrame:
+    """Payloads taken apart first and combined map-side by JSON key."""
     parts = rows.select(*keys, sequence, F.explode_outer(json_pairs(F.col(data))).alias("__key", "__value"))
     text = parts.select(*keys, sequence, "__key", F.to_json("__value").alias("v"))
     latest = text.groupBy(*keys, "__key").agg(F.max_by("v", sequence).alias("v"))

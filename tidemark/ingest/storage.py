@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_of
 from tidemark.ingest import metrics as M
-from tidemark.ingest.merge import merge_largest, new_keys
+from tidemark.ingest.merge import new_keys
 from tidemark.operators.snapshot import daily_from_lifetime
 
 FACT_SCHEMA = "metric_config_id bigint, dimensions_hash string, value double, metadata string, metric_date date, month int"
@@ -55,24 +55,28 @@ class MetricStore:
         batch.write.mode("overwrite").parquet(f"{staging}/batch")
         batch = self.spark.read.schema(batch.schema).parquet(f"{staging}/batch")
         lifetime = batch.where(F.lower("period") == "lifetime")
-        before = self._months(lifetime.select(F.date_sub("metric_date", 1).alias("metric_date")))
         configs = self.read("configs")
-        known = configs.select(F.col("id").alias("metric_config_id"), F.col("config_signature").alias("signature"))
-        stored = self.read("facts").where(F.col("month").isin(before)).join(known, "metric_config_id")
-        full = daily_from_lifetime(batch, stored.select("signature", "metric_date", "value"), M.signature_of)
-        full.write.mode("overwrite").parquet(f"{staging}/full")
-        full = self.spark.read.schema(full.schema).parquet(f"{staging}/full")
+        # Without lifetime rows the batch is all there is, and is staged already.
+        full = batch if lifetime.isEmpty() else self._with_daily(batch, lifetime, f"{staging}/full")
 
         # Known signatures are skipped, so a part written before a break-off is not written again.
         fresh = new_keys(M.config_rows(full, parents), configs, ["config_signature"])
         names = configs.columns
         self._write(fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).alias(c) for c in names]), "configs", "append")
         months = self._months(full)
-        self._swap("facts", staging, months, merge_largest(self._near("facts", months), M.fact_rows(full), M.FACT_KEYS), "metric_date")
+        self._swap("facts", staging, months, M.merged_facts(self._near("facts", months), full), "metric_date")
         rows = M.load_provenance(self._near("provenance", months), full, keep_payloads)
         self._swap("provenance", staging, months, rows, "platform_created_at")
         return months
 
+    def _with_daily(self, batch: DataFrame, lifetime: DataFrame, path: str) -> DataFrame:
+        before = self._months(lifetime.select(F.date_sub("metric_date", 1).alias("metric_date")))
+        known = self.read("configs").select(F.col("id").alias("metric_config_id"), F.col("config_signature").alias("signature"))
+        stored = self.read("facts").where(F.col("month").isin(before)).join(known, "metric_config_id")
+        full = daily_from_lifetime(batch, stored.select("signature", "metric_date", "value"), M.signature_of)
+        full.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(full.schema).parquet(path)
+
     def _months(self, rows: DataFrame) -> list[int]:
         """Months of some rows: bounded by the calendar."""
         return sorted(r[0] for r in rows.select(month_of(F.col("metric_date"))).distinct().collect() if r[0] is not None)

@@ -15,7 +15,7 @@ from tidemark.operators.normalise import normalise_metrics
 from tidemark.functions.text import canonical_page_id
 from tidemark.queries.reads import _SURVIVORS
 from tidemark.queries.registry import EVENTS, query
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, staged
 from tidemark.sources import tables as T
 from tidemark.streaming.incremental import follow_files, read_merged
 
@@ -257,7 +257,8 @@ def metric_load(spark, folder):
 def load_pipeline(spark, folder):
     """Two overlapping loads into stored tables, the second one repeated, and the tables read back."""
     root = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
-    batch = _metric_batch(spark, folder)
+    # Staged, as each load and the names read it.
+    batch = staged(_metric_batch(spark, folder), "metrics")
     columns = "id bigint, config_signature string, channel string, name string, period string"
     store = MetricStore(spark, root, columns)
     store.create()
@@ -279,7 +280,8 @@ _VERSIONED = "id bigint, config_signature string, channel string, name string, p
 def _versioned(spark, folder):
     """An empty store, a batch with resolved accounts, and what of it comes late with larger values."""
     accounts = T.entities(spark, folder)["channeled_accounts"]
-    batch = metrics.resolve_keys(_metric_batch(spark, folder), {"channeled_account": (accounts, "platform_id")})
+    # Staged, as several loads take parts of it.
+    batch = staged(metrics.resolve_keys(_metric_batch(spark, folder), {"channeled_account": (accounts, "platform_id")}), "metrics")
     late = batch.where("metric_date >= DATE '2024-01-10'").withColumn("value", F.col("value") + 1)
     return VersionedStore(spark, f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}", _VERSIONED), batch, late
 
