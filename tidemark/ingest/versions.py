@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_of
 from tidemark.ingest import metrics as M
-from tidemark.ingest.merge import merge_largest, new_keys
+from tidemark.ingest.merge import new_keys
 from tidemark.ingest.storage import FACT_SCHEMA, PROVENANCE_SCHEMA
 from tidemark.operators.snapshot import daily_from_lifetime
 from tidemark.sources.store import Conflict, Files
@@ -111,7 +111,7 @@ class VersionedStore:
             parts["configs"] = self._add_configs(base, M.config_rows(full, parents), generation)
             on_step("configs")
             merged = {
-                "facts": (merge_largest(self._near(base, "facts", months), M.fact_rows(full), M.FACT_KEYS), "metric_date"),
+                "facts": (M.merged_facts(self._near(base, "facts", months), full), "metric_date"),
                 "provenance": (M.load_provenance(self._near(base, "provenance", months), full, keep_payloads), "platform_created_at"),
                 "watermarks": (self._watermarks(self._near(base, "watermarks", months), full), "last_day"),
             }
@@ -163,6 +163,9 @@ class VersionedStore:
 
     def _with_daily(self, base: Version, batch: DataFrame, path: str) -> DataFrame:
         lifetime = batch.where(F.lower("period") == "lifetime")
+        if lifetime.isEmpty():
+            # The batch is all there is, and is staged already.
+            return batch
         before = [r[0] for r in lifetime.select(month_of(F.date_sub("metric_date", 1))).distinct().collect() if r[0] is not None]
         known = base.read("configs").select(F.col("id").alias("metric_config_id"), F.col("config_signature").alias("signature"))
         stored = base.read("facts").where(F.col("month").isin(before)).join(known, "metric_config_id")
